@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressloom.llm import batches, leaks, repeated_lines, residue
+from pressloom.llm import batches, leaks, lookalikes, packing, repeated_lines, residue
 from pressloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,16 +28,36 @@ def p3_sequences(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.frequent_sequences(table(spark, d, "articles", "article_id", "url", "text"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.affected(lookalikes.values(table(spark, d, "articles"), table(spark, d, "entity_ru")))
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.one_form(lookalikes.values(table(spark, d, "articles"), table(spark, d, "entity_ru")))
+
+
+def p4_equal(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.equal_values(lookalikes.values(table(spark, d, "articles"), table(spark, d, "entity_ru")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return batches.all_pairs(table(spark, d, "articles"))
 
 
+def p8_bins(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
+def p8_use(spark: SparkSession, d: str) -> DataFrame:
+    return packing.use(p8_bins(spark, d), table(spark, d, "containers"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_clean, p3_sequences, p5_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_clean, p3_sequences, p4_found, p4_forms, p4_equal, p5_found, p8_bins, p8_use, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
