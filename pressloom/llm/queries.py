@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressloom.llm import batches, leaks, lookalikes, packing, repeated_lines, residue
+from pressloom.llm import batches, encodings, leaks, lookalikes, packing, repeated_lines, residue
 from pressloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +56,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.damaged(table(spark, d, "documents"))
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.restored(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_clean, p3_sequences, p4_found, p4_forms, p4_equal, p5_found, p8_bins, p8_use, p9_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_clean, p3_sequences, p4_found, p4_forms, p4_equal, p5_found, p8_bins, p8_use, p9_found, p10_found, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
