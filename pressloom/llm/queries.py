@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressloom.llm import batches, encodings, leaks, lookalikes, packing, repeated_lines, residue
+from pressloom.llm import batches, encodings, languages, leaks, lookalikes, packing, repeated_lines, residue, subjects
 from pressloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "articles"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.assign(table(spark, d, "articles")).select("article_id", "slug")
+
+
+def p2_mix(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.mix(subjects.assign(table(spark, d, "articles")), table(spark, d, "subjects"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated(table(spark, d, "articles"))
 
@@ -44,6 +52,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return batches.all_pairs(table(spark, d, "articles"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.to_correct(table(spark, d, "articles"))
+
+
+def p7_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segments(table(spark, d, "articles"))
+
+
+def p7_labels(spark: SparkSession, d: str) -> DataFrame:
+    articles = table(spark, d, "articles")
+    return languages.labels(articles, languages.segments(articles))
+
+
 def p8_bins(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "containers"))
 
@@ -65,7 +86,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_clean, p3_sequences, p4_found, p4_forms, p4_equal, p5_found, p8_bins, p8_use, p9_found, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_mix, p3_found, p3_clean, p3_sequences, p4_found, p4_forms, p4_equal, p5_found, p7_found, p7_segments, p7_labels, p8_bins, p8_use, p9_found, p10_found, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
