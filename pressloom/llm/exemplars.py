@@ -69,6 +69,7 @@ ERRORS = [
     "Fatal error: allowed memory of 128 MB exhausted",
     "Traceback: template error in block “teaser”",
     "Uncaught exception in template renderer",
+    "Error rendering component StoryBody: 4k2x",
     "Ошибка 503",
     "Страница не найдена",
     "Страница недоступна",

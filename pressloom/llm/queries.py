@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressloom.llm import batches, encodings, languages, leaks, lookalikes, packing, repeated_lines, residue, subjects
+from pressloom.llm import batches, blocks, encodings, languages, leaks, lookalikes, packing, repeated_lines, residue, subjects
 from pressloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return batches.all_pairs(table(spark, d, "articles"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.page_lines(table(spark, d, "articles"))
+
+
+def p6_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.bodies(table(spark, d, "articles"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.to_correct(table(spark, d, "articles"))
 
@@ -86,7 +94,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_mix, p3_found, p3_clean, p3_sequences, p4_found, p4_forms, p4_equal, p5_found, p7_found, p7_segments, p7_labels, p8_bins, p8_use, p9_found, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_mix, p3_found, p3_clean, p3_sequences, p4_found, p4_forms, p4_equal, p5_found, p6_found, p6_bodies, p7_found, p7_segments, p7_labels, p8_bins, p8_use, p9_found, p10_found, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
