@@ -14,6 +14,7 @@ SCRIPTS = [
     "Checking your browser before you continue.",
     "Are you a robot?",
     "Just a moment…",
+    "Loading…",
     "Verify that you are human.",
     "В вашем браузере отключены сценарии.",
     "Сайт не работает без скриптов. Разрешите их и обновите страницу.",
@@ -62,6 +63,7 @@ ERRORS = [
     "Contact the administrator of the site.",
     "You do not have permission to open /page.",
     "Reference number: 5",
+    "You don't have permission to open /page on this server.",
     "Too many requests from your address.",
     "The upstream server did not answer in time.",
     "Try again in 5 minutes.",
@@ -80,6 +82,7 @@ ERRORS = [
     "Обратитесь к администратору сайта.",
     "У вас нет прав на просмотр /page.",
     "Номер обращения: 5",
+    "Код обращения: 5",
     "Сервер не ответил вовремя. Повторите через 5 минут.",
     "Слишком много запросов с вашего адреса.",
     "Hata 500",
@@ -91,6 +94,7 @@ ERRORS = [
     "Veritabanına bağlanılamadı.",
     "Bu sayfayı açma yetkiniz yok: /page",
     "Başvuru numarası: 5",
+    "Başvuru no: 5",
     "Adresinizden çok fazla istek geldi.",
     "Fehler 500",
     "Seite nicht gefunden",
@@ -101,6 +105,7 @@ ERRORS = [
     "Keine Verbindung zur Datenbank.",
     "Sie haben keine Berechtigung für /page.",
     "Referenznummer: 5",
+    "Vorgangsnummer: 5",
     "Zu viele Anfragen von Ihrer Adresse.",
     "Erreur 500",
     "Page introuvable",
@@ -119,7 +124,9 @@ ERRORS = [
     "El servidor no respondió. Inténtelo de nuevo en 5 minutos.",
     "No se pudo conectar con la base de datos.",
     "No tiene permiso para ver /page.",
+    "No tiene permiso para abrir /page.",
     "Número de referencia: 5",
+    "Referencia: 5",
     "Demasiadas solicitudes desde su dirección.",
 ]
 
@@ -135,13 +142,14 @@ FILLER = [
     "Sample text sample text sample text sample text.",
     "Образец текста образец текста образец текста.",
     "Здесь будет текст статьи. Замените этот абзац своим.",
-    "Текст-рыба для проверки вёрстки, смысла не имеет.",
+    "Рыбный текст для проверки вёрстки, он ничего не значит.",
     "Sayfa düzeni için deneme metni, anlamı yoktur.",
     "Metniniz buraya gelecek. Bu paragrafı değiştirin.",
     "Blindtext zur Ansicht des Layouts, ohne Inhalt.",
     "Hier steht Ihr Text. Bitte diesen Absatz ersetzen.",
     "Votre texte ici. Remplacez ce paragraphe.",
     "Faux texte pour la maquette, sans contenu.",
+    "Texte de remplissage, à supprimer avant publication.",
     "Texto de relleno para la maqueta, sin contenido.",
     "Escriba aquí su texto. Sustituya este párrafo.",
 ]

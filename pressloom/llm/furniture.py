@@ -14,11 +14,11 @@ archive|technology|video|contact|subscribe|weather|home|menu|search|world|scienc
 back to top|copy link|related stories|most read|advertise|careers|terms of use|share|print|comments|about us
 архив|технологии|видео|контакты|подписка|погода|главная|меню|поиск|мир|наука|вакансии|мнения|мнение|войти|принять все|отклонить|отклонить все|настройки cookie
 политика конфиденциальности|наверх|скопировать ссылку|материалы по теме|самое читаемое|реклама|условия
-archives|technologie|technologies|vidéo|s’abonner|abonnement|abonnements|météo|accueil|recherche|rechercher|monde|sciences|emplois|avis|opinions|connexion|se connecter|tout accepter|tout refuser|gérer les cookies
+archives|technologie|technologies|vidéo|vidéos|s’abonner|abonnement|abonnements|météo|accueil|recherche|rechercher|monde|sciences|emplois|avis|opinions|connexion|se connecter|tout accepter|tout refuser|gérer les cookies
 confidentialité|haut de page|copier le lien|sur le même sujet|les plus lus|publicité|conditions
-archiv|technik|kontakt|abo|wetter|startseite|menü|suche|welt|wissen|stellen|meinung|anmelden|alle annehmen|alle ablehnen|cookie-einstellungen
+archiv|technik|kontakt|video|videos|abo|wetter|startseite|menü|suche|welt|wissen|stellen|meinung|anmelden|alle annehmen|alle ablehnen|cookie-einstellungen
 datenschutz|nach oben|link kopieren|zum selben thema|meistgelesen|werbung|karriere|nutzungsbedingungen
-archivo|tecnología|vídeo|contacto|suscripción|suscribirse|el tiempo|tiempo|portada|inicio|menú|buscar|mundo|ciencia|empleo|opinión|entrar|iniciar sesión|aceptar todo|rechazar todo|configurar cookies
+archivo|hemeroteca|tecnología|vídeo|vídeos|contacto|suscripción|suscribirse|el tiempo|tiempo|portada|inicio|menú|buscar|mundo|ciencia|empleo|opinión|entrar|iniciar sesión|aceptar todo|rechazar todo|configurar cookies
 privacidad|volver arriba|copiar enlace|sobre el mismo tema|lo más leído|publicidad|condiciones
 arşiv|teknoloji|video|iletişim|abone ol|hava durumu|ana sayfa|menü|ara|dünya|bilim|iş ilanları|görüş|giriş|giriş yap|tümünü kabul et|reddet|tümünü reddet|çerez ayarları
 gizlilik|gizlilik bildirimi|yukarı çık|bağlantıyı kopyala|ilgili haberler|en çok okunanlar|reklam|kariyer|koşullar
