@@ -22,123 +22,13 @@ themselves; an empty table gives no pair.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.operators.similarity import Settings, classes, cosine_at_least, probe, segment_index, vectors
 from pressloom.storage import cut
 
 
-@dataclass(frozen=True)
-class Settings:
-    """dims: length of the vectors; segments and width: shape of the signature; spread: how many
-    standard deviations above the expected distance at `cosine` a signature may lie."""
-
-    dims: int = 64
-    cosine: float = 0.95
-    segments: int = 28
-    width: int = 14
-    spread: float = 6.0
-    seed: int = 20240101
-
-    @property
-    def bits(self) -> int:
-        return self.segments * self.width
-
-    @property
-    def distance(self) -> int:
-        """Largest edit distance of two signatures that is verified by the cosine."""
-        flip = math.acos(self.cosine) / math.pi
-        return math.ceil(self.bits * flip + self.spread * math.sqrt(self.bits * flip * (1 - flip)))
-
-
-def planes(settings: Settings) -> np.ndarray:
-    """Random directions, orthonormal in blocks of `dims`."""
-    rng = np.random.default_rng(settings.seed)
-    blocks = [np.linalg.qr(rng.standard_normal((settings.dims, settings.dims)))[0] for _ in range(-(-settings.bits // settings.dims))]
-    return np.concatenate(blocks, axis=1)[:, : settings.bits].astype(np.float32)
-
-
-def vectors(rows: DataFrame, settings: Settings = Settings(), column: str = "embedding") -> DataFrame:
-    """id, v: the rows whose vector can match, `v` at unit length as binary float32."""
-
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, col = b.column(0), b.column(1)
-            lists = col.to_numpy(zero_copy_only=False)
-            ok = np.array([x is not None and len(x) == settings.dims for x in lists], dtype=bool)
-            m = np.stack([np.asarray(x, dtype=np.float64) for x in lists[ok]]) if ok.any() else np.zeros((0, settings.dims))
-            norm = np.linalg.norm(m, axis=1)
-            good = np.isfinite(norm) & (norm > 0)
-            unit = (m[good] / norm[good][:, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids)[ok][good], pa.int64()), pa.array([x.tobytes() for x in unit], pa.binary())], names=["id", "v"])
-
-    return rows.where(F.col(column).isNotNull()).select(F.col("article_id").cast("long"), F.col(column).cast("array<float>")).mapInArrow(convert, "id long, v binary")
-
-
-def classes(vecs: DataFrame) -> DataFrame:
-    """rep, v: one row for each distinct vector, `rep` the smallest id that has it."""
-    return vecs.groupBy("v").agg(F.min("id").alias("rep"))
-
-
-def segment_index(reps: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """position, content, rep, sig: `segments` rows for each class; `sig` is the signature as longs."""
-    longs = -(-settings.bits // 64)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = planes(settings)
-        powers = (1 << np.arange(settings.width)).astype(np.int32)
-        for b in batches:
-            n = b.num_rows
-            m = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.float32).reshape(n, settings.dims)
-            bits = m @ p > 0
-            content = bits.reshape(n, settings.segments, settings.width).astype(np.int32) @ powers
-            packed = np.packbits(np.pad(bits, ((0, 0), (0, longs * 64 - settings.bits))), axis=1)
-            sig = packed.reshape(n, longs, 8).view(np.int64)[:, :, 0]
-            out = [pa.array(np.asarray(b.column(0)), pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(content.ravel()), settings.segments).cast(pa.list_(pa.int32()))]
-            out += [pa.array(np.ascontiguousarray(sig[:, j])) for j in range(longs)]
-            yield pa.RecordBatch.from_arrays(out, names=["rep", "contents", *(f"s{j}" for j in range(longs))])
-
-    schema = "rep long, contents array<int>, " + ", ".join(f"s{j} long" for j in range(longs))
-    wide = reps.select("rep", "v").mapInArrow(index, schema)
-    return wide.select(F.posexplode("contents").alias("position", "content"), "rep", *(f"s{j}" for j in range(longs)))
-
-
-def edit_distance(settings: Settings, a: str, b: str) -> Column:
-    """Substitutions between two signatures."""
-    longs = -(-settings.bits // 64)
-    return sum((F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))) for j in range(1, longs)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-
-
-def probe(new: DataFrame, stored: DataFrame, settings: Settings = Settings(), within: bool = False) -> DataFrame:
-    """a, b: classes that share a segment and lie within the edit distance; each pair once.
-
-    `within`: `new` and `stored` are one index, whose pairs are taken in one direction.
-    """
-    a, b = new.alias("a"), stored.alias("b")
-    met = (F.col("a.position") == F.col("b.position")) & (F.col("a.content") == F.col("b.content")) & (edit_distance(settings, "a", "b") <= settings.distance)
-    met &= F.col("a.rep") < F.col("b.rep") if within else F.col("a.rep") != F.col("b.rep")
-    return a.join(b, met).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-
-
-def cosine_at_least(pairs: DataFrame, left: DataFrame, right: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """a, b: the pairs whose vectors reach the cosine; `left` and `right` hold rep, v."""
-    joined = pairs.join(left.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(right.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            va, vb = (np.frombuffer(b"".join(x.column(k).to_pylist()), dtype=np.float32).reshape(x.num_rows, settings.dims).astype(np.float64) for k in (2, 3))
-            ok = pa.array(np.einsum("ij,ij->i", va, vb) >= settings.cosine - 1e-7)
-            yield x.select(["a", "b"]).filter(ok)
-
-    return joined.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long")
-
-
 def ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("article_id_1"), F.greatest(a, b).alias("article_id_2")]
 
