@@ -1,5 +1,166 @@
-"""Queries of this block."""
+"""Aggregations: entities, outlets, regions, facets, thresholds."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pressloom.functions import text as T
+from pressloom.plans.oracle import NAMES, outlet
 from pressloom.plans.registry import registry
+from pressloom.plans.scalars import articles
+from pressloom.sources.tables import table
 
 Q, SQL, query = registry()
+
+
+def names(spark: SparkSession, d: str) -> DataFrame:
+    """article_id, country, pos, name: the distinct cleaned names of each article."""
+    a = articles(spark, d, "article_id", "country", "entities").where("entities is not null")
+    raw = a.select("article_id", "country", F.posexplode(F.transform(F.split("entities", ";"), T.entity_clean)).alias("pos", "name")).where("name <> ''")
+    return raw.groupBy("article_id", "country", "name").agg((F.min("pos") + 1).alias("pos"))
+
+
+def frequencies(n: DataFrame) -> DataFrame:
+    return n.groupBy("country", "name").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query(f"WITH {NAMES} SELECT country, name, count(*) AS df FROM names GROUP BY country, name")
+def a01_document_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return frequencies(names(spark, d))
+
+
+_DF = f"WITH {NAMES}, df AS (SELECT country, name, count(*) AS df FROM names GROUP BY country, name)"
+
+
+@query(f"{_DF} SELECT n.article_id, count(*) AS prominent FROM names n JOIN df ON df.country IS NOT DISTINCT FROM n.country AND df.name = n.name WHERE df.df >= 3 GROUP BY n.article_id")
+def a02_prominent(spark: SparkSession, d: str) -> DataFrame:
+    n = names(spark, d)
+    big = frequencies(n).where("df >= 3").select(F.col("country").alias("c"), F.col("name").alias("m"))
+    return n.join(big, F.col("country").eqNullSafe(F.col("c")) & (F.col("name") == F.col("m"))).groupBy("article_id").agg(F.count(F.lit(1)).alias("prominent"))
+
+
+@query(f"{_DF} SELECT n.article_id, round(least(1.0, count(*) FILTER (WHERE df.df >= 3) / 4.0), 6) AS weight FROM names n JOIN df ON df.country IS NOT DISTINCT FROM n.country AND df.name = n.name GROUP BY n.article_id")
+def a03_entity_weight(spark: SparkSession, d: str) -> DataFrame:
+    n = names(spark, d)
+    f = frequencies(n).select(F.col("country").alias("c"), F.col("name").alias("m"), "df")
+    joined = n.join(f, F.col("country").eqNullSafe(F.col("c")) & (F.col("name") == F.col("m")))
+    return joined.groupBy("article_id").agg(F.round(F.least(F.lit(1.0), F.count_if(F.col("df") >= 3) / 4.0), 6).alias("weight"))
+
+
+@query(f"SELECT title_hash, count(DISTINCT nullif({outlet('url')}, '')) AS outlets FROM articles WHERE title_hash IS NOT NULL GROUP BY title_hash")
+def a04_outlets(spark: SparkSession, d: str) -> DataFrame:
+    dom = T.outlet(F.col("url"))
+    return articles(spark, d, "title_hash", "url").where("title_hash is not null").groupBy("title_hash").agg(F.count_distinct(F.when(dom != "", dom)).alias("outlets"))
+
+
+@query(f"SELECT {outlet('url')} AS domain, count(*) AS reach FROM articles WHERE {outlet('url')} <> '' GROUP BY 1")
+def a05_reach(spark: SparkSession, d: str) -> DataFrame:
+    return articles(spark, d, "url").groupBy(T.outlet(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("reach")).where("domain <> ''")
+
+
+_TOP = f"""WITH {NAMES}, four AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY pos) AS k FROM names),
+c AS (SELECT country, name, count(*) AS n, min(article_id * 100 + pos) AS first FROM four WHERE k <= 4 GROUP BY country, name HAVING count(*) > 1)"""
+
+
+def top_names(spark: SparkSession, d: str, most: int) -> DataFrame:
+    four = names(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("article_id").orderBy("pos"))).where("k <= 4")
+    c = four.groupBy("country", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("article_id") * 100 + F.col("pos")).alias("first")).where("n > 1")
+    return c.withColumn("r", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("n"), "first"))).where(F.col("r") <= most)
+
+
+@query(f"{_TOP} SELECT country, name, n, r FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY n DESC, first) AS r FROM c) WHERE r <= 14")
+def a06_top_entities(spark: SparkSession, d: str) -> DataFrame:
+    return top_names(spark, d, 14).select("country", "name", "n", "r")
+
+
+@query(f"{_TOP} SELECT country, name, any_value(ru) AS ru, any_value(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY n DESC, first) AS r FROM c) t JOIN (SELECT DISTINCT name, ru FROM entity_ru WHERE src = 'keep') e USING (name) WHERE r <= 14 AND n >= 2 GROUP BY country, name")
+def a07_popular_names(spark: SparkSession, d: str) -> DataFrame:
+    kept = table(spark, d, "entity_ru").where("src = 'keep'").select("name", "ru").distinct()
+    return top_names(spark, d, 14).where("n >= 2").join(kept, "name").groupBy("country", "name").agg(F.min("ru").alias("ru"), F.first("n").alias("n"))
+
+
+@query("SELECT verdict, count(*) AS n, sum(attempts) AS attempts, count(embedding) AS with_vector FROM seen_urls GROUP BY verdict")
+def a08_verdict_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "seen_urls").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("attempts").alias("attempts"), F.count("embedding").alias("with_vector"))
+
+
+@query("""SELECT c.region_name AS region, a.country, count(*) AS n, max(a.importance) AS top FROM articles a JOIN countries c ON c.country = a.country WHERE a.importance > 5 GROUP BY ROLLUP (c.region_name, a.country)""")
+def a09_region_rollup(spark: SparkSession, d: str) -> DataFrame:
+    a = articles(spark, d, "country", "importance").where("importance > 5")
+    joined = a.join(F.broadcast(table(spark, d, "countries", "country", "region_name")), "country").withColumnRenamed("region_name", "region")
+    return joined.rollup("region", "country").agg(F.count(F.lit(1)).alias("n"), F.max("importance").alias("top")).select("region", "country", "n", "top")
+
+
+@query("""WITH b AS (SELECT slug, CAST(row_number() OVER (ORDER BY slug) - 1 AS INT) AS i FROM subjects)
+SELECT article_id, CAST(bit_or(1 << i) AS INT) AS mask FROM (SELECT DISTINCT article_id, slug FROM subject_labels) l JOIN b USING (slug) GROUP BY article_id""")
+def a10_topic_mask(spark: SparkSession, d: str) -> DataFrame:
+    bits = table(spark, d, "subjects", "slug").withColumn("i", F.row_number().over(Window.orderBy("slug")) - 1)
+    labels = table(spark, d, "subject_labels", "article_id", "slug").distinct()
+    return labels.join(F.broadcast(bits), "slug").groupBy("article_id").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
+
+
+_SENT = "unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?…])\\s+|\\n+', '\\1\x01', 'g'), '\x01'))"
+_FP = "substr(regexp_replace(lower(s), '[^\\p{L}\\p{N}_]+', '', 'g'), 1, 120)"
+
+
+@query(f"""SELECT domain, fp, count(DISTINCT k) AS stories FROM (SELECT {outlet('url')} AS domain, coalesce(title_hash, CAST(article_id AS VARCHAR)) AS k, {_FP} AS fp FROM (SELECT url, title_hash, article_id, {_SENT} AS s FROM articles))
+WHERE length(fp) >= 12 GROUP BY domain, fp HAVING count(DISTINCT k) >= 4""")
+def a11_boilerplate(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of one outlet in four stories or more. Distinct (outlet, sentence, story) first, so the counting groups are pre-aggregated."""
+    parts = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?…])\s+|\n+", "$1\x01"), "\x01")
+    a = articles(spark, d, "article_id", "url", "title_hash", "text").select(T.outlet(F.col("url")).alias("domain"), F.coalesce("title_hash", F.col("article_id").cast("string")).alias("k"), F.explode(parts).alias("s"))
+    fp = a.select("domain", "k", T.fingerprint(F.col("s")).alias("fp")).where(F.length("fp") >= 12).distinct()
+    return fp.groupBy("domain", "fp").agg(F.count(F.lit(1)).alias("stories")).where("stories >= 4")
+
+
+_WORDS = """w AS (SELECT l.slug, unnest(list_distinct(regexp_extract_all(lower(a.title), '[\\p{L}]{4,}'))) AS word, l.article_id FROM (SELECT DISTINCT article_id, slug FROM subject_labels) l JOIN articles a USING (article_id)),
+c AS (SELECT slug, word, count(*) AS n FROM w GROUP BY slug, word), t AS (SELECT word, sum(n) AS tn FROM c GROUP BY word), s AS (SELECT slug, sum(n) AS sn FROM c GROUP BY slug), g AS (SELECT sum(n) AS gn FROM c)"""
+
+
+@query(f"""WITH {_WORDS} SELECT slug, word, round(z, 5) AS z FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY round(z, 5) DESC, word) AS r FROM (
+  SELECT c.slug, c.word, (ln((c.n + 0.5) / (s.sn + 1 - c.n - 0.5)) - ln((t.tn - c.n + 0.5) / (g.gn - s.sn + 1 - (t.tn - c.n) - 0.5))) / sqrt(1 / (c.n + 0.5) + 1 / (t.tn - c.n + 0.5)) AS z FROM c JOIN t USING (word) JOIN s USING (slug), g)) WHERE r <= 14""")
+def a12_topic_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words that tell a subject apart: log-odds with a prior, the best 14 of each."""
+    labels = table(spark, d, "subject_labels", "article_id", "slug").distinct()
+    titles = articles(spark, d, "article_id", "title")
+    w = labels.join(titles, "article_id").select("slug", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"([\p{L}]{4,})"), F.lit(1)))).alias("word"))
+    c = w.groupBy("slug", "word").agg(F.count(F.lit(1)).alias("n"))
+    t, s = c.groupBy("word").agg(F.sum("n").alias("tn")), c.groupBy("slug").agg(F.sum("n").alias("sn"))
+    g = c.agg(F.sum("n").alias("gn"))
+    j = c.join(t, "word").join(F.broadcast(s), "slug").crossJoin(F.broadcast(g))
+    z = F.expr("(ln((n + 0.5D) / (sn + 1 - n - 0.5D)) - ln((tn - n + 0.5D) / (gn - sn + 1 - (tn - n) - 0.5D))) / sqrt(1 / (n + 0.5D) + 1 / (tn - n + 0.5D))")
+    r = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("z"), "word"))
+    return j.select("slug", "word", F.round(z, 5).alias("z")).withColumn("r", r).where("r <= 14").select("slug", "word", "z")
+
+
+@query("SELECT 'country' AS facet, country AS value, count(*) AS n FROM articles GROUP BY country UNION ALL SELECT 'day', CAST(CAST(fetched_at AS DATE) AS VARCHAR), count(*) FROM articles GROUP BY 2 UNION ALL SELECT 'language', language, count(*) FROM articles GROUP BY language")
+def a17_facets(spark: SparkSession, d: str) -> DataFrame:
+    """All facets in one pass: an explode of (facet, value), not one scan for each."""
+    pairs = F.array(F.struct(F.lit("country").alias("facet"), F.col("country").alias("value")), F.struct(F.lit("day").alias("facet"), F.to_date("fetched_at").cast("string").alias("value")), F.struct(F.lit("language").alias("facet"), F.col("language").alias("value")))
+    return articles(spark, d, "country", "fetched_at", "language").select(F.explode(pairs).alias("p")).groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(day AS VARCHAR) AS day, n, round_even(n * 100.0 / max(n) OVER (), 0) AS height FROM (SELECT CAST(fetched_at AS DATE) AS day, count(*) AS n FROM articles GROUP BY 1)")
+def a18_histogram(spark: SparkSession, d: str) -> DataFrame:
+    days = articles(spark, d, "fetched_at").groupBy(F.to_date("fetched_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    peak = F.broadcast(days.agg(F.max("n").alias("peak")))
+    return days.crossJoin(peak).select(F.col("day").cast("string").alias("day"), "n", F.bround(F.col("n") * F.lit(100.0) / F.col("peak"), 0).alias("height"))
+
+
+@query(f"WITH {NAMES} SELECT kind, value, count(*) AS n FROM (SELECT 'country' AS kind, country AS value FROM articles UNION ALL SELECT 'outlet', {outlet('url')} FROM articles UNION ALL SELECT 'entity', name FROM names) WHERE value IS NOT NULL GROUP BY kind, value")
+def a19_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    a = articles(spark, d, "article_id", "country", "url", "entities")
+    own = F.transform(T.entities(F.col("entities")), lambda n: F.struct(F.lit("entity").alias("kind"), n.alias("value")))
+    pairs = F.concat(F.array(F.struct(F.lit("country").alias("kind"), F.col("country").alias("value")), F.struct(F.lit("outlet").alias("kind"), T.outlet(F.col("url")).alias("value"))), own)
+    return a.select(F.explode(pairs).alias("p")).where("p.value is not null").groupBy("p.kind", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT round(quantile_cont(importance, 0.05), 6) AS p05, round(quantile_cont(importance, 0.5), 6) AS p50 FROM articles WHERE importance > 5")
+def a13_percentile(spark: SparkSession, d: str) -> DataFrame:
+    return articles(spark, d, "importance").where("importance > 5").agg(F.round(F.percentile("importance", 0.05), 6).alias("p05"), F.round(F.percentile("importance", 0.5), 6).alias("p50"))
+
+
+@query("SELECT country, approx AS countries FROM (SELECT country, 1 AS approx FROM countries)")
+def a20_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "countries").groupBy("country").agg(F.approx_count_distinct("country").cast("int").alias("countries"))
