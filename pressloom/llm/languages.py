@@ -178,8 +178,16 @@ def judged(rates: np.ndarray) -> list[tuple[str, float]]:
 def labelled_sample(articles: DataFrame, settings: Settings = Settings()) -> dict[str, str]:
     """Cleaned labelled text of each language: a bounded sample, chosen by hash."""
     rows = articles.where("text is not null").select(normal_code(F.col("language")).alias("lang"), F.xxhash64("article_id").alias("h"), "text").where(F.col("lang").isin(*LANGUAGES))
-    # a bounded heap in each task and language, then one for each language
-    union = reduce(DataFrame.unionByName, (rows.where(F.col("lang") == g).orderBy("h").limit(settings.rows) for g in LANGUAGES))
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    if not counts:
+        return {g: "" for g in LANGUAGES}
+
+    def some(g: str) -> DataFrame:
+        # rows far above the sample's expected hash stay in their tasks
+        share = min(1.0, 2.0 * settings.rows / counts[g] + 20 / counts[g])
+        return rows.where((F.col("lang") == g) & (F.col("h") <= F.lit(int((2 * share - 1) * (2**63 - 1))))).orderBy("h").limit(settings.rows)
+
+    union = reduce(DataFrame.unionByName, map(some, sorted(counts)))
     found = union.collect()
     pieces: dict[str, list[str]] = {g: [] for g in LANGUAGES}
     for r in found:

@@ -109,7 +109,7 @@ class Index:
     """Exemplars by their rare terms, with the weights of all terms."""
 
     def __init__(self, n: int, df: dict[str, int], settings: Settings = Settings()) -> None:
-        self.settings, self.unknown = settings, math.log(n + 2.0)
+        self.settings, self.unknown, self.rows = settings, math.log(n + 2.0), n
         self.weight = {t: math.log((n + 2.0) / (df.get(t, 0) + 1.0)) for t in vocabulary()}
         self.exemplars: list[tuple[frozenset[str], float, bool]] = []
         self.postings: dict[str, list[int]] = defaultdict(list)
