@@ -275,7 +275,7 @@ def trained(articles: DataFrame, index: residue.Index, settings: Settings = Sett
     rows = articles.where(F.length(F.trim("text")) > 0).select("title", "text", F.xxhash64("article_id").alias("h"), F.col("article_id").alias("i"))
     # rows far above the sample's expected hash stay in their tasks
     share = min(1.0, 2.0 * settings.sample / max(1, index.rows))
-    sample = rows.where(F.col("h") <= F.lit(int((2 * share - 1) * (2**63 - 1)))).orderBy("h", "i").limit(settings.sample).select("title", "text").collect()
+    sample = rows.where(F.col("h") <= F.lit(min(2**63 - 1, int((2 * share - 1) * 2**63)))).orderBy("h", "i").limit(settings.sample).select("title", "text").collect()
     pages, labels = training_pages([r.text for r in sample if not index.residue(r.title, r.text)], settings)
     if not pages:
         return None

@@ -185,7 +185,7 @@ def labelled_sample(articles: DataFrame, settings: Settings = Settings()) -> dic
     def some(g: str) -> DataFrame:
         # rows far above the sample's expected hash stay in their tasks
         share = min(1.0, 2.0 * settings.rows / counts[g] + 20 / counts[g])
-        return rows.where((F.col("lang") == g) & (F.col("h") <= F.lit(int((2 * share - 1) * (2**63 - 1))))).orderBy("h").limit(settings.rows)
+        return rows.where((F.col("lang") == g) & (F.col("h") <= F.lit(min(2**63 - 1, int((2 * share - 1) * 2**63))))).orderBy("h").limit(settings.rows)
 
     union = reduce(DataFrame.unionByName, map(some, sorted(counts)))
     found = union.collect()
