@@ -99,25 +99,28 @@ def edit_distance(settings: Settings, a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))) for j in range(1, longs)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
 
 
-def probe(new: DataFrame, stored: DataFrame, settings: Settings = Settings(), within: bool = False) -> DataFrame:
+def probe(new: DataFrame, stored: DataFrame, settings: Settings = Settings(), within: bool = False, groups: tuple[str, ...] = ()) -> DataFrame:
     """a, b: classes that share a segment and lie within the edit distance; each pair once.
 
-    `within`: `new` and `stored` are one index, whose pairs are taken in one direction.
+    `groups`: columns of both that must be equal. `within`: `new` and `stored` are one index, whose pairs are taken in one direction.
     """
     a, b = new.alias("a"), stored.alias("b")
-    met = (F.col("a.position") == F.col("b.position")) & (F.col("a.content") == F.col("b.content")) & (edit_distance(settings, "a", "b") <= settings.distance)
+    met = F.lit(True)
+    for g in groups:
+        met &= F.col(f"a.{g}") == F.col(f"b.{g}")
+    met &= (F.col("a.position") == F.col("b.position")) & (F.col("a.content") == F.col("b.content")) & (edit_distance(settings, "a", "b") <= settings.distance)
     met &= F.col("a.rep") < F.col("b.rep") if within else F.col("a.rep") != F.col("b.rep")
     return a.join(b, met).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
 def cosine_at_least(pairs: DataFrame, left: DataFrame, right: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """a, b: the pairs whose vectors reach the cosine; `left` and `right` hold rep, v."""
+    """a, b, cos: the pairs whose vectors reach the cosine; `left` and `right` hold rep, v."""
     joined = pairs.join(left.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(right.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             va, vb = (np.frombuffer(b"".join(x.column(k).to_pylist()), dtype=np.float32).reshape(x.num_rows, settings.dims).astype(np.float64) for k in (2, 3))
-            ok = pa.array(np.einsum("ij,ij->i", va, vb) >= settings.cosine - 1e-7)
-            yield x.select(["a", "b"]).filter(ok)
+            cos = np.einsum("ij,ij->i", va, vb)
+            yield x.select(["a", "b"]).append_column("cos", pa.array(cos)).filter(pa.array(cos >= settings.cosine - 1e-7))
 
-    return joined.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long")
+    return joined.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long, cos double")

@@ -1,5 +1,217 @@
-"""Queries of this block."""
+"""Stories: similarity, clustering, ranking, representatives."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pressloom.functions import text as T
+from pressloom.functions import time as D
+from pressloom.functions import vector as V
+from pressloom.operators import rank as R
+from pressloom.operators import similarity as S
+from pressloom.operators.cluster import leaders
+from pressloom.plans.counts import frequencies, names
+from pressloom.plans.oracle import NOW, outlet
 from pressloom.plans.registry import registry
+from pressloom.plans.scalars import RESTRICTED, articles
+from pressloom.plans.scans import ago, timed
+from pressloom.settings import DEFAULT
 
 Q, SQL, query = registry()
+
+
+@query("SELECT article_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS norm FROM articles WHERE embedding IS NOT NULL AND len(embedding) > 0")
+def c01_norm(spark: SparkSession, d: str) -> DataFrame:
+    a = articles(spark, d, "article_id", "embedding").where("embedding is not null and size(embedding) > 0")
+    return a.select("article_id", F.round(V.norm(F.col("embedding")), 4).alias("norm"))
+
+
+@query("""SELECT article_id, round(list_dot_product(embedding, embedding_body) / nullif(sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(embedding_body, embedding_body)), 0), 4) AS cos
+FROM (SELECT article_id, CAST(embedding AS DOUBLE[]) AS embedding, CAST(embedding_body AS DOUBLE[]) AS embedding_body FROM articles WHERE embedding IS NOT NULL AND embedding_body IS NOT NULL)""")
+def c02_cosine(spark: SparkSession, d: str) -> DataFrame:
+    a = articles(spark, d, "article_id", "embedding", "embedding_body").where("embedding is not null and embedding_body is not null")
+    return a.select("article_id", F.round(V.cosine(F.col("embedding"), F.col("embedding_body")), 4).alias("cos"))
+
+
+def _leaders_sql(where: str, column: str, tau: float, group: str) -> str:
+    return f"""WITH RECURSIVE base AS (SELECT *, row_number() OVER (ORDER BY fetched_at DESC, article_id) AS i FROM (SELECT article_id, coalesce({group}, '') AS g, fetched_at, CAST({column} AS DOUBLE[]) AS v FROM articles WHERE {where})),
+live AS (SELECT i, g, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM base WHERE v IS NOT NULL AND len(v) > 0 AND list_dot_product(v, v) > 0),
+e AS MATERIALIZED (SELECT b.i AS late, list(a.i) AS early FROM live a JOIN live b ON a.g = b.g AND a.i < b.i WHERE list_dot_product(a.u, b.u) >= {tau} - 1e-7 GROUP BY b.i),
+late AS MATERIALIZED (SELECT late, early, row_number() OVER (ORDER BY late) AS k FROM e),
+s AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS absorbed UNION ALL
+  SELECT l.k, CASE WHEN len(list_filter(l.early, lambda x: NOT list_contains(s.absorbed, x))) > 0 THEN list_append(s.absorbed, l.late) ELSE s.absorbed END FROM s JOIN late l ON l.k = s.k + 1),
+fin AS (SELECT absorbed FROM s ORDER BY k DESC LIMIT 1),
+led AS (SELECT l.late AS i, list_min(list_filter(l.early, lambda x: NOT list_contains(fin.absorbed, x))) AS lead FROM late l, fin WHERE list_contains(fin.absorbed, l.late)),
+grouped AS (SELECT b.article_id, coalesce(c.article_id, b.article_id) AS leader FROM base b LEFT JOIN led ON led.i = b.i LEFT JOIN base c ON c.i = led.lead)"""
+
+
+def newest(a: DataFrame) -> DataFrame:
+    return a.withColumn("age_us", -F.unix_micros("fetched_at"))
+
+
+def title_groups(spark: SparkSession, d: str) -> DataFrame:
+    return leaders(newest(timed(spark, d, "country", "embedding")), "country", ["age_us"], "embedding", S.Settings(cosine=DEFAULT.same_title))
+
+
+@query(_leaders_sql("TRUE", "embedding", 0.95, "country") + " SELECT article_id, leader FROM grouped")
+def c04_title_groups(spark: SparkSession, d: str) -> DataFrame:
+    return title_groups(spark, d)
+
+
+_WINDOW = f"importance > 5 AND fetched_at >= {NOW} - INTERVAL 336 HOUR"
+
+
+def window(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return timed(spark, d, "importance", "country", *columns).where((F.col("importance") > DEFAULT.accepted_above) & (F.col("fetched_at") >= ago(336)))
+
+
+def body_groups(spark: SparkSession, d: str) -> DataFrame:
+    return leaders(newest(window(spark, d, "embedding_body")), "country", ["age_us"], "embedding_body", S.Settings(cosine=DEFAULT.same_body, segments=40, width=12))
+
+
+@query(_leaders_sql(_WINDOW, "embedding_body", 0.91, "country") + " SELECT article_id, leader FROM grouped")
+def c05_stories(spark: SparkSession, d: str) -> DataFrame:
+    return body_groups(spark, d)
+
+
+@query("""WITH u AS (SELECT article_id, country, fetched_at, importance, scored_by, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM (SELECT *, CAST(embedding AS DOUBLE[]) AS v FROM articles WHERE embedding IS NOT NULL) WHERE len(v) > 0 AND list_dot_product(v, v) > 0),
+p AS (SELECT n.article_id, o.article_id AS old, o.importance, list_dot_product(n.u, o.u) AS cos FROM u n JOIN u o ON o.country = n.country AND n.article_id <> o.article_id
+  WHERE n.importance IS NULL AND o.importance IS NOT NULL AND (o.scored_by IS NULL OR o.scored_by = 'llm') AND o.fetched_at <= n.fetched_at AND o.fetched_at >= n.fetched_at - INTERVAL 192 HOUR AND list_dot_product(n.u, o.u) >= 0.95 - 1e-7)
+SELECT article_id, importance FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY round(cos, 5) DESC, old) AS r FROM p) WHERE r = 1""")
+def c06_verdict_reuse(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest judged article of the same country within eight days, by the segment index."""
+    s = S.Settings(cosine=DEFAULT.same_title)
+    a = timed(spark, d, "country", "importance", "scored_by", "embedding")
+    new, old = a.where("importance is null"), a.where("importance is not null and (scored_by is null or scored_by = 'llm')")
+    side = lambda x: S.vectors(x, s).withColumnRenamed("id", "rep")
+    n, o = side(new), side(old)
+    met = S.probe(S.segment_index(n, s), S.segment_index(o, s), s)
+    near = S.cosine_at_least(met, n, o, s)
+    facts = near.join(new.select(F.col("article_id").alias("a"), F.col("country").alias("ca"), F.col("fetched_at").alias("ta")), "a").join(old.select(F.col("article_id").alias("b"), F.col("country").alias("cb"), F.col("fetched_at").alias("tb"), F.col("importance").alias("verdict")), "b")
+    facts = facts.where((F.col("ca") == F.col("cb")) & (F.col("tb") <= F.col("ta")) & (F.col("tb") >= F.col("ta") - F.expr("interval 192 hours")))
+    return facts.groupBy(F.col("a").alias("article_id")).agg(F.max_by("verdict", F.struct(F.round("cos", 5), -F.col("b"))).alias("importance"))
+
+
+@query("""WITH u AS (SELECT article_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM (SELECT article_id, CAST(embedding AS DOUBLE[]) AS v FROM articles WHERE embedding IS NOT NULL) WHERE len(v) > 0 AND list_dot_product(v, v) > 0),
+p AS (SELECT a.article_id AS q, b.article_id AS other, round(list_dot_product(a.u, b.u), 4) AS cos FROM u a JOIN u b ON a.article_id <> b.article_id WHERE a.article_id % 50 = 0 AND list_dot_product(a.u, b.u) >= 0.86 - 1e-7)
+SELECT q, other, cos FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cos DESC, other) AS r FROM p) WHERE r <= 4""")
+def c07_similar(spark: SparkSession, d: str) -> DataFrame:
+    """Up to four similar articles of each query row (ids divisible by 50) among all rows."""
+    s = S.Settings(cosine=DEFAULT.similar, segments=60, width=12)
+    rows = S.vectors(articles(spark, d, "article_id", "embedding"), s).withColumnRenamed("id", "rep")
+    asked = rows.where("rep % 50 = 0")
+    near = S.cosine_at_least(S.probe(S.segment_index(asked, s), S.segment_index(rows, s), s), asked, rows, s)
+    w = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
+    top = near.withColumn("cos", F.round("cos", 4)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= DEFAULT.similar_most)
+    return top.select(F.col("a").alias("q"), F.col("b").alias("other"), "cos")
+
+
+@query("""SELECT article_id, round(list_sum(b), 4) AS total FROM (SELECT article_id, CASE WHEN e IS NULL THEN f WHEN f IS NULL THEN e ELSE list_transform(list_zip(e, f), lambda z: (z[1] + z[2]) / 2) END AS b
+FROM (SELECT article_id, CAST(embedding AS DOUBLE[]) AS e, CAST(embedding_body AS DOUBLE[]) AS f FROM articles) WHERE e IS NOT NULL OR f IS NOT NULL)""")
+def c09_blend(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of title and body vector, one where the other is missing (c10), checked by its sum."""
+    e, f = F.col("embedding"), F.col("embedding_body")
+    both = F.zip_with(e, f, lambda x, y: (x.cast("double") + y.cast("double")) / 2)
+    b = F.when(e.isNull(), F.transform(f, lambda x: x.cast("double"))).when(f.isNull(), F.transform(e, lambda x: x.cast("double"))).otherwise(both)
+    a = articles(spark, d, "article_id", "embedding", "embedding_body").where("embedding is not null or embedding_body is not null")
+    return a.select("article_id", F.round(F.aggregate(b, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query(_leaders_sql(_WINDOW, "embedding_body", 0.91, "country") + " SELECT g.leader, sha1(string_agg(DISTINCT a.url, chr(10) ORDER BY a.url) || chr(10)) AS key FROM grouped g JOIN articles a USING (article_id) GROUP BY g.leader")
+def c11_story_key(spark: SparkSession, d: str) -> DataFrame:
+    """sha1 over the story's sorted distinct urls. A story's urls are the key's own input."""
+    joined = body_groups(spark, d).join(articles(spark, d, "article_id", "url"), "article_id")
+    return joined.groupBy("leader").agg(F.sha1(F.concat(F.array_join(F.array_sort(F.collect_set("url")), "\n"), F.lit("\n"))).alias("key"))
+
+
+@query("""SELECT entity_id, coalesce(k.ru, e.ru, array_to_string(list_transform(string_split(e.name, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')) AS shown
+FROM entity_ru e LEFT JOIN (SELECT name, min(ru) AS ru FROM entity_ru WHERE src = 'keep' GROUP BY name) k USING (name)""")
+def c13_name_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Glossary form, else cached form, else title case."""
+    from pressloom.sources.tables import table
+
+    e = table(spark, d, "entity_ru")
+    kept = e.where("src = 'keep'").groupBy("name").agg(F.min("ru").alias("kept"))
+    return e.join(kept, "name", "left").select("entity_id", F.coalesce("kept", "ru", F.initcap("name")).alias("shown"))
+
+
+@query()
+def c14_control_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Five in a hundred urls, chosen by hash, go past the gate."""
+    return articles(spark, d, "url").where(F.pmod(F.xxhash64("url"), F.lit(10000)) < 500).select("url").distinct()
+
+
+def ranked(spark: SparkSession, d: str) -> DataFrame:
+    """country, leader, members, outlets, lex, cov, ent, weight, age, rank of each story of the window."""
+    a = window(spark, d, "article_id", "url", "embedding_body", "embedding", "entities").withColumn("domain", T.outlet(F.col("url")))
+    grouped = body_groups(spark, d).join(a, "article_id")
+    n = names(spark, d).join(a.select("article_id"), "article_id", "left_semi")
+    f = frequencies(n).select(F.col("country").alias("c"), F.col("name").alias("m"), "df")
+    ent = n.join(f, F.col("country").eqNullSafe(F.col("c")) & (F.col("name") == F.col("m"))).groupBy("article_id").agg(F.least(F.lit(1.0), F.count_if(F.col("df") >= DEFAULT.prominent_at) / 4.0).alias("w"))
+    rows = grouped.join(ent, "article_id", "left")
+    story = rows.groupBy(F.coalesce("country", F.lit("")).alias("country"), "leader").agg(
+        F.count(F.lit(1)).alias("members"), F.count_distinct(F.when(F.col("domain") != "", F.col("domain"))).alias("outlets"),
+        F.coalesce(F.max("w"), F.lit(0.0)).alias("ent"), F.min(D.age_days(F.col("fetched_at"), F.col("now"))).alias("age"),
+    )
+    vector = F.coalesce("embedding_body", "embedding")
+    nodes = a.join(story.select(F.col("leader").alias("article_id"), F.col("country").alias("g")), "article_id").where(vector.isNotNull()).select(F.col("g").alias("country"), F.col("article_id").alias("id"), vector.alias("vector"), "domain")
+    lex = R.lexrank(nodes, "country")
+    joined = story.join(lex.select("country", F.col("id").alias("leader"), "lex"), ["country", "leader"], "left")
+    joined = joined.withColumn("lex", R.minmax(F.coalesce("lex", F.lit(0.0)), "country")).withColumn("cov", R.coverage(F.col("outlets")))
+    weighted = joined.withColumn("weight", R.blended(F.col("lex"), F.col("cov"), F.col("ent")))
+    order = Window.partitionBy("country").orderBy(F.desc(F.round(F.col("weight") * D.freshness(F.col("age")), 9)), "leader")
+    return weighted.withColumn("rank", F.row_number().over(order))
+
+
+@query(_leaders_sql(_WINDOW, "embedding_body", 0.91, "country") + f""" SELECT g.leader, count(*) AS members, count(DISTINCT nullif({outlet('url')}, '')) AS outlets,
+  round(CASE WHEN count(DISTINCT nullif({outlet('url')}, '')) <= 1 THEN 0 ELSE least(1.0, ln(count(DISTINCT nullif({outlet('url')}, ''))) / ln(12)) END, 6) AS cov FROM grouped g JOIN articles a USING (article_id) GROUP BY g.leader""")
+def r01_coverage(spark: SparkSession, d: str) -> DataFrame:
+    a = articles(spark, d, "article_id", "url").withColumn("domain", T.outlet(F.col("url")))
+    g = body_groups(spark, d).join(a, "article_id").groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.count_distinct(F.when(F.col("domain") != "", F.col("domain"))).alias("outlets"))
+    return g.select("leader", "members", "outlets", F.round(R.coverage(F.col("outlets")), 6).alias("cov"))
+
+
+@query()
+def r07_structural(spark: SparkSession, d: str) -> DataFrame:
+    """Centrality (r02, scaled by r03), coverage (r01) and names (a03) blended (r04) for each story."""
+    return ranked(spark, d).select("country", "leader", F.round("lex", 5).alias("lex"), F.round("cov", 6).alias("cov"), F.round("ent", 6).alias("ent"), F.round("weight", 5).alias("weight"))
+
+
+@query()
+def r08_ranked_stories(spark: SparkSession, d: str) -> DataFrame:
+    """Stories by weight times freshness; the age is that of the newest article."""
+    return ranked(spark, d).select("country", "leader", "members", "outlets", F.round("weight", 5).alias("weight"), F.round("age", 6).alias("age"), "rank")
+
+
+_REP = f"(NOT ({' OR '.join(f"{outlet('url')} = '{r}' OR ends_with({outlet('url')}, '.{r}')" for r in RESTRICTED)}))"
+
+
+@query(_leaders_sql(_WINDOW, "embedding_body", 0.91, "country") + f""" SELECT leader, article_id FROM (SELECT g.leader, a.article_id, {_REP} AS open, row_number() OVER (PARTITION BY g.leader ORDER BY {_REP} DESC, a.fetched_at DESC, a.article_id) AS r
+FROM grouped g JOIN articles a USING (article_id)) WHERE r = 1 AND open""")
+def r09_representative(spark: SparkSession, d: str) -> DataFrame:
+    """The newest article that readers may open; a story without one is left out."""
+    a = articles(spark, d, "article_id", "url", "fetched_at")
+    open_ = ~T.in_domains(T.outlet(F.col("url")), RESTRICTED)
+    j = body_groups(spark, d).join(a, "article_id").withColumn("open", open_)
+    return j.groupBy("leader").agg(F.max_by(F.struct("article_id", "open"), F.struct("open", "fetched_at", -F.col("article_id"))).alias("w")).where("w.open").select("leader", "w.article_id")
+
+
+@query(_leaders_sql(_WINDOW, "embedding_body", 0.91, "country") + f""", reach AS (SELECT {outlet('url')} AS domain, count(*) AS n FROM articles GROUP BY 1),
+one AS (SELECT g.leader, {outlet('a.url')} AS domain, a.article_id, length(coalesce(a.text, '')) AS n, row_number() OVER (PARTITION BY g.leader, {outlet('a.url')} ORDER BY a.fetched_at DESC, a.article_id) AS r FROM grouped g JOIN articles a USING (article_id))
+SELECT o.leader, o.domain, o.article_id, round(0.62 * least(1.0, ln(1 + o.n) / ln(6001)) + 0.38 * least(1.0, ln(1 + reach.n) / ln(301)), 6) AS place FROM one o JOIN reach USING (domain) WHERE r = 1 AND domain <> ''""")
+def r11_sources(spark: SparkSession, d: str) -> DataFrame:
+    """One source of a story for each outlet, with its place by detail and reach."""
+    a = articles(spark, d, "article_id", "url", "fetched_at", "text").withColumn("domain", T.outlet(F.col("url")))
+    reach = a.groupBy("domain").agg(F.count(F.lit(1)).alias("reach"))
+    j = body_groups(spark, d).join(a, "article_id").where("domain <> ''")
+    one = j.groupBy("leader", "domain").agg(F.max_by(F.struct("article_id", F.length(F.coalesce("text", F.lit(""))).alias("n")), F.struct("fetched_at", -F.col("article_id"))).alias("w"))
+    place = 0.62 * F.least(F.lit(1.0), F.log1p("w.n") / F.log1p(F.lit(6000.0))) + 0.38 * F.least(F.lit(1.0), F.log1p("reach") / F.log1p(F.lit(300.0)))
+    return one.join(reach, "domain").select("leader", "domain", "w.article_id", F.round(place, 6).alias("place"))
+
+
+@query()
+def r15_top_stories(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred stories of highest rank over all countries."""
+    r = ranked(spark, d).withColumn("now_weight", F.round(F.col("weight") * D.freshness(F.col("age")), 9))
+    return r.orderBy(F.desc("now_weight"), F.desc("outlets"), "leader").limit(DEFAULT.top).select("country", "leader", "outlets", F.round("now_weight", 5).alias("score"))
