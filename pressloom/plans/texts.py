@@ -1,5 +1,161 @@
-"""Queries of this block."""
+"""Digest, dictionary and translation queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pressloom.functions import text as T
+from pressloom.operators import digest as O
 from pressloom.plans.registry import registry
+from pressloom.plans.scalars import articles
+from pressloom.sources.tables import table
 
 Q, SQL, query = registry()
+
+_SENTS = "list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?…])\\s+|\\n+', '\\1\x01', 'g'), '\x01'), lambda x: trim(x, ' ')), lambda x: x <> '')"
+_WORDS = "regexp_extract_all(lower(replace(coalesce({}, ''), 'İ', 'i')), '[\\p{{L}}\\p{{N}}]+')"
+_SH = "list_distinct(list_transform(generate_series(1, len({0}) - 3), lambda i: array_to_string({0}[i:i + 3], ' ')))"
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    """story, url, text: articles grouped by their title hash."""
+    return articles(spark, d, "article_id", "title_hash", "text").where("title_hash is not null and text is not null").select(F.col("title_hash").alias("story"), F.col("article_id").alias("url"), "text")
+
+
+_CAND = f"""doc AS (SELECT title_hash AS story, article_id AS url, {_SENTS}[1:6] AS ss FROM articles WHERE title_hash IS NOT NULL AND text IS NOT NULL),
+cand AS (SELECT story, url, pos, s FROM (SELECT story, url, unnest(ss) AS s, unnest(range(0, len(ss))) AS pos FROM doc) WHERE length(s) >= 40),
+ww AS (SELECT story, url, pos, list_distinct({_WORDS.format('s')}) AS w FROM cand),
+ex AS (SELECT story, url, pos, len(w) AS k, unnest(w) AS word FROM ww),
+wt AS (SELECT c.story, word, c / CAST(n AS DOUBLE) * (1 - c / CAST(n + 1 AS DOUBLE)) AS weight FROM (SELECT story, word, count(*) AS c FROM ex GROUP BY story, word) c JOIN (SELECT story, count(*) AS n FROM cand GROUP BY story) USING (story))"""
+
+
+@query(f"SELECT article_id, len({_SENTS}) AS n, {_SENTS}[1] AS first FROM articles")
+def o02_sentences(spark: SparkSession, d: str) -> DataFrame:
+    s = O.sentences(F.col("text"))
+    return articles(spark, d, "article_id", "text").select("article_id", F.size(s).alias("n"), F.get(s, F.lit(0)).alias("first"))
+
+
+@query("SELECT article_id, substr(regexp_replace(lower(title), '[^\\p{L}\\p{N}_]+', '', 'g'), 1, 120) AS fp FROM articles")
+def o04_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return articles(spark, d, "article_id", "title").select("article_id", T.fingerprint(F.col("title")).alias("fp"))
+
+
+@query(f"SELECT article_id, CASE WHEN len(w) < 4 THEN 0 ELSE len({_SH.format('w')}) END AS n FROM (SELECT article_id, {_WORDS.format('text')} AS w FROM articles)")
+def o05_shingles(spark: SparkSession, d: str) -> DataFrame:
+    return articles(spark, d, "article_id", "text").select("article_id", F.size(O.shingles(O.words(F.col("text")))).alias("n"))
+
+
+@query(f"""WITH w AS (SELECT article_id, title_hash, {_WORDS.format('text')} AS w FROM articles WHERE title_hash IS NOT NULL), s AS (SELECT article_id, title_hash, CASE WHEN len(w) < 4 THEN [] ELSE {_SH.format('w')} END AS sh FROM w),
+f AS (SELECT title_hash, min(article_id) AS first FROM s GROUP BY title_hash)
+SELECT s.article_id, round(CASE WHEN len(s.sh) = 0 THEN 0 ELSE len(list_filter(s.sh, lambda x: NOT list_contains(k.sh, x))) / CAST(len(s.sh) AS DOUBLE) END, 6) AS novelty FROM s JOIN f USING (title_hash) JOIN s k ON k.article_id = f.first WHERE s.article_id <> f.first""")
+def o06_novelty(spark: SparkSession, d: str) -> DataFrame:
+    """Share of an article's shingles that the first article with its title lacks."""
+    s = articles(spark, d, "article_id", "title_hash", "text").where("title_hash is not null").select("article_id", "title_hash", O.shingles(O.words(F.col("text"))).alias("sh"))
+    first = s.groupBy("title_hash").agg(F.min_by("sh", "article_id").alias("known"), F.min("article_id").alias("first"))
+    return s.join(first, "title_hash").where("article_id <> first").select("article_id", F.round(O.novelty(F.col("sh"), F.col("known")), 6).alias("novelty"))
+
+
+@query(f"WITH {_CAND} SELECT story, word, round(weight, 6) AS weight FROM wt")
+def o07_word_weights(spark: SparkSession, d: str) -> DataFrame:
+    return O.word_weights(O.candidates(docs(spark, d))).select("story", "word", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {_CAND} SELECT story, url, pos, round(sum(weight) / sqrt(any_value(k)) * CASE pos WHEN 0 THEN 1.3 WHEN 1 THEN 1.1 ELSE 1 END, 5) AS score FROM ex JOIN wt USING (story, word) GROUP BY story, url, pos")
+def o08_sentence_scores(spark: SparkSession, d: str) -> DataFrame:
+    return O.scored(O.candidates(docs(spark, d))).select("story", "url", "pos", F.round("score", 5).alias("score"))
+
+
+@query()
+def o09_digest(spark: SparkSession, d: str) -> DataFrame:
+    return O.digest(docs(spark, d))
+
+
+_NUM = "regexp_extract_all(coalesce({}, ''), '[0-9]+')"
+
+
+@query(f"""SELECT article_id, length(title) BETWEEN 28 AND 120 AS fits, len(list_filter({_NUM.format('title')}, lambda x: NOT list_contains({_NUM.format('text')}, x))) = 0 AS numbers_known,
+  len(list_distinct({_WORDS.format('title')})) / CAST(greatest(len({_WORDS.format('title')}), 1) AS DOUBLE) >= 0.62 AS varied FROM articles WHERE title IS NOT NULL""")
+def o10_guards(spark: SparkSession, d: str) -> DataFrame:
+    """A rewritten line must fit, bring no new numbers and not repeat itself; titles stand in for rewrites."""
+    nums = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([0-9]+)"), F.lit(1))
+    w = O.words(F.col("title"))
+    return articles(spark, d, "article_id", "title", "text").where("title is not null").select(
+        "article_id", F.length("title").between(28, 120).alias("fits"), (F.size(F.array_except(nums("title"), nums("text"))) == 0).alias("numbers_known"),
+        (F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1)) >= 0.62).alias("varied"),
+    )
+
+
+@query("SELECT article_id, trim(coalesce(title, '')) AS headline, trim(substr(coalesce(text, ''), 1, 80)) AS body FROM articles WHERE NOT contains(coalesce(title, ''), '<') AND NOT contains(substr(coalesce(text, ''), 1, 80), '<') AND NOT contains(substr(coalesce(text, ''), 1, 80), chr(10)) AND NOT contains(coalesce(title, ''), chr(10))")
+def o11_reply_split(spark: SparkSession, d: str) -> DataFrame:
+    """Headline and body read back out of a tagged reply."""
+    plain = ~F.col("reply_title").rlike("[<\n]") & ~F.col("reply_text").rlike("[<\n]")
+    a = articles(spark, d, "article_id", "title", "text").select("article_id", F.coalesce("title", F.lit("")).alias("reply_title"), F.substring(F.coalesce("text", F.lit("")), 1, 80).alias("reply_text")).where(plain)
+    reply = F.concat(F.lit("Here you are.\n<headline> "), F.col("reply_title"), F.lit(" </headline>\n<body> "), F.col("reply_text"), F.lit(" </body> bye"))
+    r = a.select("article_id", reply.alias("r"))
+    return r.select("article_id", F.trim(F.regexp_extract("r", r"(?s)<headline>(.*?)</headline>", 1)).alias("headline"), F.trim(F.regexp_extract("r", r"(?s)<body>(.*?)</body>", 1)).alias("body"))
+
+
+def glossary(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entity_ru").where("name is not null and ru is not null").select(F.array_join(O.words(F.col("name")), " ").alias("name"), "ru")
+
+
+def named(spark: SparkSession, d: str) -> DataFrame:
+    return articles(spark, d, "article_id", "text").select(F.col("article_id").alias("id"), "text")
+
+
+@query()
+def l01_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return O.longest_matches(named(spark, d), glossary(spark, d))
+
+
+_KEY = "array_to_string(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+'), ' ')"
+
+
+@query(f"SELECT e.entity_id, g.ru FROM entity_ru e JOIN (SELECT {_KEY} AS k, min(ru) AS ru FROM entity_ru WHERE name IS NOT NULL AND ru IS NOT NULL GROUP BY 1) g ON g.k = array_to_string(regexp_extract_all(lower(e.name), '[\\p{{L}}\\p{{N}}]+'), ' ')")
+def l02_lookup(spark: SparkSession, d: str) -> DataFrame:
+    g = glossary(spark, d).groupBy("name").agg(F.min("ru").alias("ru")).withColumnRenamed("name", "k")
+    return table(spark, d, "entity_ru").select("entity_id", F.array_join(O.words(F.col("name")), " ").alias("k")).join(g, "k").select("entity_id", "ru")
+
+
+@query()
+def l03_names(spark: SparkSession, d: str) -> DataFrame:
+    """At most forty distinct glossary names of each article."""
+    m = O.longest_matches(named(spark, d), glossary(spark, d))
+    first = m.groupBy("id", "name").agg(F.min("start").alias("start"))
+    return first.groupBy("id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("start", "name"))), 1, 40), lambda x: x["name"]), ";").alias("names"))
+
+
+@query("SELECT entity_id, CASE WHEN regexp_matches(ru, '(ов|ев|ин|ын)$') THEN ru || 'а' WHEN regexp_matches(ru, '(ова|ева|ина|ына)$') THEN substr(ru, 1, length(ru) - 1) || 'ой' WHEN regexp_matches(ru, '(ский|цкий)$') THEN substr(ru, 1, length(ru) - 2) || 'ого' ELSE ru END AS genitive FROM entity_ru")
+def l07_genitive(spark: SparkSession, d: str) -> DataFrame:
+    """Genitive of regular surnames."""
+    ru = F.col("ru")
+    form = F.when(ru.rlike("(ов|ев|ин|ын)$"), F.concat(ru, F.lit("а"))).when(ru.rlike("(ова|ева|ина|ына)$"), F.regexp_replace(ru, "а$", "ой")).when(ru.rlike("(ский|цкий)$"), F.regexp_replace(ru, "ий$", "ого")).otherwise(ru)
+    return table(spark, d, "entity_ru").select("entity_id", form.alias("genitive"))
+
+
+@query("SELECT article_id, CASE WHEN language IS NULL OR trim(language) = '' THEN 'defer' WHEN starts_with(lower(language), 'ru') THEN 'skip' WHEN starts_with(lower(language), 'en') THEN 'en' ELSE 'pivot' END AS work FROM articles")
+def l11_work(spark: SparkSession, d: str) -> DataFrame:
+    g = F.lower("language")
+    work = F.when(F.col("language").isNull() | (F.trim("language") == ""), "defer").when(g.startswith("ru"), "skip").when(g.startswith("en"), "en").otherwise("pivot")
+    return articles(spark, d, "article_id", "language").select("article_id", work.alias("work"))
+
+
+@query("SELECT article_id, coalesce(nullif(trim(title_en), ''), CASE WHEN starts_with(lower(coalesce(language, 'ru')), 'ru') OR starts_with(lower(language), 'en') THEN title ELSE 'en:' || title END) AS title_en FROM articles WHERE title IS NOT NULL")
+def l09_translate_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Cached translations are kept; the stub translator marks the others."""
+    g = F.lower("language")
+    done = F.when(F.trim("title_en") != "", F.trim("title_en"))
+    own = F.when(g.isNull() | g.startswith("ru") | g.startswith("en"), F.col("title")).otherwise(F.concat(F.lit("en:"), F.col("title")))
+    return articles(spark, d, "article_id", "title", "title_en", "language").where("title is not null").select("article_id", F.coalesce(done, own).alias("title_en"))
+
+
+@query("SELECT article_id, 'https://web.archive.org/web/' || strftime(fetched_at, '%Y%m%d%H%M%S') || 'id_/' || url AS raw FROM articles")
+def x02_archive_url(spark: SparkSession, d: str) -> DataFrame:
+    return articles(spark, d, "article_id", "url", "fetched_at").select("article_id", F.concat(F.lit("https://web.archive.org/web/"), F.date_format("fetched_at", "yyyyMMddHHmmss"), F.lit("id_/"), F.col("url")).alias("raw"))
+
+
+@query("SELECT entity_id, regexp_replace('key=' || md5(coalesce(name, '')) || ' name', '(key|token)=[0-9a-zA-Z]+', '\\1=***', 'g') AS line FROM entity_ru")
+def x07_redact(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat(F.lit("key="), F.md5(F.coalesce("name", F.lit(""))), F.lit(" name"))
+    return table(spark, d, "entity_ru").select("entity_id", F.regexp_replace(line, "(key|token)=[0-9a-zA-Z]+", "$1=***").alias("line"))
