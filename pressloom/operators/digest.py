@@ -23,9 +23,15 @@ def words(c: Column) -> Column:
 
 
 def shingles(w: Column, n: int = 4) -> Column:
-    """Distinct runs of `n` words, joined by a space."""
+    """Distinct runs of `n` words, joined by a space.
+
+    Shifted copies are zipped, so that `w` is evaluated once for each shift and not for each run.
+    """
     last = F.size(w) - n + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+    shift = lambda k: F.slice(w, k, F.greatest(last, F.lit(0)))
+    runs = shift(1)
+    for k in range(2, n + 1):
+        runs = F.zip_with(runs, shift(k), lambda x, y: F.concat(x, F.lit(" "), y))
     return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
