@@ -59,7 +59,9 @@ class Words:
     def hashes(self, text: str) -> np.ndarray:
         import xxhash
 
-        known, words = self.known, WORD.findall(text.lower())
+        known = self.known
+        # a dotted capital would fall apart into two words
+        words = WORD.findall(text.lower().replace("i̇", "i"))
         try:
             return np.array([known[w] for w in words], dtype=np.uint64)
         except KeyError:

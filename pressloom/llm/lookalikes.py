@@ -167,7 +167,7 @@ class Classes:
             if home.startswith("?"):  # every letter has doubles: the value decides
                 own = home[1:]
                 sign = own == "GREEK" and len(w) == 1 or own == "LATIN" and len(w) > 1 and w == w.upper()
-                mixed = len({alphabet(c) for c in w}) > 1
+                mixed = len({alphabet(c) for c in w} - {""}) > 1
                 home = whole if whole and (mixed or own != whole and clear[whole] >= 2 and not clear[own] and not sign) else own
             out += [s[at:a], "".join(self.form.get(c, {}).get(home, c) if home and alphabet(c) not in ("", home) else c for c in w)]
             at = b

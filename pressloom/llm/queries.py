@@ -97,5 +97,20 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p2_found, p2_mix, p3_found, p3_clean, p3_sequences, p4_found, p4_forms, p4_equal, p5_found, p6_found, p6_bodies, p7_found, p7_segments, p7_labels, p8_bins, p8_use, p9_found, p10_found, p10_restored)}
 
 
+_SITE = r"""regexp_replace(coalesce(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1), ''), '^(?:www|m|amp)\.', '')"""
+_LINES = rf"""l AS (SELECT article_id, {_SITE} AS site, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM articles WHERE text IS NOT NULL),
+k AS (SELECT article_id, site, CAST(line_no AS INT) AS line_no, trim(regexp_replace(regexp_replace(lower(raw), '[\s\p{{Z}}]+', ' ', 'g'), '\p{{Nd}}+', '0', 'g')) AS k FROM l)"""
+_WORDS = r"regexp_extract_all(lower(replace({}, 'İ', 'i')), '[\p{{L}}\p{{N}}]+')"
+_RUNS = "list_distinct(list_transform(generate_series(1, len(w) - 16), lambda i: array_to_string(w[i:i + 16], ' ')))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": f"""WITH {_LINES} SELECT article_id, line_no FROM k WHERE k <> '' AND (site, k) IN (SELECT (site, k) FROM k WHERE k <> '' GROUP BY site, k HAVING count(DISTINCT article_id) >= 4)""",
+        "p5_found": """WITH u AS (SELECT article_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM (SELECT article_id, CAST(embedding AS DOUBLE[]) AS v FROM articles WHERE embedding IS NOT NULL) WHERE len(v) > 0 AND list_dot_product(v, v) > 0)
+SELECT a.article_id AS article_id_1, b.article_id AS article_id_2 FROM u a JOIN u b ON a.article_id < b.article_id WHERE list_dot_product(a.u, b.u) >= 0.95 - 1e-7
+UNION SELECT a.article_id, b.article_id FROM articles a JOIN articles b ON a.title_hash = b.title_hash AND a.article_id < b.article_id""",
+        "p9_found": f"""WITH i AS (SELECT item_id, unnest({_RUNS}) AS run FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_items WHERE text IS NOT NULL) WHERE len(w) >= 17),
+d AS (SELECT doc_id, unnest({_RUNS}) AS run FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 17)
+SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)""",
+    }
