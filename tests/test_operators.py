@@ -138,3 +138,71 @@ def test_stream_ends_with_the_batch_journal(spark, tmp_path):
     q = journal.journal(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert set(last.values()) == want
+
+
+def test_varied_agrees_with_a_plain_loop(spark):
+    from pressloom.operators.select import varied
+
+    v = near_copies(8, 24, 16)
+    imp = [float(i * 7 % 11) for i in range(24)]
+    df = spark.createDataFrame([("g", i, imp[i], [float(x) for x in v[i]]) for i in range(24)] + [("h", 50, 1.0, [1.0] * 16)], "g string, id long, importance double, vector array<double>")
+    got = [r.id for r in varied(df, "g", picks=4).where("g = 'g'").orderBy("k").collect()]
+    rel, picked = [(x - min(imp)) / (max(imp) - min(imp)) for x in imp], []
+    for _ in range(4):
+        score = {i: round(0.7 * rel[i] - 0.3 * max([0.0, *(v[i] @ v[j] for j in picked)]), 9) for i in range(24) if i not in picked}
+        picked.append(max(score, key=lambda i: (score[i], -i)))
+    assert got == picked
+
+
+def test_best_title(spark):
+    from pressloom.operators.select import best_title
+
+    good = "Gene therapy trial in Lubek reaches its second year of work"
+    rows = [("g", 1, "SHOUTED TITLE OF A LONG STORY ABOUT GENE THERAPY TODAY", [1.0, 0.0]), ("g", 2, good, [1.0, 0.1]), ("g", 3, "Short", [1.0, 0.0]), ("h", 4, "Short", None), ("h", 5, None, None)]
+    df = spark.createDataFrame(rows, "g string, id long, title string, vector array<double>")
+    assert {r.g: r.id for r in best_title(df, "g").collect()} == {"g": 2, "h": 4}
+
+
+def test_dump_archives(spark, tmp_path):
+    import zipfile
+
+    from pressloom.sources.files import dump_archives, glossary, topic_lists
+
+    line = "\t".join(f"c{i}" for i in range(27))
+    with zipfile.ZipFile(tmp_path / "a.csv.zip", "w") as z:
+        z.writestr("a.csv", f"{line}\nshort\tline\n".encode() + b"\t".join([b"\xff"] * 27))
+    got = dump_archives(spark, str(tmp_path)).orderBy("row_no").collect()
+    assert len(got) == 2 and got[0].url == "c4" and got[0].v1o == "c13" and got[1].url == "�"
+    folder = tmp_path / "g"
+    folder.mkdir()
+    (folder / "a.tsv").write_text("# note\nNew  York\tНью-Йорк\tru\nbad\tx\n", "utf-8")
+    (folder / "z.tsv").write_text("new york\tдругое\tru\nNASA\tNASA\tkeep\tagency\n", "utf-8")
+    assert {r.name: (r.ru, r.gloss) for r in glossary(spark, str(folder)).collect()} == {"new york": ("Нью-Йорк", None), "nasa": ("NASA", "agency")}
+    (tmp_path / "t.json").write_text('[{"slug": "a", "name": "A", "words": ["x"]}, {"slug": "other", "name": "O"}]', "utf-8")
+    assert [r.slug for r in topic_lists(spark, str(tmp_path / "t.json")).orderBy("ord").collect()] == ["a", "other"]
+    (tmp_path / "u.json").write_text('[{"slug": "a"}, {"slug": "a"}]', "utf-8")
+    with pytest.raises(ValueError, match="slugs"):
+        topic_lists(spark, str(tmp_path / "u.json"))
+
+
+def test_pages(spark):
+    from pressloom.functions import pages as H
+
+    html = '<html><head><meta property="article:published_time" content="1900-01-01"><meta content="2024-01-05T10:00:00Z" name="date"><script>var x = "datePublished";</script></head><body><nav>Menu</nav><h1>A &amp; B</h1><p>One<br>two</p></body></html>'
+    df = spark.createDataFrame([(html, "2024-01-03"), (None, "2024-01-03"), ("<p>x</p>", None)], "h string, d string").withColumn("seen", F.to_timestamp(F.lit("2024-02-01")))
+    got = df.select(H.page_stamp(F.col("h"), F.col("seen"), F.col("d")).cast("string").alias("t"), H.page_text(F.col("h")).alias("x")).collect()
+    assert [r.t for r in got] == ["2024-01-05 10:00:00", "2024-01-03 00:00:00", None]
+    assert [r.x for r in got] == ["A & B\nOne\ntwo", "", "x"]
+    assert spark.range(1).select(H.latest_tick(F.lit("1 2 http://d/gdeltv2/20240101001500.gkg.csv.zip")).alias("x")).first().x == "20240101001500"
+
+
+def test_chunks_and_markers(spark):
+    from pressloom.functions import pages as H
+
+    df = spark.createDataFrame([("Один два. Three four! " + "x" * 40 + ". End.", ["Alpha", "Beta", "C"], "Alpha met Beta and C"), (None, [], "")], "t string, n array<string>, s string")
+    chunks = df.select(H.quoted_chunks(F.col("t"), 60).alias("c")).collect()
+    assert chunks[0].c == ["Один два. Three four!", "x" * 40 + ". End."] or "".join(chunks[0].c).replace(" ", "") == ("Одиндва.Threefour!" + "x" * 40 + ".End.")
+    assert chunks[1].c == []
+    p = H.protected(F.col("s"), F.col("n"))
+    r = df.select(p.alias("p"), H.restored(p, F.col("n")).alias("r"), H.markers_lost(F.lit("XX0XX xx 1 xx"), F.col("n")).alias("lost")).collect()
+    assert r[0].p == "XX0XX met XX1XX and XX2XX" and r[0].r == "Alpha met Beta and C" and r[0].lost is False and r[1].r == ""
