@@ -9,7 +9,7 @@ of the same search over the tokens of a line lets neighbours share their channel
 are restored with the long ones around them.
 
 Word frequencies are counted over all documents, before the shuffle in each task; the model
-is the `vocabulary` most frequent words (some 10 MB at the default), so its size is bounded
+is the `vocabulary` most frequent words, less those of the last count that would not fit whole (some 10 MB at the default), so its size is bounded
 whatever the corpus. The channel table is built by rule from the target characters.
 
 A sequence that a text quotes alone (an opening quote directly before it, a closing one directly
@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.storage import cut
+
 #: Encodings that UTF-8 bytes are read as.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "cp1254", "iso8859_2", "cp1253", "cp1257")
 #: Encodings with one byte a character, written and read.
@@ -130,7 +132,15 @@ def word_counts(documents: DataFrame, settings: Settings = Settings()) -> dict[s
         yield pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())}, schema=schema)
 
     counted = documents.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= settings.least)
-    return {r.word: r.n for r in counted.orderBy(F.desc("n"), "word").limit(settings.vocabulary).collect()}
+    counted = cut(counted)
+    # the count from which no more than `vocabulary` words are left: one row for each distinct count reaches the driver
+    at, words = settings.least, 0
+    for r in sorted(counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r.n):
+        words += r.words
+        if words > settings.vocabulary:
+            at = r.n + 1
+            break
+    return {r.word: r.n for r in counted.where(F.col("n") >= at).collect()}
 
 
 class Decoder:
