@@ -193,7 +193,7 @@ def test_pages(spark):
     got = df.select(H.page_stamp(F.col("h"), F.col("seen"), F.col("d")).cast("string").alias("t"), H.page_text(F.col("h")).alias("x")).collect()
     assert [r.t for r in got] == ["2024-01-05 10:00:00", "2024-01-03 00:00:00", None]
     assert [r.x for r in got] == ["A & B\nOne\ntwo", "", "x"]
-    assert spark.range(1).select(H.latest_tick(F.lit("1 2 http://d/gdeltv2/20240101001500.gkg.csv.zip")).alias("x")).first().x == "20240101001500"
+    assert spark.range(1).select(H.latest_tick(F.lit("1 2 http://d/v2/20240101001500.gkg.csv.zip")).alias("x")).first().x == "20240101001500"
 
 
 def test_chunks_and_markers(spark):
