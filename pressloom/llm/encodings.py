@@ -149,10 +149,19 @@ class Decoder:
     def __init__(self, counts: dict[str, int], settings: Settings = Settings()) -> None:
         self.settings, self.counts = settings, counts
         self.total = sum(counts.values()) + 1.0
+        # pairs of letters weigh by the root of a word's count: shares stay the same on a larger table, and copies add little
+        pairs: Counter[str] = Counter()
+        for x, n in counts.items():
+            w = f" {x} "
+            for i in range(len(w) - 1):
+                pairs[w[i : i + 2]] += math.sqrt(n)
+        whole = sum(pairs.values()) + 1.0
+        self.pairs = {k: math.log(whole / n) for k, n in pairs.items()}
+        self.unseen = max(self.pairs.values(), default=0.0) + 1.0
         self._ready = False
 
     def __getstate__(self) -> dict:
-        return {"settings": self.settings, "counts": self.counts, "total": self.total, "_ready": False}
+        return {"settings": self.settings, "counts": self.counts, "total": self.total, "pairs": self.pairs, "unseen": self.unseen, "_ready": False}
 
     def ready(self) -> None:
         """Builds what is not sent to the tasks."""
@@ -192,22 +201,33 @@ class Decoder:
         for i, (a, b, ch, codec) in enumerate(found):
             weak = codec in WEAK or codec == "cp850" and text[a:b].isalpha() or text[a] in "ÄÅÖÜÉ" and text[a - 1 : a].isupper()
             if weak:
-                # two letters side by side must both be misread, unless they spell a word of the corpus
+                # two letters side by side must both be misread, unless the token reads better with the character
                 near = i and found[i - 1][1] >= a - 1 and found[i - 1][3] == codec or i + 1 < len(found) and found[i + 1][0] <= b + 1 and found[i + 1][3] == codec
-                l, r = a, b
-                while l > 0 and not text[l - 1].isspace():
-                    l -= 1
-                while r < len(text) and not text[r].isspace():
-                    r += 1
-                if self.known(text[l:r].strip(STRIP + "«»")) or not near and not (len(text[l:r]) > 4 and self.known(text[l:a] + ch + text[b:r])):
+                if not near and not self.better(text, a, b, ch):
                     continue
             out.append((a, b, ch))
         return out
 
+    def better(self, text: str, a: int, b: int, ch: str) -> bool:
+        """Does the token around text[a:b] become words of the corpus, likelier by their letters, with `ch` in that place?"""
+        l, r = a, b
+        while l > 0 and not text[l - 1].isspace():
+            l -= 1
+        while r < len(text) and not text[r].isspace():
+            r += 1
+        core = (text[l:a] + ch + text[b:r]).strip(STRIP + QUOTES)
+        if r - l <= 4 or core not in (core.lower(), core.capitalize(), core.upper()):
+            return False
+        return self.known(core) and self.letters_cost(text[l:r]) - self.letters_cost(core) > self.settings.known
+
     def known(self, token: str) -> bool:
         words = WORD.findall(token.lower())
         return bool(words) and all(w in self.counts for w in words)
 
+    def letters_cost(self, s: str) -> float:
+        """-log of the words' shares by their pairs of letters, which no single word can raise by its copies."""
+        return sum(self.pairs.get(w[i : i + 2], self.unseen) for x in WORD.findall(s.lower()) for w in (f" {x} ",) for i in range(len(w) - 1))
+
     def readings(self, token: str) -> tuple[tuple[str, str, float], ...]:
         """(channel, token read back, gain) of the channels by which it becomes words of the corpus."""
         if token in self.tokens:

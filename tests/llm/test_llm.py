@@ -294,6 +294,18 @@ def test_encodings(spark):
     assert encodings.damaged(df.where("false")).count() == 0
 
 
+def test_copies_of_garbled_text_do_not_vouch_for_themselves():
+    clean = ["Это уже не первый раз, когда город ждёт внимания жителей и проект.", "Серёга съел всё: «АЭС», «ФАР» и СЁМГА.", "El jardín año tras año, más difícil."] * 20
+    for codec in ("cp1251", "cp866", "koi8_r"):
+        for text in clean[0], "Проект Зумарида ждёт":
+            bad = encodings.spelled(text.encode(), codec)
+            for copies in (1, 3, 30):
+                counts = Counter(w for t in [*clean, *[bad] * copies] for w in encodings.WORD.findall(t.lower()))
+                d = encodings.Decoder({w: n for w, n in counts.items() if n >= 3})
+                assert d.damaged(bad), (codec, text, copies)
+                assert not any(map(d.damaged, clean))
+
+
 def test_every_problem_has_a_query():
     names = queries.queries()
     assert all(any(n.startswith(f"p{k}_") for n in names) for k in range(1, 11))
