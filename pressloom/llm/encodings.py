@@ -173,7 +173,8 @@ class Decoder:
             self.edges.add_word(k, k)
         self.edges.make_automaton()
         self.channels = reading_table()
-        self.tokens: dict[str, tuple[tuple[str, str, float], ...]] = {}
+        self.tokens: dict[str, tuple[tuple[str, str, float, bool], ...]] = {}
+        self.open: dict[str, int] = {}
         self.sorted = sorted(self.counts)
         self.backwards = sorted(w[::-1] for w in self.counts)
         self._ready = True
@@ -228,32 +229,72 @@ class Decoder:
         """-log of the words' shares by their pairs of letters, which no single word can raise by its copies."""
         return sum(self.pairs.get(w[i : i + 2], self.unseen) for x in WORD.findall(s.lower()) for w in (f" {x} ",) for i in range(len(w) - 1))
 
-    def readings(self, token: str) -> tuple[tuple[str, str, float], ...]:
-        """(channel, token read back, gain) of the channels by which it becomes words of the corpus."""
+    def open_channels(self, pair: str) -> int:
+        """Bits of the channels that may make words of the corpus of two letters side by side."""
+        mask = 0
+        for k, (_, shown) in enumerate(self.channels):
+            back = pair.translate(shown)
+            # what isn't two plain letters is left to the search
+            if back != pair and (len(low := back.lower()) != 2 or not WORD.fullmatch(low) or low in self.pairs):
+                mask |= 1 << k
+            elif back == pair and back.lower() in self.pairs:
+                mask |= 1 << k
+        return mask
+
+    def readings(self, token: str) -> tuple[tuple[str, str, float, bool], ...]:
+        """(channel, token read back, gain, whether the words' shares alone settle it) of the channels by which it becomes words of the corpus.
+
+        The gain is that of the words' shares and, for longer ones, of their pairs of letters: both are relative, so a
+        garbled word that was counted often, as on a large table, is still judged against the word it stands for.
+        """
         if token in self.tokens:
             return self.tokens[token]
         if len(self.tokens) > 500_000:
             self.tokens.clear()
         core = token.strip(".,;:!?()[]\"")
-        own, out = self.words_cost(core), []
-        if not (CLEAN.match(core) and core.lower() in self.counts and self.counts[core.lower()] > 50):
-            for name, shown in self.channels:
-                back = core.translate(shown)
-                if back == core or not back.isprintable():
-                    continue
-                words = WORD.findall(back.lower())
-                if sum(map(str.isalpha, back)) < sum(map(str.isalpha, core)):
-                    continue
-                if not words or not CLEAN.match(back.strip(STRIP + QUOTES)) or not all(w in self.counts for w in words):
-                    continue
-                if back != back.lower() and back != back.capitalize() and back != back.upper() and len(words) == 1:
-                    continue
-                if (gain := own - self.words_cost(back)) > self.settings.known:
-                    out.append((name, back, gain))
-            out.sort(key=lambda x: -x[2])
+        own, letters, out = self.words_cost(core), None, []
+        mask = (1 << len(self.channels)) - 1
+        for x, y in zip(core, core[1:]):
+            if mask and (x > "\x7f" or y > "\x7f"):
+                if (m := self.open.get(x + y)) is None:
+                    m = self.open[x + y] = self.open_channels(x + y)
+                mask &= m
+        while mask:
+            k = (mask & -mask).bit_length() - 1
+            mask &= mask - 1
+            name, shown = self.channels[k]
+            back = core.translate(shown)
+            if back == core or not back.isprintable():
+                continue
+            words = WORD.findall(back.lower())
+            if sum(map(str.isalpha, back)) < sum(map(str.isalpha, core)):
+                continue
+            if not words or not CLEAN.match(back.strip(STRIP + QUOTES)) or not all(w in self.counts for w in words):
+                continue
+            if back != back.lower() and back != back.capitalize() and back != back.upper() and len(words) == 1:
+                continue
+            gain = own - self.words_cost(back)
+            settled = gain > self.settings.known
+            # a right word may have a garbled one as its reading, but is then far more frequent
+            if gain > -self.settings.known and max(map(len, words)) >= self.settings.shortest:
+                letters = self.letters_cost(core) if letters is None else letters
+                gain += max(0.0, letters - self.letters_cost(back))
+            if gain > self.settings.known:
+                out.append((name, back, gain, settled))
+        out.sort(key=lambda x: -x[2])
         self.tokens[token] = tuple(out[:4])
         return self.tokens[token]
 
+    def trusted(self, readings: list[tuple]) -> set[str]:
+        """Channels that the words' shares settle for a token, or that the letters of two different words speak for."""
+        out, backs = set(), {}
+        for r in readings:
+            for name, back, _, settled in r:
+                backs.setdefault(name, set()).add(back.strip(STRIP + QUOTES).lower())
+                if settled or len(backs[name]) > 1:
+                    out.add(name)
+        return out
+
     def damaged(self, text: str) -> bool:
         """Does the text hold a garbled sequence?"""
         self.ready()
@@ -273,13 +314,11 @@ class Decoder:
             token = m.group()
             r = seen.get(token)
             if r is None:
-                words = WORD.findall(token.lower())
-                if words and all(self.counts.get(w, 0) > 50 for w in words) and len("".join(words)) + 2 >= len(token):
-                    r = seen[token] = ()
-                else:
-                    r = self.readings(token)
+                r = self.readings(token)
             if r and not self.quoted(text, *m.span()):
                 found.append((*m.span(), r))
+        trusted = self.trusted([r for *_, r in found])
+        found = [f for f in found if any(x[0] in trusted for x in f[2])]
         letters = lambda s: max(map(len, WORD.findall(s)), default=0)
         long = [f for f in found if letters(f[2][0][1]) >= self.settings.shortest]
         return [(a, b, r[0][0], r[0][1]) for a, b, r in found] if long or len(found) > 1 else []
@@ -364,7 +403,7 @@ class Decoder:
         for line in text.split("\n"):
             spans = [m.span() for m in TOKEN.finditer(line)]
             tokens = [line[a:b] for a, b in spans]
-            names = [""] + sorted({r[0] for t in tokens if not t.isascii() for r in self.readings(t)})
+            names = [""] + sorted(self.trusted([self.readings(t) for t in tokens if not t.isascii()]))
             if len(names) == 1:
                 lines.append(line)
                 continue
@@ -378,7 +417,11 @@ class Decoder:
                         continue
                     before = min(((c + (self.settings.switch if m != n else 0.0), m) for m, (c, _) in best.items()), key=lambda x: (x[0], x[1]))
                     odd = sum(not c.isalnum() and ord(c) > 0x9F and c not in "«»“”„’…–—•№" for c in shown)
-                    step[n] = (before[0] + self.words_cost(shown) + 2.0 * odd, (shown, best[before[1]][1]))
+                    cost = self.words_cost(shown)
+                    if not n and not t.isascii() and (r := self.readings(t)) and not r[0][3]:
+                        # counted too often for the words to settle it: what it loses by its letters
+                        cost = max(cost, self.words_cost(r[0][1]) + r[0][2])
+                    step[n] = (before[0] + cost + 2.0 * odd, (shown, best[before[1]][1]))
                 best = step or best
             path, out = min(best.items(), key=lambda x: (x[1][0], x[0]))[1][1], []
             while path:

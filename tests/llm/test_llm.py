@@ -306,6 +306,18 @@ def test_copies_of_garbled_text_do_not_vouch_for_themselves():
                 assert not any(map(d.damaged, clean))
 
 
+def test_single_byte_damage_does_not_depend_on_the_size_of_the_table():
+    clean = ["Это уже не первый раз, когда город ждёт внимания жителей и проект.", "Où es-tu allé, à côté du château ? Là, dès l’été.", "Según el presupuesto, año tras año más difícil."] * 40
+    for written, read in (("cp1251", "latin-1"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r")):
+        for text in clean[0], "Город ждёт проект":
+            bad = encodings.spelled(text.encode(written), read)
+            for copies, times in ((1, 1), (3, 1), (10, 1), (3, 30), (1, 1000)):
+                counts = Counter(w for t in [*clean, *[bad] * copies] for w in encodings.WORD.findall(t.lower()))
+                d = encodings.Decoder({w: n * times for w, n in counts.items() if n * times >= 3})
+                assert d.damaged(bad) and d.restore(bad) == (text, True), (written, read, text, copies, times)
+                assert not any(map(d.damaged, clean))
+
+
 def test_every_problem_has_a_query():
     names = queries.queries()
     assert all(any(n.startswith(f"p{k}_") for n in names) for k in range(1, 11))
