@@ -1,11 +1,12 @@
 """Problem 3: lines repeated across one site's documents.
 
-PrefixSpan over the sequences of line identifiers of each site, run level by level as
-DataFrame steps. Level one counts the distinct documents of every single line; level k
-extends each frequent sequence by the next frequent line of the same document, at most
-`gap` frequent lines later. A sequence is frequent when `support` distinct documents of
-the site hold it. Every line of a frequent sequence is itself a frequent single line, so
-deleting the occurrences of all frequent sequences removes exactly the frequent lines.
+PrefixSpan over the sequences of line identifiers of each site. Level one counts the
+distinct documents of every single line as a DataFrame step. The projected database of each
+frequent first line, equal continuations as one row, is then mined level by level in one
+task until no sequence is frequent, over all later lines and every occurrence. A sequence is
+frequent when `support` distinct documents of the site hold it. Every line of a frequent
+sequence is itself a frequent single line, so deleting the occurrences of all frequent
+sequences removes exactly the frequent lines.
 
 Documents are counted before the shuffle (each line once for each document), so a site
 that holds a third of all rows adds one partial count a task and line, never one large
@@ -19,6 +20,10 @@ document; an empty table gives no row; other columns pass through `without_lines
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,28 +66,93 @@ def frequent_lines(articles: DataFrame, support: int = 4, ids_unique: bool = Tru
     return each.groupBy("line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= support)
 
 
-def frequent_sequences(articles: DataFrame, support: int = 4, longest: int = 3, gap: int = 1) -> DataFrame:
-    """lines (array of identifiers), documents: frequent sequences of one to `longest` lines.
+def mined(items: np.ndarray, weight: np.ndarray, support: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sequences as rows of equal length, documents) of all frequent sequences, in any gaps.
 
-    `gap` bounds how many frequent lines further a sequence may be continued, which keeps the
-    projected database linear in the number of lines.
+    `items`: a sequence a row, filled up with -1; `weight`: documents that hold it. Levels of more than `most`
+    rows are worked off in parts, so their size is bounded by `most` and the largest single prefix.
     """
+    n, width = items.shape
+    kinds, local = np.unique(items, return_inverse=True)
+    local = local.reshape(n, width).astype(np.int64)
+    # where the same line stood last in its row: a line is taken at its first place after the prefix
+    last = np.full((n, width), -1, dtype=np.int64)
+    for j in range(1, width):
+        for i in range(j):
+            np.copyto(last[:, j], i, where=local[:, i] == local[:, j])
+    todo = [(np.arange(n), np.full(n, -1), np.zeros(n, dtype=np.int64), np.zeros((1, 0), dtype=np.int64))]
+    while todo:
+        row, at, prefix, paths = todo.pop()
+        found = []
+        for j in range(width):
+            ok = np.flatnonzero((at < j) & (items[row, j] != -1) & (last[row, j] <= at))
+            found.append((row[ok], np.full(len(ok), j), prefix[ok] * len(kinds) + local[row[ok], j]))
+        row, at, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        keys, which = np.unique(key, return_inverse=True)
+        documents = np.bincount(which, weights=weight[row], minlength=len(keys)).astype(np.int64)
+        kept = documents >= support
+        if not kept.any():
+            continue
+        paths = np.concatenate([paths[keys[kept] // len(kinds)], kinds[keys[kept] % len(kinds)][:, None]], axis=1)
+        yield paths, documents[kept]
+        stay = np.flatnonzero(kept[which])
+        prefix = (np.cumsum(kept) - 1)[which[stay]]
+        row, at = row[stay], at[stay]
+        if len(row) > most:
+            order = np.argsort(prefix, kind="stable")
+            row, at, prefix = row[order], at[order], prefix[order]
+        start = 0
+        while start < len(row):
+            end = len(row) if len(row) - start <= most else int(np.searchsorted(prefix, prefix[start + most], "left"))
+            if end <= start:
+                end = int(np.searchsorted(prefix, prefix[start], "right"))
+            if start == 0 and end == len(row):
+                todo.append((row, at, prefix, paths))
+            else:
+                lo, hi = prefix[start], prefix[end - 1] + 1
+                todo.append((row[start:end], at[start:end], prefix[start:end] - lo, paths[lo:hi]))
+            start = end
+
+
+def frequent_sequences(articles: DataFrame, support: int = 4) -> DataFrame:
+    """lines (array of identifiers), documents: all frequent sequences, of any length and with any lines between."""
     single = frequent_lines(articles, support)
-    held = lines(articles).join(single.select("line"), "line").dropDuplicates(["article_id", "line"])
-    rows = held.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("held"))
-    rows = rows.select("article_id", F.transform("held", lambda x: x["line"]).alias("held"))
-    found = single.select(F.array("line").alias("lines"), "documents")
-    # the projected database: prefix and the position after which it continues
-    level = rows.select("article_id", "held", F.posexplode("held").alias("at", "line")).select("article_id", "held", "at", F.array("line").alias("prefix"))
-    for _ in range(longest - 1):
-        after = F.slice("held", F.col("at") + 2, F.lit(gap))
-        level = level.select("article_id", "held", "prefix", "at", F.posexplode(after).alias("step", "next"))
-        level = level.select("article_id", "held", (F.col("at") + 1 + F.col("step")).alias("at"), F.concat("prefix", F.array("next")).alias("prefix"))
-        counted = level.select("article_id", "prefix").groupBy("prefix").agg(F.count_distinct("article_id").alias("documents")) if gap > 1 else level.groupBy("prefix").agg(F.count(F.lit(1)).alias("documents"))
-        counted = counted.where(F.col("documents") >= support)
-        found = found.unionByName(counted.select(F.col("prefix").alias("lines"), "documents"))
-        level = level.join(counted.select("prefix"), "prefix")
-    return found
+    held = lines(articles).join(single.select("line"), "line").groupBy("article_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "line"))).alias("held"))
+    held = held.select(F.transform("held", lambda x: x["line"]).alias("held")).groupBy("held").agg(F.count(F.lit(1)).alias("n"))
+    # the projected database of each first line, equal continuations as one row
+    rest = held.select("held", "n", F.explode(F.array_distinct("held")).alias("first"))
+    rest = rest.select("first", F.expr("slice(held, int(array_position(held, first)) + 1, size(held))").alias("rest"), "n").where(F.size("rest") > 0)
+    rest = rest.groupBy("first", "rest").agg(F.sum("n").alias("n"))
+
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("lines", pa.list_(pa.int64())), ("documents", pa.int64())])
+
+        def sequences_of(first: int, group: list[tuple[list[int], int]]) -> Iterator[pa.RecordBatch]:
+            kinds = {line: k for k, line in enumerate(sorted({x for r, _ in group for x in r}))}
+            back = np.array(list(kinds), dtype=np.int64)
+            items = np.full((len(group), max(len(r) for r, _ in group)), -1, dtype=np.int64)
+            for k, (r, _) in enumerate(group):
+                items[k, : len(r)] = [kinds[x] for x in r]
+            for paths, documents in mined(items, np.array([n for _, n in group], dtype=np.int64), support):
+                whole = np.concatenate([np.full((len(paths), 1), first), back[paths]], axis=1)
+                for k in range(0, len(whole), 50_000):
+                    part = whole[k : k + 50_000]
+                    offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(part.ravel())), pa.array(documents[k : k + 50_000])], schema=schema)
+
+        now, group = None, []
+        for b in batches:
+            for first, r, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if first != now and group:
+                    yield from sequences_of(now, group)
+                    group = []
+                now = first
+                group.append((r, n))
+        if group:
+            yield from sequences_of(now, group)
+
+    longer = rest.repartition("first").sortWithinPartitions("first").mapInArrow(mine, "lines array<long>, documents long")
+    return single.select(F.array("line").alias("lines"), "documents").unionByName(longer)
 
 
 def repeated(articles: DataFrame, support: int = 4) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import os
 import random
 import re
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pressloom.llm import batches, blocks, encodings, languages, leaks, lookalikes, packing, queries, repeated_lines, residue, subjects
 from pressloom.llm.furniture import is_furniture, is_prose
@@ -106,6 +108,26 @@ def test_repeated_lines_against_brute_force(spark, odd, empty):
     assert repeated_lines.without_lines(odd).count() == odd.count()
 
 
+def test_frequent_sequences_are_all_found(spark):
+    rng = random.Random(7)
+    menu, foot = ["Home", "News", "Sport", "Home"], ["Share", "Legal", "Top", "© A", "Home"]
+    rows = [article(i, "\n".join([*rng.sample(menu, 3), f"own {'abcdefghijkl'[i % 12]}{i % 12}x", *rng.sample(foot, 4)])) for i in range(12)]
+    df = spark.createDataFrame(rows, ART)
+    held = defaultdict(set)
+    for r in rows:
+        for size in range(1, 9):
+            for x in itertools.combinations(r[4].lower().split("\n"), size):
+                held[x].add(r[0])
+    keys = spark.createDataFrame([(w,) for w in {x for seq in held for x in seq}], "k string")
+    ids = {r.k: r.line for r in keys.select("k", F.xxhash64(F.lit("a.example"), repeated_lines.line_key(F.col("k"))).alias("line")).collect()}
+    want = {tuple(ids[x] for x in seq): len(v) for seq, v in held.items() if len(v) >= 4}
+    got = [(tuple(r.lines), r.documents) for r in repeated_lines.frequent_sequences(df).collect()]
+    assert max(map(len, want)) > 3 and len(got) == len(want) and dict(got) == want
+    items = np.array([[0, 1, 0, 2, 3], [0, 2, 1, 3, -1], [1, 0, 2, 3, 2]])
+    whole, parts = ({(tuple(map(int, s)), int(n)) for p, d in repeated_lines.mined(items, np.array([2, 1, 3]), 3, most) for s, n in zip(p, d)} for most in (1000, 2))
+    assert whole == parts and ((0, 2, 3), 6) in whole
+
+
 def test_lookalikes():
     values = ["Botnet server divides Kiv and Zetabek", "«Совет» выбрала акт", "Why Zetabek wants a chip", "New α-test", "été à Nice", "naïve œuvre", "CO₂ и IT № 5 ½ ™ …"] * 3
     dirty = {
