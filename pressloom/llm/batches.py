@@ -13,7 +13,8 @@ and then by the cosine itself. Title hashes are strings of one length matched at
 The index of a batch is a table of (position, content, id, signature). A new batch probes
 the stored segments and appends its own; nothing of the history is computed again.
 Equal vectors are one class: only a class representative is indexed, so a vector shared
-by a third of all rows adds one posting for each segment; members are joined back at the end.
+by a third of all rows adds one posting for each segment; members are stored beside the index
+and joined back at the end.
 
 Edge cases: null vectors, vectors of another length, with a null or without a norm match
 nothing; a null title_hash matches nothing; repeated rows with one id never pair with
@@ -22,7 +23,7 @@ themselves; an empty table gives no pair.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.operators.similarity import Settings, classes, cosine_at_least, probe, segment_index, vectors
@@ -58,26 +59,39 @@ def all_pairs(articles: DataFrame, settings: Settings = Settings()) -> DataFrame
 
 
 def append(batch: DataFrame, path: str, settings: Settings = Settings()) -> None:
-    """Adds a batch to the stored index: its segments, class vectors and title hashes."""
-    reps = cut(classes(vectors(batch, settings)))
+    """Adds a batch to the stored index: its segments, class vectors, members of the classes and title hashes."""
+    vecs = cut(vectors(batch, settings))
+    reps = cut(classes(vecs))
     segment_index(reps, settings).write.mode("append").partitionBy("position").parquet(f"{path}/segments")
     reps.write.mode("append").parquet(f"{path}/vectors")
+    vecs.join(reps, "v").select("rep", "id").write.mode("append").parquet(f"{path}/members")
     batch.where(F.col("title_hash").isNotNull()).select("title_hash", F.col("article_id").cast("long").alias("id")).write.mode("append").parquet(f"{path}/hashes")
 
 
 def check_batch(batch: DataFrame, path: str, settings: Settings = Settings()) -> DataFrame:
-    """article_id_1 (of the batch), article_id_2 (accepted earlier): repeats of stored articles.
+    """article_id_1 < article_id_2: pairs of an article of the batch with a stored one or with another of the batch.
 
-    Only the segments, and the vectors of classes that met, are read of the history. One
-    stored id stands for each class of equal vectors of its batch.
+    Only the segments, and the vectors and members of classes that met, are read of the history.
+    Nothing stored yet: the pairs of the batch alone.
     """
+    within = all_pairs(batch, settings)
     spark = batch.sparkSession
+    if not _stored(spark, path):
+        return within
     vecs = cut(vectors(batch, settings))
     reps = classes(vecs)
     stored, old = spark.read.parquet(f"{path}/segments"), spark.read.parquet(f"{path}/vectors")
-    near = cosine_at_least(probe(segment_index(reps, settings), stored, settings), reps, old, settings)
-    mine = vecs.join(reps, "v").select(F.col("rep").alias("a"), F.col("id").alias("article_id_1"))
-    by_vector = near.join(mine, "a").select("article_id_1", F.col("b").alias("article_id_2"))
-    hashes = batch.where(F.col("title_hash").isNotNull()).select("title_hash", F.col("article_id").cast("long").alias("article_id_1"))
-    by_hash = hashes.join(spark.read.parquet(f"{path}/hashes"), "title_hash").select("article_id_1", F.col("id").alias("article_id_2"))
-    return by_vector.unionByName(by_hash).where("article_id_1 <> article_id_2").distinct()
+    # an article that comes again may stand for its class on both sides
+    again = reps.join(old.select("rep").distinct(), "rep").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    near = cosine_at_least(probe(segment_index(reps, settings), stored, settings).unionByName(again), reps, old, settings)
+    mine = vecs.join(reps, "v").select(F.col("rep").alias("a"), F.col("id").alias("x"))
+    theirs = spark.read.parquet(f"{path}/members").select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    by_vector = near.join(mine, "a").join(theirs, "b").select("x", "y")
+    hashes = batch.where(F.col("title_hash").isNotNull()).select("title_hash", F.col("article_id").cast("long").alias("x"))
+    by_hash = hashes.join(spark.read.parquet(f"{path}/hashes"), "title_hash").select("x", F.col("id").alias("y"))
+    return by_vector.unionByName(by_hash).where("x <> y").select(*ordered(F.col("x"), F.col("y"))).unionByName(within).distinct()
+
+
+def _stored(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/hashes")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

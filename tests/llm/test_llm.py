@@ -178,6 +178,26 @@ def test_batches_against_brute_force(spark, empty, tmp_path):
     assert {(i, j) for i, j in want if i % 4 != j % 4 and min(i, j) >= 5 and max(i, j) < 120} <= found <= want
 
 
+def test_batches_replayed_equal_all_pairs(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    base = unit(rng.standard_normal((6, 64))).astype(np.float32)
+    # copies of one vector within and across batches, and single ones
+    rows = [article(i, "t", h=f"h{i % 7}" if i % 4 == 0 else None, e=[float(x) for x in base[0 if i % 3 else i % 6]], batch=i // 8) for i in range(24)]
+    rows += [article(30, "t", e=[float(x) for x in base[0]], batch=2), article(30, "t", e=[float(x) for x in base[0]], batch=2), article(31, "t", batch=0)]
+    df = spark.createDataFrame(rows, ART)
+    got = set()
+    for b in range(3):
+        batch = df.where(f"batch_no = {b}")
+        pairs = [tuple(r) for r in batches.check_batch(batch, str(tmp_path)).collect()]
+        assert len(pairs) == len(set(pairs)) and not got.intersection(pairs)
+        got.update(pairs)
+        batches.append(batch, str(tmp_path))
+    assert got == {tuple(r) for r in batches.all_pairs(df).collect()} and len(got) > 100
+    again = df.where("batch_no = 0").limit(8)
+    ids = {r.article_id for r in again.collect()}
+    assert {p for p in got if ids.intersection(p)} == {tuple(r) for r in batches.check_batch(again, str(tmp_path)).collect()}
+
+
 def test_blocks_learn_the_layout():
     rng = random.Random(2)
     menu, foot = ["Archive", "Sign in", "Weather"], ["© 2024 Lamal News. All rights reserved.", "Share this article with your friends", "Back to top"]
