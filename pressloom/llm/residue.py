@@ -120,12 +120,10 @@ class Index:
                 for part in [text] if loose else {text, *passages_of(text)}:
                     own = frozenset(terms(part))
                     self.exemplars.append((own, sum(map(self.w, own)), loose))
-                    for t in own if loose else sorted(own, key=lambda t: (-self.w(t), t))[:2]:
-                        if not loose or len(t) > 4:
-                            self.postings[t].append(len(self.exemplars) - 1)
+                    for t in [t for t in own if len(t) > 4] if loose else self.prefix(own):
+                        self.postings[t].append(len(self.exemplars) - 1)
         self.holes = {shape(h) for h in exemplars.HOLES}
         self.mentions = [(own, sum(map(self.w, own))) for own in (frozenset(terms(m)) for m in exemplars.MENTIONS)]
-        self.postings.pop("0", None)
         self.terms = frozenset(self.postings)
         self._finder = None
 
@@ -142,6 +140,20 @@ class Index:
             self._finder.make_automaton()
         return self._finder
 
+    def prefix(self, own: frozenset[str]) -> list[str]:
+        """The heaviest terms, such that what is left falls short of `contained`: no window that reaches it lacks them all.
+
+        Digits and holes stand in a text otherwise than as their term, so they are no postings.
+        """
+        out, total = [], sum(map(self.w, own))
+        left = total
+        for t in sorted((t for t in own if t.isalpha()), key=lambda t: (-self.w(t), t)):
+            if left < self.settings.contained * total - 1e-9:
+                break
+            out.append(t)
+            left -= self.w(t)
+        return out
+
     def w(self, t: str) -> float:
         return self.weight.get(t, self.unknown)
 

@@ -63,6 +63,18 @@ def test_residue(title, text, want):
     assert index([EN] * 5).residue(title, text) is want
 
 
+def test_residue_lookup_misses_no_window():
+    ix, tried = index([EN] * 5), 0
+    for own, total, loose in ix.exemplars:
+        if not loose:
+            window = {t for t in sorted(own, key=lambda t: (-ix.w(t), t))[2:] if t.isalpha()}
+            if sum(map(ix.w, window)) >= ix.settings.contained * total:
+                tried += 1
+                assert ix.covered(" ".join(sorted(window)))
+            assert sum(map(ix.w, own - ix.terms)) < ix.settings.contained * total
+    assert tried > 20
+
+
 def test_residue_edge_cases(odd, empty):
     assert residue.find_residue(odd).count() == 0
     assert residue.find_residue(empty).count() == 0
