@@ -91,6 +91,22 @@ def without_thoughts(reply: Column) -> Column:
     return F.trim(F.regexp_replace(F.substring_index(reply, "</think>", -1), r"(?s)<think>.*", ""))
 
 
+def reply_parts(reply: Column) -> Column:
+    """headline, body of a reply with tagged lines; what stands before the last body tag is dropped, a reply without tags is all body."""
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    tag = r"(?iuU)^\s*[*#\s]*(заголовок|пересказ)[*\s]*[:—-][*\s]*"
+    lines = F.split(F.coalesce(reply, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)
+    read = F.transform(lines, lambda x: F.struct(F.lower(F.regexp_extract(x, tag, 1)).alias("tag"), F.when(x.rlike(tag), strip(F.regexp_replace(x, tag, ""))).otherwise(x).alias("line")))
+
+    def step(acc: Column, x: Column) -> Column:
+        head = F.when(x.tag == "заголовок", x.line).otherwise(acc.headline)
+        body = F.when(x.tag == "", F.concat(acc.body, F.array(x.line))).when(x.tag == "пересказ", F.array(x.line)).otherwise(acc.body)
+        return F.struct(head.alias("headline"), body.alias("body"))
+
+    start = F.struct(F.lit("").alias("headline"), F.array().cast("array<string>").alias("body"))
+    return F.aggregate(read, start, step, lambda a: F.struct(a.headline.alias("headline"), strip(F.array_join(a.body, "\n")).alias("body")))
+
+
 def display(ru: Column, en: Column, own: Column, most: int = 300) -> Column:
     """Russian, else English, else the original, cut to `most` characters."""
     full = lambda c: F.when(F.trim(c) != "", c)

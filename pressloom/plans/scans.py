@@ -66,8 +66,11 @@ def s11_multi_get(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT url, min(article_id) AS article_id FROM articles GROUP BY url")
 def k01_insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
-    """The first writer of each url stays: later batches are anti-joined."""
-    return J.insert_or_ignore(articles(spark, d, "url", "article_id").where("false"), articles(spark, d, "url", "article_id"), "url", "article_id")
+    """The first writer of each url stays: the later half of the articles is anti-joined against the earlier one."""
+    a = articles(spark, d, "url", "article_id")
+    halves = a.crossJoin(F.broadcast(a.agg(F.avg("article_id").alias("middle")))).withColumn("later", F.col("article_id") > F.col("middle"))
+    stored = J.insert_or_ignore(a.where("false"), halves.where("not later").select("url", "article_id"), "url", "article_id")
+    return J.insert_or_ignore(stored, halves.where("later").select("url", "article_id"), "url", "article_id")
 
 
 @query("""WITH n AS (SELECT url, max(CAST(dump_ts AS DATE)) AS day, count(*) AS n, arg_max(stream, gkg_id) AS stream FROM gkg GROUP BY url)

@@ -96,6 +96,14 @@ def o11_reply_split(spark: SparkSession, d: str) -> DataFrame:
     return r.select("article_id", F.trim(F.regexp_extract("r", r"(?s)<headline>(.*?)</headline>", 1)).alias("headline"), F.trim(F.regexp_extract("r", r"(?s)<body>(.*?)</body>", 1)).alias("body"))
 
 
+@query()
+def o11_whole_reply(spark: SparkSession, d: str) -> DataFrame:
+    """Headline and body read back out of a reply of several lines that holds the whole title and text."""
+    a = articles(spark, d, "article_id", "title", "text")
+    reply = F.concat(F.lit("Вот ответ.\n**Заголовок:** "), F.coalesce("title", F.lit("")), F.lit("\nПересказ: "), F.coalesce("text", F.lit("")))
+    return a.select("article_id", T.reply_parts(reply).alias("p")).select("article_id", "p.headline", "p.body")
+
+
 def glossary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entity_ru").where("name is not null and ru is not null").select(F.array_join(O.words(F.col("name")), " ").alias("name"), "ru")
 

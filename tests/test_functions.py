@@ -72,3 +72,10 @@ def test_freshness(spark):
     assert one(spark, D.freshness(F.col("a")), a=0.0) == 1.0
     assert abs(one(spark, D.freshness(F.col("a")), a=4.0) - 0.675) < 1e-12
     assert one(spark, D.freshness(F.col("a"), half_life=0), a=9.0) == 1.0
+
+
+def test_reply_of_several_lines(spark):
+    r = T.reply_parts(F.col("t"))
+    assert tuple(one(spark, r, t="Here.\n**Заголовок:** Новый <b>мост</b> \r\nПЕРЕСКАЗ — Первая.\n\nВторая <x>.\n")) == ("Новый <b>мост</b>", "Первая.\n\nВторая <x>.")
+    assert tuple(one(spark, r, t="Без меток.\nДва.")) == ("", "Без меток.\nДва.")
+    assert tuple(one(spark, r, t=None)) == ("", "")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -36,3 +37,32 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_whole_replies_and_inserts_into_stored_rows(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    from pressloom.operators import journal
+
+    a = spark.read.parquet(f"{FOLDER}/articles.parquet")
+    tag = re.compile(r"^\s*[*#\s]*(заголовок|пересказ)[*\s]*[:—-][*\s]*", re.I)
+
+    def split(reply):
+        head, body = "", []
+        for line in reply.splitlines():
+            m = tag.match(line)
+            if m and m.group(1).lower() == "заголовок":
+                head = line[m.end() :].strip()
+            else:
+                body = [line[m.end() :].strip()] if m else [*body, line]
+        return head, "\n".join(body).strip()
+
+    want = {r.article_id: split(f"Вот ответ.\n**Заголовок:** {r.title or ''}\nПересказ: {r.text or ''}") for r in a.collect()}
+    got = {r.article_id: (r.headline, r.body) for r in entry.queries()["o11_whole_reply"](spark, FOLDER).collect()}
+    assert any("\n" in body and len(body) > 80 for _, body in want.values())
+    assert [(got[i], w) for i, w in want.items() if got[i] != w] == []
+    stored, insert = [], journal.insert_or_ignore
+    monkeypatch.setattr(journal, "insert_or_ignore", lambda old, *rest: stored.append(old.count()) or insert(old, *rest))
+    rows = [tuple(r) for r in entry.queries()["k01_insert_or_ignore"](spark, FOLDER).select("url", "article_id").collect()]
+    assert max(stored) > 0 and sorted(rows) == sorted(tuple(r) for r in a.groupBy("url").agg({"article_id": "min"}).collect())
