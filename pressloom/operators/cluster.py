@@ -16,7 +16,7 @@ from pressloom.operators import similarity as S
 from pressloom.storage import cut
 
 
-def leaders(rows: DataFrame, group: str, order: list[str], column: str, settings: S.Settings, most_rounds: int = 1000) -> DataFrame:
+def leaders(rows: DataFrame, group: str, order: list[str], column: str, settings: S.Settings) -> DataFrame:
     """article_id, leader: rows without a usable vector lead themselves.
 
     `rows` holds article_id (unique), the group, the vector column and the order columns, ascending; ties go to
@@ -37,12 +37,11 @@ def leaders(rows: DataFrame, group: str, order: list[str], column: str, settings
 
     # 0 unsettled, 1 leader, 2 absorbed; only rows with edges take part in the rounds
     state = cut(edges.select(F.explode(F.array("early", "late")).alias("id")).distinct().withColumn("state", F.lit(0)))
-    for _ in range(most_rounds):
+    # every round settles the first unsettled row at least, so it ends
+    while state.where("state = 0").limit(1).count():
         seen = edges.join(state.select(F.col("id").alias("early"), F.col("state").alias("s")), "early").groupBy("late").agg(F.max(F.col("s") == 1).alias("led"), F.max(F.col("s") == 0).alias("open"))
         settled = F.when(F.col("state") != 0, F.col("state")).when(F.coalesce("led", F.lit(False)), 2).when(~F.coalesce("open", F.lit(False)), 1).otherwise(0)
         state = cut(state.join(seen.withColumnRenamed("late", "id"), "id", "left").select("id", settled.alias("state")))
-        if not state.where("state = 0").limit(1).count():
-            break
     lead = edges.join(state.where("state = 1").select(F.col("id").alias("early")), "early").join(ats.withColumnRenamed("rep", "early"), "early").groupBy("late").agg(F.min_by("early", "at").alias("leader"))
     absorbed = state.where("state = 2").select(F.col("id").alias("late"))
     by_rep = reps.select("rep", "g", "v").join(lead.join(absorbed, "late", "left_semi").withColumnRenamed("late", "rep"), "rep", "left").select("g", "v", F.coalesce("leader", "rep").alias("leader"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Settings:
-    """dims: length of the vectors; segments and width: shape of the signature; spread: how many
+    """dims: length of the longest vectors; segments and width: shape of the signature; spread: how many
     standard deviations above the expected distance at `cosine` a signature may lie."""
 
     dims: int = 64
@@ -41,6 +41,18 @@ class Settings:
         return math.ceil(self.bits * flip + self.spread * math.sqrt(self.bits * flip * (1 - flip)))
 
 
+def fitted(rows: DataFrame, cosine: float, column: str = "embedding", miss: float = 0.001) -> Settings:
+    """Settings for a table: the vectors' length is read from it, the segments are as wide as the logarithm of the rows.
+
+    So unrelated rows that share a segment stay at some four a row whatever the table's size; a pair exactly at
+    `cosine` shares none with probability `miss` at most. One row reaches the driver.
+    """
+    r = rows.agg(F.count(column).alias("n"), F.max(F.size(column)).alias("dims")).first()
+    width = max(10, math.ceil(math.log2(max(2, r.n))) - 2)
+    whole = (1 - math.acos(cosine) / math.pi) ** width
+    return Settings(dims=max(1, r.dims or 1), cosine=cosine, width=width, segments=math.ceil(math.log(miss) / math.log(1 - whole)))
+
+
 def planes(settings: Settings) -> np.ndarray:
     """Random directions, orthonormal in blocks of `dims`."""
     rng = np.random.default_rng(settings.seed)
@@ -49,22 +61,30 @@ def planes(settings: Settings) -> np.ndarray:
 
 
 def vectors(rows: DataFrame, settings: Settings = Settings(), column: str = "embedding", key: str = "article_id") -> DataFrame:
-    """id, v: the rows whose vector can match, `v` at unit length as binary float32."""
+    """id, v: the rows whose vector can match, `v` at unit length as binary float32. Vectors of different lengths never match."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, col = b.column(0), b.column(1)
-            lists = col.to_numpy(zero_copy_only=False)
-            ok = np.array([x is not None and len(x) == settings.dims for x in lists], dtype=bool)
-            m = np.stack([np.asarray(x, dtype=np.float64) for x in lists[ok]]) if ok.any() else np.zeros((0, settings.dims))
-            norm = np.linalg.norm(m, axis=1)
-            good = np.isfinite(norm) & (norm > 0)
-            unit = (m[good] / norm[good][:, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids)[ok][good], pa.int64()), pa.array([x.tobytes() for x in unit], pa.binary())], names=["id", "v"])
+            ids, out = [], []
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), strict=True):
+                if x is None or not 0 < len(x) <= settings.dims:
+                    continue
+                x = np.asarray(x, dtype=np.float64)
+                norm = np.linalg.norm(x)
+                if np.isfinite(norm) and norm > 0:
+                    ids.append(i)
+                    out.append((x / norm).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "v"])
 
     return rows.where(F.col(column).isNotNull()).select(F.col(key).cast("long"), F.col(column).cast("array<float>")).mapInArrow(convert, "id long, v binary")
 
 
+def padded(col: pa.Array, dims: int) -> np.ndarray:
+    """The vectors of a binary column as rows, filled up with zeros."""
+    whole = dims * 4
+    return np.frombuffer(b"".join(x.ljust(whole, b"\0") for x in col.to_pylist()), dtype=np.float32).reshape(len(col), dims)
+
+
 def classes(vecs: DataFrame) -> DataFrame:
     """rep, v: one row for each distinct vector, `rep` the smallest id that has it."""
     return vecs.groupBy("v").agg(F.min("id").alias("rep"))
@@ -79,7 +99,7 @@ def segment_index(reps: DataFrame, settings: Settings = Settings()) -> DataFrame
         powers = (1 << np.arange(settings.width)).astype(np.int32)
         for b in batches:
             n = b.num_rows
-            m = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.float32).reshape(n, settings.dims)
+            m = padded(b.column(1), settings.dims)
             bits = m @ p > 0
             content = bits.reshape(n, settings.segments, settings.width).astype(np.int32) @ powers
             packed = np.packbits(np.pad(bits, ((0, 0), (0, longs * 64 - settings.bits))), axis=1)
@@ -99,12 +119,13 @@ def edit_distance(settings: Settings, a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))) for j in range(1, longs)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
 
 
-def probe(new: DataFrame, stored: DataFrame, settings: Settings = Settings(), within: bool = False, groups: tuple[str, ...] = ()) -> DataFrame:
+def probe(new: DataFrame, stored: DataFrame, settings: Settings = Settings(), within: bool = False, groups: tuple[str, ...] = (), small: bool = False) -> DataFrame:
     """a, b: classes that share a segment and lie within the edit distance; each pair once.
 
     `groups`: columns of both that must be equal. `within`: `new` and `stored` are one index, whose pairs are taken in one direction.
+    `small`: the caller has counted `new` and found it fit to be broadcast, so that `stored` is read without a shuffle.
     """
-    a, b = new.alias("a"), stored.alias("b")
+    a, b = (F.broadcast(new) if small else new).alias("a"), stored.alias("b")
     met = F.lit(True)
     for g in groups:
         met &= F.col(f"a.{g}") == F.col(f"b.{g}")
@@ -119,8 +140,9 @@ def cosine_at_least(pairs: DataFrame, left: DataFrame, right: DataFrame, setting
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            va, vb = (np.frombuffer(b"".join(x.column(k).to_pylist()), dtype=np.float32).reshape(x.num_rows, settings.dims).astype(np.float64) for k in (2, 3))
+            va, vb = (padded(x.column(k), settings.dims).astype(np.float64) for k in (2, 3))
             cos = np.einsum("ij,ij->i", va, vb)
+            cos[[len(p) != len(q) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]] = -1.0
             yield x.select(["a", "b"]).append_column("cos", pa.array(cos)).filter(pa.array(cos >= settings.cosine - 1e-7))
 
     return joined.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long, cos double")

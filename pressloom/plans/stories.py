@@ -51,7 +51,8 @@ def newest(a: DataFrame) -> DataFrame:
 
 
 def title_groups(spark: SparkSession, d: str) -> DataFrame:
-    return leaders(newest(timed(spark, d, "country", "embedding")), "country", ["age_us"], "embedding", S.Settings(cosine=DEFAULT.same_title))
+    rows = newest(timed(spark, d, "country", "embedding"))
+    return leaders(rows, "country", ["age_us"], "embedding", S.fitted(rows, DEFAULT.same_title))
 
 
 @query(_leaders_sql("TRUE", "embedding", 0.95, "country") + " SELECT article_id, leader FROM grouped")
@@ -67,7 +68,8 @@ def window(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def body_groups(spark: SparkSession, d: str) -> DataFrame:
-    return leaders(newest(window(spark, d, "embedding_body")), "country", ["age_us"], "embedding_body", S.Settings(cosine=DEFAULT.same_body, segments=40, width=12))
+    rows = newest(window(spark, d, "embedding_body"))
+    return leaders(rows, "country", ["age_us"], "embedding_body", S.fitted(rows, DEFAULT.same_body, "embedding_body"))
 
 
 @query(_leaders_sql(_WINDOW, "embedding_body", 0.91, "country") + " SELECT article_id, leader FROM grouped")
@@ -98,8 +100,9 @@ p AS (SELECT a.article_id AS q, b.article_id AS other, round(list_dot_product(a.
 SELECT q, other, cos FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cos DESC, other) AS r FROM p) WHERE r <= 4""")
 def c07_similar(spark: SparkSession, d: str) -> DataFrame:
     """Up to four similar articles of each query row (ids divisible by 50) among all rows."""
-    s = S.Settings(cosine=DEFAULT.similar, segments=60, width=12)
-    rows = S.vectors(articles(spark, d, "article_id", "embedding"), s).withColumnRenamed("id", "rep")
+    a = articles(spark, d, "article_id", "embedding")
+    s = S.fitted(a, DEFAULT.similar)
+    rows = S.vectors(a, s).withColumnRenamed("id", "rep")
     asked = rows.where("rep % 50 = 0")
     near = S.cosine_at_least(S.probe(S.segment_index(asked, s), S.segment_index(rows, s), s), asked, rows, s)
     w = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
