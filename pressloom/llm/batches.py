@@ -10,24 +10,32 @@ meet are verified by the edit distance of their signatures (substitutions, count
 and then by the cosine itself. Title hashes are strings of one length matched at distance
 0: one segment, the whole string.
 
-The index of a batch is a table of (position, content, id, signature). A new batch probes
-the stored segments and appends its own; nothing of the history is computed again.
+The index is a stored table of (position, content, id, signature), written load by load. A new load
+probes the stored segments, then appends its own under its name, so that a load written again replaces itself; nothing
+of the history is computed again. The segments are as wide as the logarithm of the rows the store is planned for
+(`similarity.fitted`), so unrelated rows that meet stay at a few a row. A load of up to `small` segments is
+broadcast, and the history is read without a shuffle; a larger one is joined by shuffle.
 Equal vectors are one class: only a class representative is indexed, so a vector shared
 by a third of all rows adds one posting for each segment; members are stored beside the index
 and joined back at the end.
 
-Edge cases: null vectors, vectors of another length, with a null or without a norm match
+Edge cases: null vectors, vectors with a null or without a norm and of different lengths match
 nothing; a null title_hash matches nothing; repeated rows with one id never pair with
-themselves; an empty table gives no pair.
+themselves; a null batch_no counts as the last batch; an empty table gives no pair.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.operators.similarity import Settings, classes, cosine_at_least, probe, segment_index, vectors
-from pressloom.storage import cut
+from pressloom.operators.similarity import Settings, classes, cosine_at_least, fitted, probe, segment_index, vectors
+from pressloom.storage import cut, shared_folder
+
+COSINE = 0.95
 
 
 def ordered(a: Column, b: Column) -> list[Column]:
@@ -42,56 +50,111 @@ def equal_hashes(articles: DataFrame) -> DataFrame:
     return h.alias("a").join(h.alias("b"), (F.col("a.title_hash") == F.col("b.title_hash")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("article_id_1"), F.col("b.id").alias("article_id_2"))
 
 
-def all_pairs(articles: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """article_id_1 < article_id_2: what probing the index with one batch after the other reports in all.
+def expanded(near: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of members of the classes a, b that match; left: rep, id of the one side, right: of the other."""
+    both = near.join(left.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(right.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
+    return both.where("x <> y").select(*ordered(F.col("x"), F.col("y")))
 
-    A pair is met when its later batch probes the segments of the earlier one, or within one
-    batch; both come out of one join of the whole index with itself.
-    """
-    vecs = cut(vectors(articles, settings))
+
+def members(vecs: DataFrame, reps: DataFrame) -> DataFrame:
+    return vecs.join(reps, "v").select("rep", "id")
+
+
+def within(batch: DataFrame, settings: Settings) -> DataFrame:
+    """article_id_1 < article_id_2: pairs of one batch, by an index of its own; may name a pair twice."""
+    vecs = cut(vectors(batch, settings))
     reps = classes(vecs)
     index = segment_index(reps, settings)
-    near = cosine_at_least(probe(index, index, settings, within=True), reps, reps, settings)
-    member = vecs.join(reps, "v").select("rep", "id")
-    across = near.join(member.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(member.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").where("x <> y").select(*ordered(F.col("x"), F.col("y")))
-    same = member.alias("p").join(member.alias("q"), (F.col("p.rep") == F.col("q.rep")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("article_id_1"), F.col("q.id").alias("article_id_2"))
-    return across.unionByName(same).unionByName(equal_hashes(articles)).distinct()
+    near = cosine_at_least(probe(index, index, settings, within=True), reps, reps, settings).select("a", "b")
+    own = reps.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    member = members(vecs, reps)
+    return expanded(near.unionByName(own), member, member).unionByName(equal_hashes(batch))
+
+
+def all_pairs(articles: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """article_id_1 < article_id_2: all pairs of a table that is one batch."""
+    return within(articles, settings or fitted(articles, COSINE)).distinct()
+
 
+def class_of(articles: DataFrame) -> DataFrame:
+    """kind, article_id, class_id: membership in classes of equal vectors and of equal title hashes; the class is named by its smallest id."""
+    vecs = vectors(articles, fitted(articles, COSINE))
+    same = members(vecs, classes(vecs)).select(F.lit("vector").alias("kind"), F.col("id").alias("article_id"), F.col("rep").alias("class_id"))
+    h = articles.where(F.col("title_hash").isNotNull()).select("title_hash", F.col("article_id").cast("long").alias("article_id"))
+    first = h.groupBy("title_hash").agg(F.min("article_id").alias("class_id"))
+    return same.unionByName(h.join(first, "title_hash").select(F.lit("hash").alias("kind"), "article_id", "class_id")).distinct()
 
-def append(batch: DataFrame, path: str, settings: Settings = Settings()) -> None:
-    """Adds a batch to the stored index: its segments, class vectors, members of the classes and title hashes."""
+
+def class_links(articles: DataFrame) -> DataFrame:
+    """class_1 < class_2, cos: classes of equal vectors that repeat one another. With `class_of`, all pairs without their expansion."""
+    s = fitted(articles, COSINE)
+    reps = cut(classes(vectors(articles, s)))
+    index = segment_index(reps, s)
+    near = cosine_at_least(probe(index, index, s, within=True), reps, reps, s)
+    return near.select(F.least("a", "b").alias("class_1"), F.greatest("a", "b").alias("class_2"), "cos").distinct()
+
+
+def append(batch: DataFrame, path: str, name: str, settings: Settings) -> None:
+    """Adds a load to the stored index: its segments, class vectors, members and title hashes; the same name again replaces it."""
     vecs = cut(vectors(batch, settings))
     reps = cut(classes(vecs))
-    segment_index(reps, settings).write.mode("append").partitionBy("position").parquet(f"{path}/segments")
-    reps.write.mode("append").parquet(f"{path}/vectors")
-    vecs.join(reps, "v").select("rep", "id").write.mode("append").parquet(f"{path}/members")
-    batch.where(F.col("title_hash").isNotNull()).select("title_hash", F.col("article_id").cast("long").alias("id")).write.mode("append").parquet(f"{path}/hashes")
+    segment_index(reps, settings).write.mode("overwrite").partitionBy("position").parquet(f"{path}/segments/load={name}")
+    reps.write.mode("overwrite").parquet(f"{path}/vectors/load={name}")
+    members(vecs, reps).write.mode("overwrite").parquet(f"{path}/members/load={name}")
+    batch.where(F.col("title_hash").isNotNull()).select("title_hash", F.col("article_id").cast("long").alias("id")).write.mode("overwrite").parquet(f"{path}/hashes/load={name}")
 
 
-def check_batch(batch: DataFrame, path: str, settings: Settings = Settings()) -> DataFrame:
-    """article_id_1 < article_id_2: pairs of an article of the batch with a stored one or with another of the batch.
+def check_batch(batch: DataFrame, path: str, settings: Settings, small: int = 300_000) -> DataFrame:
+    """article_id_1 < article_id_2: pairs of an article of the batch with a stored one or with another of the batch; each once.
 
     Only the segments, and the vectors and members of classes that met, are read of the history.
     Nothing stored yet: the pairs of the batch alone.
     """
-    within = all_pairs(batch, settings)
+    inside = within(batch, settings)
     spark = batch.sparkSession
-    if not _stored(spark, path):
-        return within
+    loads = loads_of(spark, path)
+    if not loads:
+        return inside.distinct()
     vecs = cut(vectors(batch, settings))
-    reps = classes(vecs)
-    stored, old = spark.read.parquet(f"{path}/segments"), spark.read.parquet(f"{path}/vectors")
+    reps = cut(classes(vecs))
+    stored, old, theirs, theirs_hashes = (stored_part(spark, path, x, loads) for x in ("segments", "vectors", "members", "hashes"))
     # an article that comes again may stand for its class on both sides
     again = reps.join(old.select("rep").distinct(), "rep").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    near = cosine_at_least(probe(segment_index(reps, settings), stored, settings).unionByName(again), reps, old, settings)
-    mine = vecs.join(reps, "v").select(F.col("rep").alias("a"), F.col("id").alias("x"))
-    theirs = spark.read.parquet(f"{path}/members").select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    by_vector = near.join(mine, "a").join(theirs, "b").select("x", "y")
+    met = probe(segment_index(reps, settings), stored, settings, small=reps.count() * settings.segments <= small)
+    near = cosine_at_least(met.unionByName(again), reps, old, settings).select("a", "b")
+    by_vector = expanded(near, members(vecs, reps), theirs)
     hashes = batch.where(F.col("title_hash").isNotNull()).select("title_hash", F.col("article_id").cast("long").alias("x"))
-    by_hash = hashes.join(spark.read.parquet(f"{path}/hashes"), "title_hash").select("x", F.col("id").alias("y"))
-    return by_vector.unionByName(by_hash).where("x <> y").select(*ordered(F.col("x"), F.col("y"))).unionByName(within).distinct()
+    by_hash = hashes.join(theirs_hashes.select("title_hash", F.col("id").alias("y")), "title_hash")
+    return by_vector.unionByName(by_hash.where("x <> y").select(*ordered(F.col("x"), F.col("y")))).unionByName(inside).distinct()
 
 
-def _stored(spark: SparkSession, path: str) -> bool:
+def replay(articles: DataFrame, loads: int = 3) -> DataFrame:
+    """article_id_1 < article_id_2: what is reported when the table arrives in `loads` deliveries of whole batches, in order.
+
+    Each delivery is checked against the store of the earlier ones and then appended to it. The store lies in the session's shared folder.
+    """
+    last = 2**31 - 1
+    rows = articles.withColumn("batch_no", F.coalesce(F.col("batch_no").cast("long"), F.lit(last)))
+    edges = rows.agg(F.percentile_approx("batch_no", [k / loads for k in range(1, loads)]).alias("e")).first().e or []
+    edges = sorted({*edges, last})
+    settings, path = fitted(articles, COSINE), f"{shared_folder(articles.sparkSession)}/segments-{uuid.uuid4().hex}"
+    found, low = [], None
+    for k, high in enumerate(edges):
+        load = rows.where(F.col("batch_no") <= high) if low is None else rows.where((F.col("batch_no") > low) & (F.col("batch_no") <= high))
+        found.append(check_batch(load, path, settings))
+        if k + 1 < len(edges):
+            append(load, path, f"{k:06d}", settings)
+        low = high
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def loads_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of the loads that a store holds."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/hashes")
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()) if fs.exists(at) else []
+
+
+def stored_part(spark: SparkSession, path: str, part: str, loads: list[str]) -> DataFrame:
+    # by the loads' own paths: plans over one folder that grew between two reads would be taken for the same
+    return spark.read.option("basePath", f"{path}/{part}").parquet(*(f"{path}/{part}/{x}" for x in loads))

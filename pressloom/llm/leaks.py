@@ -1,15 +1,16 @@
 """Problem 9: passages of evaluation items inside documents.
 
-Size-partitioned MinHash containment search. A passage of `words` consecutive words is a
-query set of `words - shingle + 1` word shingles. Items are partitioned by size: short
-ones are one passage, longer ones give one query for each start. A document is indexed by
-the MinHash of each of its windows of the same size, so query and window sets have equal
-size and containment is equality: a document window that holds the passage has the same
-shingles, hence the same minimum, for any hash function. No containing document is lost;
-`hashes` minima only thin out the candidates, which exact shingle containment then verifies.
-
-The query side is the item table: `most_items` is checked before it is sent to the tasks,
-and beyond it the minima are joined by shuffle instead.
+Size-partitioned MinHash containment search. A passage of `words` consecutive words is a set of
+`words - shingle + 1` word shingles. Items are partitioned by size, class k holding those of 2**k to
+2**(k + 1) passages' worth of shingles; in a class the share of an item that a document must contain, one passage
+over the item, is known within a factor of two, and each class has a sketch table of its own: the MinHash of every window of
+one passage of its items. A document is sketched the same way, by the minima of its windows (a seventh of its
+shingles), so query and window sets are of equal size: a window that holds the passage has the same shingles, hence the
+same minimum, and no containing document is lost. Every meeting of sketches is verified by exact
+containment: the shingles of item and document around the common one must agree in a run of a whole passage.
+
+The sketch tables travel with the tasks while they hold `most` passages at most, counted first;
+beyond it they are joined by shuffle, each sketch with the shingles around it, and verified alike.
 
 Edge cases: null and empty texts, items of fewer than `words` words and documents of fewer
 match nothing; repeated passages and repeated items count once for each item_id; repeated
@@ -34,12 +35,17 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Settings:
-    """words: least run of item words that counts; shingle: words in a shingle; most_items: item
-    rows up to which the queries travel with the tasks (some 20 kB each)."""
+    """words: least run of item words that counts; shingle: words in a shingle; most: passages of all items
+    up to which their sketches travel with the tasks (some 16 bytes each)."""
 
     words: int = 17
     shingle: int = 5
-    most_items: int = 5_000
+    most: int = 1_000_000
+
+    @property
+    def width(self) -> int:
+        """Shingles of a passage."""
+        return self.words - self.shingle + 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -96,43 +102,68 @@ def minima(shingle: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(shingle) - width + 1], m[width - size :][: len(shingle) - width + 1])
 
 
-def passages(text: str, words: Words, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """MinHash and fingerprint (hash over all words) of each window of `words` words."""
-    with np.errstate(over="ignore"):
-        w = words.hashes(text)
-        return minima(shingles(w, settings.shingle), settings.words - settings.shingle + 1), shingles(w, settings.words)
+def sketch(s: np.ndarray, width: int) -> np.ndarray:
+    """Places of the shingles that are the minimum of some window of `width`."""
+    least = np.unique(minima(s, width))
+    return np.flatnonzero(np.isin(s, least)) if len(least) else np.zeros(0, dtype=np.int64)
+
+
+def size_class(shingle_count: np.ndarray | int, width: int) -> np.ndarray:
+    """0 for items of one to two passages of shingles, 1 for two to four, and so on."""
+    return np.log2(np.maximum(shingle_count, width) / width).astype(np.int64)
+
+
+def around(s: np.ndarray, at: np.ndarray, width: int, blank: int) -> np.ndarray:
+    """The shingles up to one passage to both sides of each place; `blank` beyond the ends."""
+    padded = np.concatenate([np.full(width - 1, blank, dtype=np.uint64), s, np.full(width - 1, blank, dtype=np.uint64)])
+    return padded[at[:, None] + np.arange(2 * width - 1)]
+
+
+def whole(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Do the shingles of each row agree in a run of `width` through the middle."""
+    same = a == b
+    left = np.cumprod(same[:, width - 1 :: -1], axis=1).sum(axis=1)
+    right = np.cumprod(same[:, width - 1 :], axis=1).sum(axis=1)
+    return left + right - 1 >= width
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def queries(items: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """item_id, least, print: the MinHash and fingerprint of each passage of each item."""
+def sketches(rows: DataFrame, key: str, blank: int, settings: Settings) -> DataFrame:
+    """key, size, least, near: the sketch of each text with the shingles around."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, schema = Words(), pa.schema([(key, pa.int64()), ("size", pa.int32()), ("least", pa.int64()), ("near", pa.binary())])
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                least, full = passages(text or "", words, settings)
-                if len(full):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), i, dtype=np.int64)), pa.array(_signed(least)), pa.array(_signed(full))], names=["item_id", "least", "print"])
+                with np.errstate(over="ignore"):
+                    s = shingles(words.hashes(text or ""), settings.shingle)
+                at = sketch(s, settings.width)
+                if len(at):
+                    k = np.full(len(at), int(size_class(len(s), settings.width)), dtype=np.int32)
+                    near = [x.tobytes() for x in around(s, at, settings.width, blank)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, dtype=np.int64)), pa.array(k), pa.array(_signed(s[at])), pa.array(near, pa.binary())], schema=schema)
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(build, "item_id long, least long, print long").distinct()
+    return rows.select(F.col(key).cast("long"), "text").mapInArrow(build, f"{key} long, size int, least long, near binary")
 
 
 def leaks(documents: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, item_id: each document with a run of at least `words` words of an item; each once."""
-    asked = queries(items, settings)
-    n = items.count()
+    asked = sketches(items, "item_id", 1, settings).distinct()
     rows = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    if n > settings.most_items:
+    if asked.count() > settings.most:
         return _leaks_by_shuffle(rows, asked, settings)
-    known = asked.collect()  # at most most_items texts, whose windows are counted above
-    least = np.unique(np.array([r.least for r in known], dtype=np.int64))
-    owners: dict[int, list[int]] = {}
-    for r in known:
-        owners.setdefault(r["print"], []).append(r.item_id)
+    known = asked.collect()  # counted above
+    width = settings.width
+    classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for k in sorted({r["size"] for r in known}):
+        own = sorted((r for r in known if r["size"] == k), key=lambda r: r.least)
+        near = np.frombuffer(b"".join(r.near for r in own), dtype=np.uint64).reshape(len(own), 2 * width - 1)
+        classes[k] = np.array([r.least for r in own], dtype=np.int64).view(np.uint64), np.array([r.item_id for r in own], dtype=np.int64), near
+    # unsigned order, as the documents' minima have it
+    classes = {k: tuple(x[np.argsort(v[0], kind="stable")] for x in v) for k, v in classes.items()}
     del known
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,14 +171,19 @@ def leaks(documents: DataFrame, items: DataFrame, settings: Settings = Settings(
         for b in batches:
             out: set[tuple[int, int]] = set()
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                mins, full = passages(text, words, settings)
-                if not len(full) or not len(least):
+                with np.errstate(over="ignore"):
+                    s = shingles(words.hashes(text), settings.shingle)
+                mins = np.unique(minima(s, width))
+                if not len(mins):
                     continue
-                mins = _signed(mins)
-                at = np.searchsorted(least, mins)
-                at[at == len(least)] = 0
-                for k in np.flatnonzero(least[at] == mins):
-                    out.update((i, o) for o in owners.get(int(_signed(full)[k]), ()))
+                for least, owner, near in classes.values():
+                    lo, hi = np.searchsorted(least, mins, "left"), np.searchsorted(least, mins, "right")
+                    for m in np.flatnonzero(hi > lo):
+                        at = np.flatnonzero(s == mins[m])
+                        mine = around(s, at, width, 0)
+                        for q in range(lo[m], hi[m]):
+                            if (i, int(owner[q])) not in out and whole(mine, near[q][None, :], width).any():
+                                out.add((i, int(owner[q])))
             pairs = sorted(out)
             yield pa.RecordBatch.from_pydict({"doc_id": [p[0] for p in pairs], "item_id": [p[1] for p in pairs]}, schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())]))
 
@@ -155,14 +191,14 @@ def leaks(documents: DataFrame, items: DataFrame, settings: Settings = Settings(
 
 
 def _leaks_by_shuffle(rows: DataFrame, asked: DataFrame, settings: Settings) -> DataFrame:
-    """The same where the items are too many to travel: windows and passages joined on both hashes."""
+    """The same where the sketches are too many to travel."""
+    width = settings.width
+    mine = sketches(rows, "doc_id", 0, settings).select("doc_id", "least", F.col("near").alias("mine"))
+    met = mine.join(asked.select("item_id", "least", "near"), "least").select("doc_id", "item_id", "mine", "near")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                mins, full = passages(text, words, settings)
-                if len(full):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), i, dtype=np.int64)), pa.array(_signed(mins)), pa.array(_signed(full))], names=["doc_id", "least", "print"])
+            a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint64).reshape(b.num_rows, 2 * width - 1) for k in (2, 3))
+            yield b.select(["doc_id", "item_id"]).filter(pa.array(whole(a, c, width)))
 
-    return rows.mapInArrow(windows, "doc_id long, least long, print long").join(asked, ["least", "print"]).select("doc_id", "item_id").distinct()
+    return met.mapInArrow(verify, "doc_id long, item_id long").distinct()

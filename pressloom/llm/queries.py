@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pressloom.llm import batches, blocks, encodings, languages, leaks, lookalikes, packing, repeated_lines, residue, subjects
 from pressloom.sources.tables import table
@@ -49,7 +50,15 @@ def p4_equal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return batches.all_pairs(table(spark, d, "articles"))
+    return batches.replay(table(spark, d, "articles", "article_id", "batch_no", "title_hash", "embedding"))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return batches.class_of(table(spark, d, "articles", "article_id", "title_hash", "embedding"))
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    return batches.class_links(table(spark, d, "articles", "article_id", "embedding")).select("class_1", "class_2", F.round("cos", 4).alias("cos"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +103,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_mix, p3_found, p3_clean, p3_sequences, p4_found, p4_forms, p4_equal, p5_found, p6_found, p6_bodies, p7_found, p7_segments, p7_labels, p8_bins, p8_use, p9_found, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_mix, p3_found, p3_clean, p3_sequences, p4_found, p4_forms, p4_equal, p5_found, p5_classes, p5_links, p6_found, p6_bodies, p7_found, p7_segments, p7_labels, p8_bins, p8_use, p9_found, p10_found, p10_restored)}
 
 
 _SITE = r"""regexp_replace(coalesce(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1), ''), '^(?:www|m|amp)\.', '')"""
@@ -110,6 +119,8 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": """WITH u AS (SELECT article_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM (SELECT article_id, CAST(embedding AS DOUBLE[]) AS v FROM articles WHERE embedding IS NOT NULL) WHERE len(v) > 0 AND list_dot_product(v, v) > 0)
 SELECT a.article_id AS article_id_1, b.article_id AS article_id_2 FROM u a JOIN u b ON a.article_id < b.article_id WHERE list_dot_product(a.u, b.u) >= 0.95 - 1e-7
 UNION SELECT a.article_id, b.article_id FROM articles a JOIN articles b ON a.title_hash = b.title_hash AND a.article_id < b.article_id""",
+        "p5_classes": """WITH u AS (SELECT article_id, list_transform(v, lambda x: CAST(x / sqrt(list_dot_product(v, v)) AS FLOAT)) AS u FROM (SELECT article_id, CAST(embedding AS DOUBLE[]) AS v FROM articles WHERE embedding IS NOT NULL) WHERE len(v) > 0 AND list_dot_product(v, v) > 0)
+SELECT 'vector' AS kind, article_id, min(article_id) OVER (PARTITION BY u) AS class_id FROM u UNION SELECT 'hash', article_id, min(article_id) OVER (PARTITION BY title_hash) FROM articles WHERE title_hash IS NOT NULL""",
         "p9_found": f"""WITH i AS (SELECT item_id, unnest({_RUNS}) AS run FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_items WHERE text IS NOT NULL) WHERE len(w) >= 17),
 d AS (SELECT doc_id, unnest({_RUNS}) AS run FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 17)
 SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)""",

@@ -1,21 +1,21 @@
 """Problem 3: lines repeated across one site's documents.
 
-PrefixSpan over the sequences of line identifiers of each site. Level one counts the
-distinct documents of every single line as a DataFrame step. The projected database of each
-frequent first line, equal continuations as one row, is then mined level by level in one
-task until no sequence is frequent, over all later lines and every occurrence. A sequence is
-frequent when `support` distinct documents of the site hold it. Every line of a frequent
-sequence is itself a frequent single line, so deleting the occurrences of all frequent
-sequences removes exactly the frequent lines.
-
-Documents are counted before the shuffle (each line once for each document), so a site
-that holds a third of all rows adds one partial count a task and line, never one large
-group. The join back to the lines is left to a skew-aware sort-merge join: one row a line
-with two numbers.
+PrefixSpan over the sequences of line identifiers of each site (the identifier hashes site and
+line, so sites never mix). Level one counts the distinct articles of every single line.
+Infrequent lines are pruned; each frequent line then has a projected database: what follows it in
+the articles, equal continuations as one row with their number. A projected database of up to `most` rows
+is mined level by level in one task; a larger one (a line of a site that holds a third of all rows) is projected
+again by its next line as a DataFrame step, until every part fits, so no group is collected whole.
+A sequence is frequent when `support` distinct articles hold it, and the occurrences of
+all lines of frequent sequences, single ones included, are deleted.
+
+`adjacent` sequences are runs: each line directly follows the one before, infrequent lines
+left out. They number at most `longest` a line of the table; deletion is mined by them. Sequences in
+any gaps are complete as well, but their number may grow exponentially with the frequent lines of a page.
 
 Edge cases: null or empty text gives no line; a null or unreadable url counts as the site
-''; blank lines are never counted nor removed; repeated rows with one article_id count as one
-document; an empty table gives no row; other columns pass through `without_lines`.
+''; blank lines are never counted nor removed; rows with one article_id are read as one
+page and count as one article; an empty table gives no row; other columns pass through `without_lines`.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.storage import cut
+
 
 def site(url: Column) -> Column:
     """Host of a url, lower case, without user, port and one leading www., m. or amp.; '' if there is none."""
@@ -48,21 +50,9 @@ def lines(articles: DataFrame) -> DataFrame:
     return keyed.select("article_id", "line_no", F.xxhash64("s", "k").alias("line"))
 
 
-def sequences(articles: DataFrame) -> DataFrame:
-    """article_id, lines: its distinct line identifiers in order; one row for each row of `articles`."""
-    s = site(F.col("url"))
-    keys = F.filter(F.transform(F.split("text", "\n"), line_key), lambda k: k != "")
-    return articles.where(F.col("text").isNotNull()).select(F.col("article_id").cast("long").alias("article_id"), F.transform(F.array_distinct(keys), lambda k: F.xxhash64(s, k)).alias("lines"))
-
-
-def frequent_lines(articles: DataFrame, support: int = 4, ids_unique: bool = True) -> DataFrame:
-    """line, documents: single lines in at least `support` documents of their site.
-
-    Where `article_id` may repeat, `ids_unique=False` counts each id once.
-    """
-    each = sequences(articles).select("article_id", F.explode("lines").alias("line"))
-    if not ids_unique:
-        each = each.distinct()
+def frequent_lines(held: DataFrame, support: int = 4) -> DataFrame:
+    """line, documents: single lines of `lines` in at least `support` distinct articles."""
+    each = held.select("article_id", "line").distinct()
     return each.groupBy("line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= support)
 
 
@@ -114,27 +104,135 @@ def mined(items: np.ndarray, weight: np.ndarray, support: int, most: int = 1_000
             start = end
 
 
-def frequent_sequences(articles: DataFrame, support: int = 4) -> DataFrame:
-    """lines (array of identifiers), documents: all frequent sequences, of any length and with any lines between."""
-    single = frequent_lines(articles, support)
-    held = lines(articles).join(single.select("line"), "line").groupBy("article_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "line"))).alias("held"))
-    held = held.select(F.transform("held", lambda x: x["line"]).alias("held")).groupBy("held").agg(F.count(F.lit(1)).alias("n"))
-    # the projected database of each first line, equal continuations as one row
-    rest = held.select("held", "n", F.explode(F.array_distinct("held")).alias("first"))
-    rest = rest.select("first", F.expr("slice(held, int(array_position(held, first)) + 1, size(held))").alias("rest"), "n").where(F.size("rest") > 0)
-    rest = rest.groupBy("first", "rest").agg(F.sum("n").alias("n"))
+def runs(items: np.ndarray, skip: np.ndarray, weight: np.ndarray, support: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(runs as rows of equal length, documents) of all frequent runs that begin in the first column.
+
+    `items`: a continuation a row, filled up with -1; `skip`: a row counts for runs of more lines than this, as the article
+    holds the shorter ones before; `depth`: lines of the prefix.
+    """
+    row, group = np.arange(len(items)), np.zeros(len(items), dtype=np.int64)
+    for j in range(items.shape[1]):
+        ok = items[row, j] != -1
+        row, group = row[ok], group[ok]
+        if not len(row):
+            return
+        kinds, local = np.unique(items[row, j], return_inverse=True)
+        keys, which = np.unique(group * len(kinds) + local, return_inverse=True)
+        documents = np.bincount(which, weights=np.where(skip[row] < depth + j + 1, weight[row], 0), minlength=len(keys)).astype(np.int64)
+        kept = documents >= support
+        if not kept.any():
+            return
+        sample = np.zeros(len(keys), dtype=np.int64)
+        sample[which] = row
+        yield items[sample[kept], : j + 1], documents[kept]
+        stay = kept[which]
+        row, group = row[stay], (np.cumsum(kept) - 1)[which[stay]]
+
+
+def seen_before(x: list[int]) -> list[int]:
+    """For each place the length of the longest run from there that also begins at an earlier place."""
+    if len(set(x)) == len(x):
+        return [0] * len(x)
+    # suffixes in order by doubling; the earlier neighbours in that order share the longest beginning
+    n = len(x)
+    rank = np.unique(np.array(x), return_inverse=True)[1].astype(np.int64)
+    k = 1
+    while True:
+        second = np.concatenate([rank[k:], np.full(min(k, n), -1)])[:n] + 1
+        new = np.unique(rank * (n + 2) + second, return_inverse=True)[1].astype(np.int64)
+        rank = new
+        if rank.max() == n - 1 or k >= n:
+            break
+        k *= 2
+    order = np.argsort(rank, kind="stable").tolist()
+
+    def common(i: int, j: int) -> int:
+        m = 0
+        while i + m < n and j + m < n and x[i + m] == x[j + m]:
+            m += 1
+        return m
+
+    out = [0] * n
+    for way in (order, order[::-1]):
+        stack: list[int] = []
+        for i in way:
+            while stack and stack[-1] > i:
+                stack.pop()
+            if stack:
+                out[i] = max(out[i], common(i, stack[-1]))
+            stack.append(i)
+    return out
+
+
+def projected(held: DataFrame, adjacent: bool, longest: int) -> DataFrame:
+    """prefix (one line), rest, skip, n: the projected databases of all frequent lines."""
+    page = held.groupBy("article_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "line"))).alias("held")).select(F.transform("held", lambda x: x["line"]).alias("held"))
+    if not adjacent:
+        page = page.groupBy("held").agg(F.count(F.lit(1)).alias("n"))
+        rest = page.select(F.explode(F.array_distinct("held")).alias("first"), "held", "n")
+        rest = rest.select(F.array("first").alias("prefix"), F.expr("slice(held, int(array_position(held, first)) + 1, size(held))").alias("rest"), F.lit(0).alias("skip"), "n")
+    else:
+
+        def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            schema = pa.schema([("prefix", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64())), ("skip", pa.int32())])
+            for b in batches:
+                rows: list[tuple] = []
+                for x in b.column(0).to_pylist():
+                    for i, skip in enumerate(seen_before(x)):
+                        rows.append((x[i : i + 1], x[i + 1 : i + longest], min(skip, longest)))
+                        if len(rows) >= 20_000:
+                            yield pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(schema.names)}, schema=schema)
+                            rows = []
+                yield pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(schema.names)}, schema=schema)
+
+        rest = page.mapInArrow(suffixes, "prefix array<long>, rest array<long>, skip int").withColumn("n", F.lit(1))
+    return rest.where(F.size("rest") > 0).groupBy("prefix", "rest", "skip").agg(F.sum("n").alias("n"))
+
+
+def frequent_sequences(articles: DataFrame, support: int = 4, adjacent: bool = False, longest: int = 64, most: int = 100_000, held: DataFrame | None = None) -> DataFrame:
+    """lines (array of identifiers), documents: all frequent sequences; `adjacent`: those without gaps, of up to `longest` lines.
+
+    `most`: rows of a projected database that one task mines; `held`: the pruned occurrences, where the caller has them.
+    """
+    if held is None:
+        held = pruned(articles, support)
+    single = frequent_lines(held, support)
+    level, found, depth = cut(projected(held, adjacent, longest)), [single.select(F.array("line").alias("lines"), "documents")], 1
+    done = []
+    while True:
+        size = level.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows"))
+        large = size.where(F.col("rows") > most).select("prefix")
+        if not large.limit(1).count():
+            break
+        done.append(level.join(large, "prefix", "left_anti"))
+        wide = level.join(large, "prefix")
+        if adjacent:
+            step = wide.select(F.concat("prefix", F.slice("rest", 1, 1)).alias("prefix"), F.expr("slice(rest, 2, size(rest))").alias("rest"), "skip", "n")
+        else:
+            step = wide.select("prefix", "rest", "skip", "n", F.explode(F.array_distinct("rest")).alias("next"))
+            step = step.select(F.concat("prefix", F.array("next")).alias("prefix"), F.expr("slice(rest, int(array_position(rest, next)) + 1, size(rest))").alias("rest"), "skip", "n")
+        step = cut(step.groupBy("prefix", "rest", "skip").agg(F.sum("n").alias("n")))
+        depth += 1
+        kept = step.groupBy("prefix").agg(F.sum(F.when(F.col("skip") < depth, F.col("n")).otherwise(0)).alias("documents")).where(F.col("documents") >= support)
+        found.append(kept.select(F.col("prefix").alias("lines"), "documents"))
+        level = cut(step.join(kept.select("prefix"), "prefix").where(F.size("rest") > 0))
+    for part in done:
+        level = level.unionByName(part)
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lines", pa.list_(pa.int64())), ("documents", pa.int64())])
 
-        def sequences_of(first: int, group: list[tuple[list[int], int]]) -> Iterator[pa.RecordBatch]:
-            kinds = {line: k for k, line in enumerate(sorted({x for r, _ in group for x in r}))}
+        def sequences_of(first: list[int], group: list[tuple[list[int], int, int]]) -> Iterator[pa.RecordBatch]:
+            if sum(n for *_, n in group) < support:
+                return
+            kinds = {line: k for k, line in enumerate(sorted({x for r, *_ in group for x in r}))}
             back = np.array(list(kinds), dtype=np.int64)
-            items = np.full((len(group), max(len(r) for r, _ in group)), -1, dtype=np.int64)
-            for k, (r, _) in enumerate(group):
+            items = np.full((len(group), max(len(r) for r, *_ in group)), -1, dtype=np.int64)
+            for k, (r, *_) in enumerate(group):
                 items[k, : len(r)] = [kinds[x] for x in r]
-            for paths, documents in mined(items, np.array([n for _, n in group], dtype=np.int64), support):
-                whole = np.concatenate([np.full((len(paths), 1), first), back[paths]], axis=1)
+            skip, weight = np.array([s for _, s, _ in group]), np.array([n for *_, n in group], dtype=np.int64)
+            for paths, documents in runs(items, skip, weight, support, len(first)) if adjacent else mined(items, weight, support):
+                whole = np.concatenate([np.tile(first, (len(paths), 1)), back[paths]], axis=1)
                 for k in range(0, len(whole), 50_000):
                     part = whole[k : k + 50_000]
                     offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
@@ -142,22 +240,38 @@ def frequent_sequences(articles: DataFrame, support: int = 4) -> DataFrame:
 
         now, group = None, []
         for b in batches:
-            for first, r, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for first, r, s, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if first != now and group:
                     yield from sequences_of(now, group)
                     group = []
                 now = first
-                group.append((r, n))
+                group.append((r, s, n))
         if group:
             yield from sequences_of(now, group)
 
-    longer = rest.repartition("first").sortWithinPartitions("first").mapInArrow(mine, "lines array<long>, documents long")
-    return single.select(F.array("line").alias("lines"), "documents").unionByName(longer)
+    longer = level.select("prefix", "rest", "skip", "n").repartition("prefix").sortWithinPartitions("prefix").mapInArrow(mine, "lines array<long>, documents long")
+    for part in found:
+        longer = longer.unionByName(part)
+    return longer
+
+
+def kept_with(held: DataFrame, named: DataFrame, parts: int = 8) -> DataFrame:
+    """The occurrences whose line is in `named`; a line's occurrences are spread over `parts` keys, so no line is one task's."""
+    spread = named.select("line", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    return held.withColumn("part", F.pmod(F.xxhash64("article_id"), F.lit(parts)).cast("int")).join(spread, ["line", "part"]).select("article_id", "line_no", "line")
+
+
+def pruned(articles: DataFrame, support: int = 4) -> DataFrame:
+    """article_id, line_no, line: the occurrences of frequent single lines, written once."""
+    each = cut(lines(articles))
+    return cut(kept_with(each, frequent_lines(each, support)))
 
 
 def repeated(articles: DataFrame, support: int = 4) -> DataFrame:
-    """article_id, line_no of every occurrence of a frequent line; each once."""
-    return lines(articles).join(frequent_lines(articles, support), "line").select("article_id", "line_no")
+    """article_id, line_no of every occurrence of a line of a frequent sequence; each once."""
+    held = pruned(articles, support)
+    named = frequent_sequences(articles, support, adjacent=True, held=held).select(F.explode("lines").alias("line")).distinct()
+    return kept_with(held, named).select("article_id", "line_no").distinct()
 
 
 def without_lines(articles: DataFrame, support: int = 4) -> DataFrame:

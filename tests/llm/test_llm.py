@@ -120,6 +120,36 @@ def test_repeated_lines_against_brute_force(spark, odd, empty):
     assert repeated_lines.without_lines(odd).count() == odd.count()
 
 
+def test_repeated_rows_are_one_article(spark):
+    page = "Share\nLegal\nHome"
+    rows = [article(1, page)] * 4 + [article(2, page), article(3, page)]
+    assert repeated_lines.repeated(spark.createDataFrame(rows, ART)).count() == 0
+    got = [tuple(r) for r in repeated_lines.repeated(spark.createDataFrame([*rows, article(4, page)], ART)).collect()]
+    assert sorted(got) == [(i, n) for i in range(1, 5) for n in range(1, 4)]
+
+
+@pytest.mark.parametrize("most", [100_000, 2])
+def test_runs_and_split_databases_against_brute_force(spark, most):
+    rng = random.Random(11)
+    rows = [article(i, "\n".join(rng.choice("abc") for _ in range(rng.randint(3, 8)))) for i in range(14)]
+    df = spark.createDataFrame(rows, ART)
+    runs, gaps = defaultdict(set), defaultdict(set)
+    for r in rows:
+        w = r[4].split("\n")
+        for k in range(len(w)):
+            for m in range(k + 1, min(len(w), k + 4) + 1):
+                runs[tuple(w[k:m])].add(r[0])
+        for size in range(1, len(w) + 1):
+            for x in itertools.combinations(w, size):
+                gaps[x].add(r[0])
+    keys = spark.createDataFrame([(c,) for c in "abc"], "k string")
+    ids = {r.k: r.line for r in keys.select("k", F.xxhash64(F.lit("a.example"), "k").alias("line")).collect()}
+    for adjacent, held in ((True, runs), (False, gaps)):
+        got = [(tuple(r.lines), r.documents) for r in repeated_lines.frequent_sequences(df, 4, adjacent, 4, most).collect()]
+        want = {tuple(ids[c] for c in k): len(v) for k, v in held.items() if len(v) >= 4}
+        assert len(got) == len(want) and dict(got) == want
+
+
 def test_frequent_sequences_are_all_found(spark):
     rng = random.Random(7)
     menu, foot = ["Home", "News", "Sport", "Home"], ["Share", "Legal", "Top", "© A", "Home"]
@@ -180,13 +210,15 @@ def test_batches_against_brute_force(spark, empty, tmp_path):
     got = [tuple(r) for r in batches.all_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert batches.all_pairs(empty).count() == 0
+    assert {tuple(r) for r in batches.replay(df).collect()} == want
+    assert batches.replay(empty).count() == 0
     # batch by batch: what is stored is only probed
-    found = set()
+    found, s5 = set(), batches.fitted(df, 0.95)
     for b in range(4):
         batch = df.where(f"batch_no = {b}")
         if b:
-            found |= {tuple(sorted(r)) for r in batches.check_batch(batch, str(tmp_path)).collect()}
-        batches.append(batch, str(tmp_path))
+            found |= {tuple(sorted(r)) for r in batches.check_batch(batch, str(tmp_path), s5).collect()}
+        batches.append(batch, str(tmp_path), str(b), s5)
     assert {(i, j) for i, j in want if i % 4 != j % 4 and min(i, j) >= 5 and max(i, j) < 120} <= found <= want
 
 
@@ -197,17 +229,26 @@ def test_batches_replayed_equal_all_pairs(spark, tmp_path):
     rows = [article(i, "t", h=f"h{i % 7}" if i % 4 == 0 else None, e=[float(x) for x in base[0 if i % 3 else i % 6]], batch=i // 8) for i in range(24)]
     rows += [article(30, "t", e=[float(x) for x in base[0]], batch=2), article(30, "t", e=[float(x) for x in base[0]], batch=2), article(31, "t", batch=0)]
     df = spark.createDataFrame(rows, ART)
-    got = set()
+    got, s5 = set(), batches.fitted(df, 0.95)
     for b in range(3):
         batch = df.where(f"batch_no = {b}")
-        pairs = [tuple(r) for r in batches.check_batch(batch, str(tmp_path)).collect()]
+        pairs = [tuple(r) for r in batches.check_batch(batch, str(tmp_path), s5, small=b * 10**6).collect()]
         assert len(pairs) == len(set(pairs)) and not got.intersection(pairs)
         got.update(pairs)
-        batches.append(batch, str(tmp_path))
+        for _ in range(2):  # a load written twice is stored once
+            batches.append(batch, str(tmp_path), str(b), s5)
     assert got == {tuple(r) for r in batches.all_pairs(df).collect()} and len(got) > 100
     again = df.where("batch_no = 0").limit(8)
     ids = {r.article_id for r in again.collect()}
-    assert {p for p in got if ids.intersection(p)} == {tuple(r) for r in batches.check_batch(again, str(tmp_path)).collect()}
+    assert {p for p in got if ids.intersection(p)} == {tuple(r) for r in batches.check_batch(again, str(tmp_path), s5).collect()}
+    assert got == {tuple(r) for r in batches.replay(df).collect()}
+    same = [{r.article_id: r.class_id for r in batches.class_of(df).where(F.col("kind") == k).collect()} for k in ("vector", "hash")]
+    assert {(i, j) for m in same for i in m for j in m if i < j and m[i] == m[j]} == got and batches.class_links(df).count() == 0
+
+
+def test_vectors_of_any_length(spark):
+    rows = [article(i, "t", e=[1.0 + i * 1e-3 * k for k in range(n)]) for i, n in enumerate((128, 128, 128, 32, 32))]
+    assert {tuple(r) for r in batches.all_pairs(spark.createDataFrame(rows, ART)).collect()} == {(0, 1), (0, 2), (1, 2), (3, 4)}
 
 
 def test_blocks_learn_the_layout():
@@ -329,7 +370,7 @@ def test_leaks_against_brute_force(spark):
     d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = [tuple(r) for r in leaks.leaks(d, q).collect()]
     assert want and len(got) == len(set(got)) and set(got) == want
-    assert {tuple(r) for r in leaks.leaks(d, q, leaks.Settings(most_items=1)).collect()} == want
+    assert {tuple(r) for r in leaks.leaks(d, q, leaks.Settings(most=1)).collect()} == want
     assert leaks.leaks(d.where("false"), q).count() == 0 and leaks.leaks(d, q.where("false")).count() == 0
 
 
