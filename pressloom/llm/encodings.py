@@ -1,16 +1,17 @@
 """Problem 10: garbled text from wrong character encoding.
 
-A noisy-channel decoder. A channel is a pair (written in, read as) of encodings. For
-each token a lattice is laid over its characters: an edge keeps a character, or reads several
-characters back as the bytes they were and as the character those bytes spell; U+FFFD and lost
-controls are wildcards for any letter. A Viterbi search takes the cheapest path under the
-frequencies of words in the whole corpus and the cost of using a channel; another pass
-of the same search over the tokens of a line lets neighbours share their channel, so short words
-are restored with the long ones around them.
+A noisy-channel decoder. A channel is a pair (written in, read as) of encodings. Over each text lies one
+lattice: an edge keeps a span as it stands, reads its character sequences back as the bytes they
+were and the characters those bytes spell, reads a whole token through a channel of single bytes, or reads U+FFFD
+and lost controls as wildcards for any letter. A span costs by the frequencies of its words in the whole
+corpus, a misread sequence or a lost byte that is kept by `garbled`, changing the channel by `switch`; staying in it
+costs nothing, so short words are restored with the long ones around them. One Viterbi search over each
+line takes the cheapest path. A text is damaged if that path differs from the text, and is restored by the same path.
+A span with no edge but the keeping one lies on every path, so only the others are searched.
 
 Word frequencies are counted over all documents, before the shuffle in each task; the model
 is the `vocabulary` most frequent words, less those of the last count that would not fit whole (some 10 MB at the default), so its size is bounded
-whatever the corpus. The channel table is built by rule from the target characters.
+whatever the corpus, and the count a word needs grows with the corpus. The channel table is built by rule from the target characters.
 
 A sequence that a text quotes alone (an opening quote directly before it, a closing one directly
 after or as its last character) is an example, no damage.
@@ -28,7 +29,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -53,18 +54,22 @@ WORD = re.compile(r"[^\W\d_]+")
 CLEAN = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*$")
 TOKEN = re.compile(r"\S+")
 MARKED = re.compile(r"[!-~]*[^\x00-\x7f\s]\S*")
+CUT = ".,;:!?()[]\""
 STRIP = ".,;:!?()[]\"'…-–—*•"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """vocabulary: words in the model; least: rows a word must be counted in all; switch: cost of
-    entering a channel; known: how much likelier a reading must be than the token as it stands;
+    """vocabulary: words in the model; least: times a word must be counted at least; switch: cost of
+    changing the channel; garbled: cost of a misread sequence or lost byte that is kept; wildcard: cost of one read as an unknown letter;
+    known: how much likelier a reading must be than the token as it stands;
     shortest: letters a single token needs to be a case by itself."""
 
     vocabulary: int = 200_000
     least: int = 3
     switch: float = 6.0
+    garbled: float = 40.0
+    wildcard: float = 12.0
     known: float = 3.0
     shortest: int = 4
 
@@ -80,6 +85,14 @@ def spelled(data: bytes, codec: str) -> str:
     return "".join(out)
 
 
+def unspelled(text: str, codec: str) -> str | None:
+    """UTF-8 that was read as `codec`; None if the text is none."""
+    try:
+        return b"".join(bytes([ord(c)]) if "\x80" <= c <= "\x9f" else c.encode(codec) for c in text).decode()
+    except UnicodeError:
+        return None
+
+
 @lru_cache(1)
 def channel_table() -> dict[str, tuple[str, str]]:
     """Misread sequence -> (character, reading), also for text misread twice."""
@@ -143,6 +156,18 @@ def word_counts(documents: DataFrame, settings: Settings = Settings()) -> dict[s
     return {r.word: r.n for r in counted.where(F.col("n") >= at).collect()}
 
 
+@dataclass(frozen=True)
+class Edge:
+    """text: what the span reads as, None where it is kept; channel: '' for none; whole: is nothing left unread."""
+
+    start: int
+    end: int
+    text: str | None
+    channel: str
+    cost: float
+    whole: bool
+
+
 class Decoder:
     """Finds and restores damaged spans of single texts."""
 
@@ -175,10 +200,16 @@ class Decoder:
         self.channels = reading_table()
         self.tokens: dict[str, tuple[tuple[str, str, float, bool], ...]] = {}
         self.open: dict[str, int] = {}
-        self.sorted = sorted(self.counts)
-        self.backwards = sorted(w[::-1] for w in self.counts)
         self._ready = True
 
+    @cached_property
+    def sorted(self) -> list[str]:
+        return sorted(self.counts)
+
+    @cached_property
+    def backwards(self) -> list[str]:
+        return sorted(w[::-1] for w in self.counts)
+
     def cost(self, word: str) -> float:
         """-log of the word's share; words that the model lacks cost by their letters."""
         n = self.counts.get(word, 0)
@@ -251,7 +282,7 @@ class Decoder:
             return self.tokens[token]
         if len(self.tokens) > 500_000:
             self.tokens.clear()
-        core = token.strip(".,;:!?()[]\"")
+        core = token.strip(CUT)
         own, letters, out = self.words_cost(core), None, []
         mask = (1 << len(self.channels)) - 1
         for x, y in zip(core, core[1:]):
@@ -296,19 +327,11 @@ class Decoder:
         return out
 
     def damaged(self, text: str) -> bool:
-        """Does the text hold a garbled sequence?"""
-        self.ready()
-        if text.isascii():
-            return False
-        for m in LOST.finditer(text):
-            if not self.quoted(text, *m.span()):
-                return True
-        if self.lattice(text):
-            return True
-        return bool(self.singles(text))
-
-    def singles(self, text: str) -> list[tuple[int, int, str, str]]:
-        """(start, end, channel, token read back) of tokens misread byte by byte."""
+        """Does the cheapest reading differ from the text?"""
+        return any(e.text is not None for e in self.path(text))
+
+    def singles(self, text: str) -> list[tuple[int, int, tuple]]:
+        """(start, end, readings) of tokens misread byte by byte, of the trusted channels."""
         found, seen = [], self.tokens
         for m in MARKED.finditer(text):
             token = m.group()
@@ -321,7 +344,7 @@ class Decoder:
         found = [f for f in found if any(x[0] in trusted for x in f[2])]
         letters = lambda s: max(map(len, WORD.findall(s)), default=0)
         long = [f for f in found if letters(f[2][0][1]) >= self.settings.shortest]
-        return [(a, b, r[0][0], r[0][1]) for a, b, r in found] if long or len(found) > 1 else []
+        return found if long or len(found) > 1 else []
 
     def fill(self, pattern: str) -> str | None:
         """The likeliest word of the corpus for a token with wildcards."""
@@ -349,18 +372,134 @@ class Decoder:
         return best.upper() if pattern.isupper() else best[:1].upper() + best[1:] if pattern[:1].isupper() or pattern[:1] == "�" and len(pattern) > 1 and pattern[1:2].isupper() else best
 
     def restore(self, text: str) -> tuple[str, bool]:
-        """The text read back as far as possible, and whether nothing damaged is left."""
+        """The text by its cheapest reading, and whether nothing damaged is left."""
+        out, at, whole = [], 0, True
+        for e in self.path(text):
+            if e.text is not None:
+                out += [text[at : e.start], e.text]
+                at = e.end
+            whole &= e.whole
+        back = "".join([*out, text[at:]])
+        return back, whole and "�" not in back
+
+    def spans(self, text: str) -> list[tuple[int, int, list[tuple[int, int, str]], tuple, bool]]:
+        """(start, end, sequences, single-byte readings, lost): the parts of a text that have another edge than the keeping one."""
         self.ready()
-        text = self.viterbi(text)
+        if text.isascii():
+            return []
+        lost = [m.span() for m in LOST.finditer(text) if not self.quoted(text, *m.span())]
+        many, one = self.lattice(text), self.singles(text)
+        if not (lost or many or one):
+            return []
+        # a lost byte takes the letters around it along, a sequence its whole token
+        places = [[a, b, [], r, False] for a, b, r in self.channels_of(text, one, many)]
+        for a, b, ch in many:
+            places.append([*self.token(text, a, b), [(a, b, ch)], (), False])
+        for a, b in lost:
+            places.append([*self.token(text, a, b), [], (), True])
+        places.sort(key=lambda x: (x[0], x[1]))
+        out: list[list] = []
+        for a, b, seq, r, gone in places:
+            if out and a < out[-1][1]:
+                last = out[-1]
+                # a token's own reading holds for the token alone
+                same = (a, b) == (last[0], last[1])
+                last[3] = (last[3] or r) if same else last[3] if last[1] >= b else ()
+                last[1], last[4] = max(last[1], b), last[4] or gone
+                last[2] += seq
+            else:
+                out.append([a, b, list(seq), r, gone])
+        return [(a, b, sorted(set(seq)), r, gone) for a, b, seq, r, gone in out]
+
+    @staticmethod
+    def token(text: str, a: int, b: int) -> tuple[int, int]:
+        while a > 0 and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        return a, b
+
+    def channels_of(self, text: str, one: list[tuple[int, int, tuple]], many: list[tuple[int, int, str]]) -> list[tuple[int, int, tuple]]:
+        """(start, end, ((channel, text read back), ...)) of every token with letters beyond ASCII on a line with a misread one.
+
+        The channels are those trusted for single bytes on the line, and UTF-8 read as the encoding of one of its sequences.
+        """
+        out, tables, done = [], dict(self.channels), -1
+        for a in sorted({x[0] for x in [*one, *many]}):
+            if a < done:
+                continue
+            start, done = text.rfind("\n", 0, a) + 1, text.find("\n", a)
+            done = len(text) if done < 0 else done
+            tokens = [(start + m.start(), start + m.end(), m.group()) for m in TOKEN.finditer(text[start:done]) if not m.group().isascii()]
+            names = sorted(self.trusted([self.readings(t) for *_, t in tokens])) if any(start <= x[0] < done for x in one) else []
+            codecs = sorted({self.table[text[x:y]][1] for x, y, _ in many if start <= x < done})
+            for x, y, t in tokens:
+                back = [(n, t.translate(tables[n])) for n in names] + [(f"utf-8>{c}", k) for c in codecs if (k := unspelled(t, c)) is not None]
+                if read := tuple((n, k) for n, k in back if k != t and k.isprintable()):
+                    out.append((x, y, read))
+        return out
+
+    def span_cost(self, shown: str) -> float:
+        return self.words_cost(shown) + 2.0 * sum(not c.isalnum() and ord(c) > 0x9F and c not in "«»“”„’…–—•№" for c in shown)
+
+    def edges_over(self, text: str, span: tuple) -> list[Edge]:
+        """The edges over one span, the keeping one first."""
+        s = self.settings
+        a, b, sequences, readings, gone = span
+        shown = text[a:b]
+        keep = self.span_cost(shown) + s.garbled * (len(sequences) + gone)
+        if sequences or gone:
+            back, sure = self.reread(shown, [(x - a, y - a, ch) for x, y, ch in sequences])
+            own = [Edge(a, b, None, "", keep, False), Edge(a, b, back, "bytes", min(self.words_cost(back) + s.wildcard * (not sure), keep - 1.0), sure)]
+            return own + [Edge(a, b, x, name, self.span_cost(x) + s.garbled * bool(LOST.search(x)), True) for name, x in readings]
+        if r := [x for x in self.readings(shown) if any(x[0] == n for n, _ in readings)]:
+            # a reading by far likelier outweighs the way into its channel and back; one that was counted too often for
+            # the words to settle it is told by its letters
+            keep = max(keep, self.words_cost(r[0][1]) + r[0][2]) + 2 * s.switch
+        return [Edge(a, b, None, "", keep, True), *(Edge(a, b, back, name, self.span_cost(back), True) for name, back in readings)]
+
+    def path(self, text: str) -> list[Edge]:
+        """The cheapest edges over the spans of each line."""
+        out: list[Edge] = []
+        best: dict[str, tuple[float, tuple]] = {"": (0.0, ())}
+
+        def settle() -> None:
+            cost, chain = min(best.values(), key=lambda x: x[0])
+            part = []
+            while chain:
+                part.append(chain[0])
+                chain = chain[1]
+            out.extend(reversed(part))
+
+        at = 0
+        for span in self.spans(text):
+            if "\n" in text[at : span[0]] and len(best) > 0:
+                settle()
+                best = {"": (0.0, ())}
+            at = span[1]
+            step: dict[str, tuple[float, tuple]] = {}
+            for e in self.edges_over(text, span):
+                # sequences of bytes are told one by one; a channel of single bytes is entered and kept
+                cost, chain = min(((c + (self.settings.switch if m != e.channel and e.channel != "bytes" and m != "bytes" else 0.0), k) for m, (c, k) in best.items()), key=lambda x: x[0])
+                new = (cost + e.cost, (e, chain))
+                if e.channel not in step or new[0] < step[e.channel][0]:
+                    step[e.channel] = new
+            best = step
+        settle()
+        return out
+
+    def reread(self, shown: str, sequences: list[tuple[int, int, str]]) -> tuple[str, bool]:
+        """A span with its sequences read back, twice where it was misread twice, and its wildcards filled; is nothing left unread?"""
+        text = shown
         for _ in range(2):
-            edges = self.lattice(text)
             out, at = [], 0
-            for a, b, ch in edges:
+            for a, b, ch in sequences:
                 if a >= at:
                     out += [text[at:a], ch]
                     at = b
             text = "".join([*out, text[at:]])
-            if not edges:
+            sequences = self.lattice(text)
+            if not sequences:
                 break
         # lone controls of cp1252 read as latin-1
         text = re.sub("[\x80-\x9f]", lambda m: spelled(m.group().encode("latin-1"), "cp1252"), text)
@@ -374,7 +513,7 @@ class Decoder:
 
         text = re.sub("[^\\W\\d_]*(?:�+[^\\W\\d_]+)+�*|[^\\W\\d_]+�+", mend, text)
         # a wildcard that stands alone takes the place of a dash
-        text = re.sub("(?<= )�{1,3}(?= )", "—", text)
+        text = re.sub("^�{1,3}$", "—", text)
         return text, whole and "�" not in text
 
     def mended(self, token: str) -> str | None:
@@ -382,7 +521,8 @@ class Decoder:
         bare = token.strip("�")
         if "�" not in bare and bare.lower() in self.counts:
             quoted = "“" * token.startswith("�") + bare + "”" * token.endswith("�")
-            if self.counts[bare.lower()] > 50 or self.fill(token) is None:
+            other = self.fill(token)
+            if other is None or self.counts[bare.lower()] >= self.counts.get(other.lower(), 0):
                 return quoted
         if (word := self.fill(token)) is not None:
             return word
@@ -395,55 +535,13 @@ class Decoder:
                         return f"{left}’{rest}"
         return None
 
-    def viterbi(self, text: str) -> str:
-        """The cheapest sequence of channels over the tokens of each line."""
-        if not self.singles(text):
-            return text
-        lines = []
-        for line in text.split("\n"):
-            spans = [m.span() for m in TOKEN.finditer(line)]
-            tokens = [line[a:b] for a, b in spans]
-            names = [""] + sorted(self.trusted([self.readings(t) for t in tokens if not t.isascii()]))
-            if len(names) == 1:
-                lines.append(line)
-                continue
-            tables = dict(self.channels)
-            best = {n: (0.0 if not n else self.settings.switch, ()) for n in names}
-            for t in tokens:
-                step = {}
-                for n in names:
-                    shown = t if not n or t.isascii() else t.translate(tables[n])
-                    if not shown.isprintable():
-                        continue
-                    before = min(((c + (self.settings.switch if m != n else 0.0), m) for m, (c, _) in best.items()), key=lambda x: (x[0], x[1]))
-                    odd = sum(not c.isalnum() and ord(c) > 0x9F and c not in "«»“”„’…–—•№" for c in shown)
-                    cost = self.words_cost(shown)
-                    if not n and not t.isascii() and (r := self.readings(t)) and not r[0][3]:
-                        # counted too often for the words to settle it: what it loses by its letters
-                        cost = max(cost, self.words_cost(r[0][1]) + r[0][2])
-                    step[n] = (before[0] + cost + 2.0 * odd, (shown, best[before[1]][1]))
-                best = step or best
-            path, out = min(best.items(), key=lambda x: (x[1][0], x[0]))[1][1], []
-            while path:
-                out.append(path[0])
-                path = path[1]
-            out.reverse()
-            if len(out) != len(spans):
-                lines.append(line)
-                continue
-            parts, at = [], 0
-            for (a, b), shown in zip(spans, out, strict=True):
-                parts += [line[at:a], shown]
-                at = b
-            lines.append("".join([*parts, line[at:]]))
-        return "\n".join(lines)
-
 
 def damaged(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id of each document with a garbled sequence; each once."""
-    decoder = Decoder(word_counts(documents, settings), settings)
+    model = documents.sparkSession.sparkContext.broadcast(Decoder(word_counts(documents, settings), settings))  # bounded by `vocabulary`
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = model.value
         for b in batches:
             found = [i for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t and decoder.damaged(t)]
             yield pa.RecordBatch.from_pydict({"doc_id": found}, schema=pa.schema([("doc_id", pa.int64())]))
@@ -453,10 +551,10 @@ def damaged(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def restored(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, text, whole: the damaged documents read back; `whole` if nothing damaged is left."""
-    decoder = Decoder(word_counts(documents, settings), settings)
+    model = documents.sparkSession.sparkContext.broadcast(Decoder(word_counts(documents, settings), settings))
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("whole", pa.bool_())])
+        schema, decoder = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("whole", pa.bool_())]), model.value
         for b in batches:
             rows = [(i, *decoder.restore(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t and decoder.damaged(t)]
             yield pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(schema.names)}, schema=schema)
