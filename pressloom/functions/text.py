@@ -160,3 +160,8 @@ def title_case(key: Column) -> Column:
 def fingerprint(sentence: Column) -> Column:
     """Lower case letters and digits of a sentence, 120 of them at most."""
     return F.substring(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}_]+", ""), 1, 120)
+
+
+def phrase_key(c: Column) -> Column:
+    """The words of a phrase in lower case by single spaces: the key under which a dictionary holds it."""
+    return F.array_join(F.regexp_extract_all(F.lower(F.translate(F.coalesce(c, F.lit("")), "İ", "i")), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), " ")

@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.operators.select import quantile, running
 from pressloom.storage import cut
 
 
@@ -81,12 +82,11 @@ def combined(scored: DataFrame) -> DataFrame:
 def thresholds(scored: DataFrame, score: str = "z", recall: float = 0.95, precision: float = 0.90) -> DataFrame:
     """lo, hi: `lo` keeps `recall` of the positives; above `hi` precision holds, or nothing is kept unseen.
 
-    Running precision is taken over distinct scores, counted first.
+    Counts are taken over distinct scores and summed up by ranges, so no task sorts them all.
     """
-    lo = scored.where("y = 1").agg(F.percentile(score, 1 - recall).alias("lo"))
-    per = scored.groupBy(F.col(score).alias("s")).agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select("s", (F.sum("p").over(w) / F.sum("n").over(w)).alias("precision"))
+    lo = quantile(scored.where("y = 1").groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n")), "s", "n", 1 - recall).withColumnRenamed("q", "lo")
+    per = scored.groupBy(F.col(score).alias("s")).agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).withColumn("down", -F.col("s"))
+    run = running(per, "down", "p", "n").select("s", ((F.col("before_p") + F.col("p")) / (F.col("before_n") + F.col("n"))).alias("precision"))
     hi = run.agg(F.min(F.when(F.col("precision") >= precision, F.col("s"))).alias("hi"), F.max("s").alias("top"))
     return lo.crossJoin(hi).select("lo", F.when(F.col("hi").isNull() | (F.col("hi") <= F.col("lo")), F.col("top") + 1).otherwise(F.col("hi")).alias("hi"))
 
@@ -100,7 +100,16 @@ def verdicts(scored: DataFrame, bounds: DataFrame, score: str = "z") -> DataFram
 def auc(scored: DataFrame, score: str = "z") -> DataFrame:
     """auc by rank sums over distinct scores, ties at their mean rank."""
     per = scored.groupBy(F.col(score).alias("s")).agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    r = per.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    t = r.agg(F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2.0)).alias("ranks"), F.sum("p").alias("pos"), F.sum("n").alias("n"))
+    r = running(per, "s", "n")
+    t = r.agg(F.sum(F.col("p") * (F.col("before_n") + (F.col("n") + 1) / 2.0)).alias("ranks"), F.sum("p").alias("pos"), F.sum("n").alias("n"))
     return t.select(((F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2.0) / (F.col("pos") * (F.col("n") - F.col("pos")))).alias("auc"))
+
+
+def saved(shares: DataFrame, least: float = 0.30) -> DataFrame:
+    """The shares with `saved`: a gate that drops fewer than `least` of the negatives is not worth keeping."""
+    return shares.withColumn("saved", F.coalesce(F.col("dropped") >= least, F.lit(False)))
+
+
+def gated(scored: DataFrame, bounds: DataFrame | None, score: str = "z") -> DataFrame:
+    """The rows with `verdict`; without bounds (no gate saved) everything is asked."""
+    return scored.withColumn("verdict", F.lit("ask")) if bounds is None else verdicts(scored, bounds, score)

@@ -39,8 +39,8 @@ def unit(rows: list) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-10)
 
 
-def lexrank(nodes: DataFrame, group: str, rounds: int = 30, damping: float = DEFAULT.damping, block: int = 2048) -> DataFrame:
-    """group, id, lex: stationary weight of each node of its group's similarity graph, `rounds` power steps.
+def lexrank(nodes: DataFrame, group: str, rounds: int = 100, damping: float = DEFAULT.damping, block: int = 2048, still: float = 1e-6) -> DataFrame:
+    """group, id, lex: stationary weight of each node of its group's similarity graph; power steps until they change less than `still` in all, `rounds` at most.
 
     `nodes` holds the group, id, vector (array) and domain. A group of up to `block` nodes is one
     task's matrix. Larger groups are cut into blocks of that size, whose pairs of blocks make partial
@@ -61,22 +61,24 @@ def lexrank(nodes: DataFrame, group: str, rounds: int = 30, damping: float = DEF
         stuck = total == 0
         s = np.full(n, 1.0 / n)
         for _ in range(rounds):
-            s = (1 - damping) / n + damping * (w.T @ np.where(stuck, 0, s / np.where(stuck, 1, total)) + s[stuck].sum() / n)
+            before, s = s, (1 - damping) / n + damping * (w.T @ np.where(stuck, 0, s / np.where(stuck, 1, total)) + s[stuck].sum() / n)
+            if np.abs(s - before).sum() < still:
+                break
         return pd.DataFrame({group: p[group], "id": p["id"], "lex": s})
 
     small = sized.where(F.col("n") <= block).select(group, "id", "vector", "domain").groupBy(group).applyInPandas(whole, schema)
     if not size.where(F.col("n") > block).limit(1).count():
         return small
-    return small.unionByName(_in_blocks(sized.where(F.col("n") > block), group, rounds, damping, block))
+    return small.unionByName(_in_blocks(sized.where(F.col("n") > block), group, rounds, damping, block, still))
 
 
-def _in_blocks(sized: DataFrame, group: str, rounds: int, damping: float, block: int) -> DataFrame:
+def _in_blocks(sized: DataFrame, group: str, rounds: int, damping: float, block: int, still: float) -> DataFrame:
     part = F.pmod(F.xxhash64("id"), F.ceil(2 * F.col("n") / block).cast("long")).cast("int")
     cells = F.sort_array(F.collect_list(F.struct("id", "vector", "domain")))
     blocks = cut(sized.select(group, "n", part.alias("k"), "id", "vector", "domain").groupBy(group, "n", "k").agg(cells.alias("c")))
     left = blocks.select(group, "n", F.col("k").alias("i"), F.col("c").alias("ci"))
     pairs = left.join(blocks.select(group, F.col("k").alias("j"), F.col("c").alias("cj")), group)  # pairs of blocks, not of rows
-    state = cut(blocks.select(group, "n", F.explode("c").alias("x")).select(group, "n", F.col("x.id").alias("id"), (1.0 / F.col("n")).alias("s")))
+    state = cut(blocks.select(group, "n", F.explode("c").alias("x")).select(group, "n", F.col("x.id").alias("id"), (1.0 / F.col("n")).alias("s"), F.lit(False).alias("done")))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -94,17 +96,25 @@ def _in_blocks(sized: DataFrame, group: str, rounds: int, damping: float, block:
     schema = f"{group} string, id long, part double"
     total = cut(pairs.mapInPandas(partial, schema).groupBy(group, "id").agg(F.sum("part").alias("total")))  # weights are symmetric
     for _ in range(rounds):
-        spread = state.join(total, [group, "id"]).select(group, "n", "id", "s", F.when(F.col("total") > 0, F.col("s") / F.col("total")).otherwise(0.0).alias("p"), F.when(F.col("total") > 0, 0.0).otherwise(F.col("s")).alias("stuck"))
+        live = state.where("not done")
+        if not live.limit(1).count():
+            break
+        spread = live.join(total, [group, "id"]).select(group, "n", "id", "s", F.when(F.col("total") > 0, F.col("s") / F.col("total")).otherwise(0.0).alias("p"), F.when(F.col("total") > 0, 0.0).otherwise(F.col("s")).alias("stuck"))
         stuck = F.broadcast(spread.groupBy(group).agg(F.sum("stuck").alias("stuck")))
         key = F.pmod(F.xxhash64("id"), F.ceil(2 * F.col("n") / block).cast("long")).cast("int")
         given = spread.select(group, key.alias("i"), F.struct("id", F.col("p").alias("s")).alias("y")).groupBy(group, "i").agg(F.collect_list("y").alias("p"))
         moved = pairs.join(given, [group, "i"]).mapInPandas(partial, schema).groupBy(group, "id").agg(F.sum("part").alias("part"))
-        state = cut(state.select(group, "n", "id").join(moved, [group, "id"]).join(stuck, group).select(group, "n", "id", ((1 - damping) / F.col("n") + damping * (F.col("part") + F.col("stuck") / F.col("n"))).alias("s")))
+        new = (1 - damping) / F.col("n") + damping * (F.col("part") + F.col("stuck") / F.col("n"))
+        new = live.select(group, "n", "id", F.col("s").alias("before")).join(moved, [group, "id"]).join(stuck, group).select(group, "n", "id", "before", new.alias("s"))
+        new = cut(new)
+        done = F.broadcast(new.groupBy(group).agg((F.sum(F.abs(F.col("s") - F.col("before"))) < still).alias("done")))
+        state = cut(state.where("done").unionByName(new.join(done, group).select(group, "n", "id", "s", "done")))
     return state.select(group, "id", F.col("s").alias("lex"))
 
 
 def blended(lex: Column, cov: Column, ent: Column, s: Settings = DEFAULT) -> Column:
+    """The three factors by their weights; the graph score alone where all weights are 0."""
     total = s.lex_weight + s.coverage_weight + s.entity_weight
+    if total <= 0:
+        return lex
     return (s.lex_weight * lex + s.coverage_weight * cov + s.entity_weight * ent) / total
-
-

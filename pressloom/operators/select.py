@@ -30,11 +30,11 @@ def varied(rows: DataFrame, group: str, picks: int = 5, lam: float = 0.7) -> Dat
     return out
 
 
-def best_title(rows: DataFrame, group: str, least: int = 28, most: int = 170) -> DataFrame:
+def best_title(rows: DataFrame, group: str, order: str, least: int = 28, most: int = 170) -> DataFrame:
     """group, id, title: the title nearest to the group's mean vector, 0.16 for a good length, less its flaws.
 
-    `rows`: group, id, title, vector (null allowed). Titles out of bounds stand in only where no other is there. Means
-    are taken by dimension, so no group is collected.
+    `rows`: group, id, title, vector (null allowed) and `order`, a column by which ties and titles out of bounds are settled, the largest
+    first; titles out of bounds stand in only where no other is there. Means are taken by dimension, so no group is collected.
     """
     t = rows.where(F.coalesce(F.col("title"), F.lit("")) != "").withColumn("live", F.length("title").between(least, most))
     unit = t.where(F.col("live") & F.col("vector").isNotNull()).select(group, "id", V.unit(F.col("vector")).alias("u"))
@@ -43,7 +43,7 @@ def best_title(rows: DataFrame, group: str, least: int = 28, most: int = 170) ->
     sim = unit.join(mid.where("n > 1"), group).select("id", V.cosine(F.col("u"), F.col("mid")).alias("sim"))
     fit = F.when(F.length("title").between(50, 112), 0.16).otherwise(0.0)
     scored = t.join(sim, "id", "left").withColumn("score", F.round(F.coalesce("sim", F.lit(0.0)) + fit - T.title_flaws(F.col("title")), 9))
-    rank = F.struct("live", F.when(F.col("live"), F.col("score")).otherwise(0.0), -F.col("id"))
+    rank = F.struct("live", F.when(F.col("live"), F.col("score")).otherwise(0.0), order, -F.col("id"))
     return scored.groupBy(group).agg(F.max_by(F.struct("id", "title"), rank).alias("w")).select(group, "w.id", "w.title")
 
 
@@ -58,3 +58,38 @@ def numbered_batches(rows: DataFrame, at: str, id_: str, size: int = 20) -> Data
     r = F.row_number().over(Window.partitionBy("_h").orderBy(at, id_)) - 1
     n = h.withColumn("_r", r).join(per.select("_h", "_before"), "_h").withColumn("_at", F.col("_r") + F.col("_before"))
     return n.withColumn("batch", F.floor(F.col("_at") / size) + 1).withColumn("place", (F.col("_at") % size + 1).cast("int")).drop("_h", "_r", "_before", "_at")
+
+
+def running(per: DataFrame, value: str, *sums: str, parts: int = 64) -> DataFrame:
+    """The rows with `before_<c>` for each of `sums`: its total over the rows of smaller `value`, whose values are distinct.
+
+    Rows are spread over ranges of about equal size; only the ranges' totals meet in one task.
+    """
+    edges = per.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000).alias("_edges"))
+    cut_at = per.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    total = cut_at.groupBy("_b").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select("_b", *(F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_t_{c}") for c in sums))
+    inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut_at.join(F.broadcast(total), "_b")
+    for c in sums:
+        out = out.withColumn(f"before_{c}", F.col(f"_t_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    return out.drop("_b", *(f"_t_{c}" for c in sums))
+
+
+def quantile(per: DataFrame, value: str, n: str, p: float) -> DataFrame:
+    """q: the exact quantile, linear between neighbours, of distinct values with their numbers `n`."""
+    run = running(per, value, n)
+    size = per.agg(F.sum(n).alias("_n"))
+    at = (F.col("_n") - 1) * F.lit(p)
+    up_to = F.col(f"before_{n}") + F.col(n)
+    two = run.crossJoin(F.broadcast(size)).agg(F.min(F.when(up_to > F.floor(at), F.col(value))).alias("a"), F.min(F.when(up_to > F.ceil(at), F.col(value))).alias("b"), F.max(at - F.floor(at)).alias("f"))
+    return two.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("q"))
+
+
+def places(rows: DataFrame, value: str, *ties: str, parts: int = 64) -> DataFrame:
+    """The rows with `place`, from 1, by falling `value` and then `ties`, over the whole table without sorting it in one task."""
+    per = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    at = running(per.withColumn("_down", -F.col(value)), "_down", "_n", parts=parts).select(F.col(value).alias("_v"), "before__n")
+    inside = Window.partitionBy(value).orderBy(*ties)
+    return rows.join(at, F.col(value).eqNullSafe(F.col("_v"))).withColumn("place", F.col("before__n") + F.row_number().over(inside)).drop("_v", "before__n")

@@ -59,39 +59,11 @@ def a05_reach(spark: SparkSession, d: str) -> DataFrame:
     return articles(spark, d, "url").groupBy(T.outlet(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("reach")).where("domain <> ''")
 
 
-_TOP = f"""WITH {NAMES}, four AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY pos) AS k FROM names),
-c AS (SELECT country, name, count(*) AS n, min(article_id * 100 + pos) AS first FROM four WHERE k <= 4 GROUP BY country, name HAVING count(*) > 1)"""
-
-
-def top_names(spark: SparkSession, d: str, most: int) -> DataFrame:
-    four = names(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("article_id").orderBy("pos"))).where("k <= 4")
-    c = four.groupBy("country", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("article_id") * 100 + F.col("pos")).alias("first")).where("n > 1")
-    return c.withColumn("r", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("n"), "first"))).where(F.col("r") <= most)
-
-
-@query(f"{_TOP} SELECT country, name, n, r FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY n DESC, first) AS r FROM c) WHERE r <= 14")
-def a06_top_entities(spark: SparkSession, d: str) -> DataFrame:
-    return top_names(spark, d, 14).select("country", "name", "n", "r")
-
-
-@query(f"{_TOP} SELECT country, name, any_value(ru) AS ru, any_value(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY n DESC, first) AS r FROM c) t JOIN (SELECT DISTINCT name, ru FROM entity_ru WHERE src = 'keep') e USING (name) WHERE r <= 14 AND n >= 2 GROUP BY country, name")
-def a07_popular_names(spark: SparkSession, d: str) -> DataFrame:
-    kept = table(spark, d, "entity_ru").where("src = 'keep'").select("name", "ru").distinct()
-    return top_names(spark, d, 14).where("n >= 2").join(kept, "name").groupBy("country", "name").agg(F.min("ru").alias("ru"), F.first("n").alias("n"))
-
-
 @query("SELECT verdict, count(*) AS n, sum(attempts) AS attempts, count(embedding) AS with_vector FROM seen_urls GROUP BY verdict")
 def a08_verdict_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "seen_urls").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("attempts").alias("attempts"), F.count("embedding").alias("with_vector"))
 
 
-@query("""SELECT c.region_name AS region, a.country, count(*) AS n, max(a.importance) AS top FROM articles a JOIN countries c ON c.country = a.country WHERE a.importance > 5 GROUP BY ROLLUP (c.region_name, a.country)""")
-def a09_region_rollup(spark: SparkSession, d: str) -> DataFrame:
-    a = articles(spark, d, "country", "importance").where("importance > 5")
-    joined = a.join(F.broadcast(table(spark, d, "countries", "country", "region_name")), "country").withColumnRenamed("region_name", "region")
-    return joined.rollup("region", "country").agg(F.count(F.lit(1)).alias("n"), F.max("importance").alias("top")).select("region", "country", "n", "top")
-
-
 @query("""WITH b AS (SELECT slug, CAST(row_number() OVER (ORDER BY slug) - 1 AS INT) AS i FROM subjects)
 SELECT article_id, CAST(bit_or(1 << i) AS INT) AS mask FROM (SELECT DISTINCT article_id, slug FROM subject_labels) l JOIN b USING (slug) GROUP BY article_id""")
 def a10_topic_mask(spark: SparkSession, d: str) -> DataFrame:

@@ -2,54 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.functions import pages as H
-from pressloom.functions import text as T
 from pressloom.operators import select as O
 from pressloom.plans.registry import registry
 from pressloom.plans.scalars import articles
-from pressloom.plans.stories import body_groups
 
 Q, SQL, query = registry()
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT country, article_id AS id, CAST(importance AS DOUBLE) AS imp, CAST(embedding AS DOUBLE[]) AS v FROM articles WHERE country IS NOT NULL AND importance > 5 AND embedding IS NOT NULL),
+m AS (SELECT *, CASE WHEN max(imp) OVER p - min(imp) OVER p > 1e-9 THEN (imp - min(imp) OVER p) / (max(imp) OVER p - min(imp) OVER p) ELSE 0.5 END AS rel FROM a WINDOW p AS (PARTITION BY country)),
+pool AS MATERIALIZED (SELECT country, list({'id': id, 'v': v, 'rel': rel} ORDER BY id) AS rows FROM m GROUP BY country),
+step AS (SELECT country, -1 AS k, CAST(NULL AS BIGINT) AS id, CAST([] AS DOUBLE[][]) AS picked, CAST([] AS BIGINT[]) AS gone FROM pool UNION ALL
+  SELECT country, k + 1, best.id, list_append(picked, best.v), list_append(gone, best.id) FROM (
+    SELECT s.country, s.k, s.picked, s.gone, list_reduce(list_filter(p.rows, lambda r: NOT list_contains(s.gone, r.id)), lambda x, y: CASE WHEN
+      round(0.7 * y.rel - 0.3 * greatest(0.0, coalesce(list_max(list_transform(s.picked, lambda q: list_dot_product(q, y.v) / nullif(sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(y.v, y.v)), 0))), 0.0)), 9) >
+      round(0.7 * x.rel - 0.3 * greatest(0.0, coalesce(list_max(list_transform(s.picked, lambda q: list_dot_product(q, x.v) / nullif(sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(x.v, x.v)), 0))), 0.0)), 9) THEN y ELSE x END) AS best
+    FROM step s JOIN pool p USING (country) WHERE s.k < 4 AND len(s.gone) < len(p.rows)))
+SELECT country, k, id FROM step WHERE k >= 0""")
 def c08_varied(spark: SparkSession, d: str) -> DataFrame:
     """Five varied articles of each country."""
     a = articles(spark, d, "country", "article_id", "importance", "embedding").where("country is not null and importance > 5 and embedding is not null")
     return O.varied(a.select("country", F.col("article_id").alias("id"), F.col("importance").cast("double").alias("importance"), F.col("embedding").alias("vector")), "country")
 
 
-@query()
-def r12_story_title(spark: SparkSession, d: str) -> DataFrame:
-    rows = body_groups(spark, d).join(articles(spark, d, "article_id", "title", "embedding"), "article_id")
-    return O.best_title(rows.select("leader", F.col("article_id").alias("id"), "title", F.col("embedding").alias("vector")), "leader")
-
-
 @query("SELECT article_id, CAST(ceil(n / 20.0) AS BIGINT) AS batch, CAST((n - 1) % 20 + 1 AS INT) AS place FROM (SELECT article_id, row_number() OVER (ORDER BY fetched_at, article_id) AS n FROM articles WHERE importance IS NULL AND fetched_at IS NOT NULL)")
 def x04_judge_batches(spark: SparkSession, d: str) -> DataFrame:
     """Unjudged articles of all countries in batches of twenty."""
     return O.numbered_batches(articles(spark, d, "article_id", "fetched_at", "importance").where("importance is null and fetched_at is not null"), "fetched_at", "article_id").select("article_id", "batch", "place")
 
 
-_ESC = "regexp_replace(replace(replace(replace(coalesce({}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')"
-_SHOWN = "substr(coalesce(CASE WHEN trim(title_ru) <> '' THEN title_ru END, CASE WHEN trim(title_en) <> '' THEN title_en END, CASE WHEN trim(title) <> '' THEN title END, ''), 1, 300)"
-
-
-@query(f"""SELECT country, count(*) AS items, '<rss version="2.0"><channel><title>' || {_ESC.format('country')} || '</title>' || string_agg('<item><title>' || {_ESC.format(_SHOWN)} || '</title><link>' || {_ESC.format('url')} || '</link></item>', '' ORDER BY r) || '</channel></rss>' AS xml
-FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY fetched_at DESC, article_id) AS r FROM articles WHERE importance > 5 AND country IS NOT NULL) WHERE r <= 20 GROUP BY country""")
-def k08_feeds(spark: SparkSession, d: str) -> DataFrame:
-    """One feed of the twenty newest accepted articles for each country."""
-    w = Window.partitionBy("country").orderBy(F.desc("fetched_at"), "article_id")
-    a = articles(spark, d, "country", "article_id", "fetched_at", "importance", "title", "title_en", "title_ru", "url").where("importance > 5 and country is not null").withColumn("r", F.row_number().over(w)).where("r <= 20")
-    item = F.concat(F.lit("<item><title>"), H.escaped(T.display(F.col("title_ru"), F.col("title_en"), F.col("title"))), F.lit("</title><link>"), H.escaped(F.col("url")), F.lit("</link></item>"))
-    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", item.alias("x")))), lambda y: y["x"]), "")
-    g = a.groupBy("country").agg(F.count(F.lit(1)).alias("items"), items.alias("x"))
-    return g.select("country", "items", F.concat(F.lit('<rss version="2.0"><channel><title>'), H.escaped(F.col("country")), F.lit("</title>"), "x", F.lit("</channel></rss>")).alias("xml"))
-
-
 @query()
 def t21_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of each text for a translator that takes 1500 quoted bytes."""

@@ -9,6 +9,8 @@ from pressloom.functions import text as T
 from pressloom.functions import time as D
 from pressloom.plans.oracle import NOW, entity_clean, host, outlet, squeezed, title_key
 from pressloom.plans.registry import registry
+from pressloom.plans.story_sql import clean_titles
+from pressloom.settings import RESTRICTED
 from pressloom.sources.tables import table
 
 Q, SQL, query = registry()
@@ -17,10 +19,6 @@ Q, SQL, query = registry()
 NON_EVENT = r"\b(horoscope|quiz|crossword|podcast|gallery|obituary|newsletter|live blog)\b|гороскоп|викторин|подкаст|фотогалере|кроссворд"
 #: Marks of pages that keep robots out.
 ANTI_BOT = r"captcha|are you a robot|just a moment|checking your (connection|browser)|enable javascript|access denied|cloudflare"
-#: Outlets that readers of the site may not open.
-RESTRICTED = ["seget-review.invalid", "bukisk-tribune.example", "gadim-wire.invalid"]
-
-
 def articles(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return table(spark, d, "articles", *columns)
 
@@ -93,7 +91,7 @@ def t12_safe_url(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gkg", "url").select("url", T.safe_url(F.col("url")).alias("safe"))
 
 
-@query()
+@query(f"WITH src AS (SELECT article_id AS id, title, {outlet('url')} AS domain FROM articles), {clean_titles('src')} SELECT id AS article_id, t AS title FROM clean")
 def t13_clean_title(spark: SparkSession, d: str) -> DataFrame:
     return articles(spark, d, "article_id", "title", "url").select("article_id", T.clean_title(F.col("title"), T.outlet(F.col("url"))).alias("title"))
 
@@ -225,11 +223,12 @@ def d06_day_strip(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT epoch_us(max(fetched_at)) AS last_us, count(*) FILTER (WHERE fetched_at > {NOW} - INTERVAL 24 HOUR) AS day_articles,
-  count(DISTINCT country) FILTER (WHERE fetched_at > {NOW} - INTERVAL 24 HOUR) AS day_countries FROM articles""")
+  count(DISTINCT country) FILTER (WHERE fetched_at > {NOW} - INTERVAL 24 HOUR) AS day_countries, max(fetched_at) > {NOW} + INTERVAL 2 HOUR - INTERVAL 3 HOUR AS live FROM articles""")
 def d07_status(spark: SparkSession, d: str) -> DataFrame:
+    """The pipeline's state, seen two hours after the latest fetch; live while that is less than three hours ago."""
     a = articles(spark, d, "country", "fetched_at").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
     fresh = F.col("fetched_at") > F.col("now") - F.expr("interval 24 hours")
-    return a.crossJoin(now(a)).agg(F.unix_micros(F.max("fetched_at")).alias("last_us"), F.count_if(fresh).alias("day_articles"), F.count_distinct(F.when(fresh, F.col("country"))).alias("day_countries"))
+    return a.crossJoin(now(a)).agg(F.unix_micros(F.max("fetched_at")).alias("last_us"), F.count_if(fresh).alias("day_articles"), F.count_distinct(F.when(fresh, F.col("country"))).alias("day_countries"), (F.max("fetched_at") > F.max("now") + F.expr("interval 2 hours") - F.expr("interval 3 hours")).alias("live"))
 
 
 @query(f"SELECT article_id, round(0.35 + 0.65 * pow(0.5, greatest(a, 0) / 4.0), 6) AS fresh, round(1 - (0.35 + 0.65 * pow(0.5, greatest(a, 0) / 4.0)), 6) AS fade, round(greatest(0, least(1, 1 - log2(1 + greatest(a, 0) * 24 / 6.0) / log2(1 + 336 / 6.0))), 3) AS live FROM (SELECT article_id, (epoch_us({NOW}) - epoch_us(fetched_at)) / 86400000000.0 AS a FROM articles)")
@@ -241,11 +240,6 @@ def r05_freshness(spark: SparkSession, d: str) -> DataFrame:
     return aged.select("article_id", F.round(fresh, 6).alias("fresh"), F.round(1 - fresh, 6).alias("fade"), F.round(D.live(F.col("a")), 3).alias("live"))
 
 
-@query("SELECT article_id, round_even(importance * 1.0, 0) AS score, CAST(importance >= 30 AS INT) + CAST(importance >= 50 AS INT) + CAST(importance >= 70 AS INT) + CAST(importance >= 85 AS INT) AS tier FROM articles WHERE importance IS NOT NULL")
-def r13_tier(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d, "article_id", "importance").where("importance is not null").select("article_id", F.bround(F.col("importance").cast("double"), 0).alias("score"), T.tier(F.col("importance")).alias("tier"))
-
-
 @query(f"SELECT DISTINCT key FROM (SELECT {squeezed('title')} AS key FROM articles WHERE title IS NOT NULL)")
 def t00_squeezed(spark: SparkSession, d: str) -> DataFrame:
     return articles(spark, d, "title").where("title is not null").select(T.squeezed(F.col("title")).alias("key")).distinct()

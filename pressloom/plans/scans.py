@@ -113,24 +113,6 @@ def k07_orphans(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "seen_urls", "url").join(kept, "url", "left_anti")
 
 
-@query("""WITH c AS (SELECT country, row_number() OVER (ORDER BY country) - 1 AS k FROM (SELECT DISTINCT country FROM articles WHERE country IS NOT NULL)),
-t AS (SELECT day, row_number() OVER (ORDER BY day DESC) - 1 AS k FROM (SELECT DISTINCT CAST(fetched_at AS DATE) AS day FROM articles WHERE fetched_at IS NOT NULL))
-SELECT a.article_id, c.k AS country_k, t.k AS day_k FROM articles a LEFT JOIN c ON c.country = a.country LEFT JOIN t ON t.day = CAST(a.fetched_at AS DATE)""")
-def k09_search_index(spark: SparkSession, d: str) -> DataFrame:
-    """Dictionary-encoded columns of the search index; the dictionaries are countries and days."""
-    a = articles(spark, d, "article_id", "country", "fetched_at").withColumn("day", F.to_date("fetched_at"))
-    c, t = J.dictionary(a, "country"), J.dictionary(a, "day", descending=True)
-    return a.join(F.broadcast(c), "country", "left").join(F.broadcast(t), "day", "left").select("article_id", "country_k", "day_k")
-
-
-@query("""SELECT country, article_id, r FROM (SELECT country, article_id, row_number() OVER (PARTITION BY country ORDER BY importance DESC, fetched_at DESC, article_id) AS r FROM articles WHERE importance > 5) WHERE r <= 100""")
-def k10_top_by_scope(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("country").orderBy(F.desc("importance"), F.desc("fetched_at"), "article_id")
-    return articles(spark, d, "country", "article_id", "importance", "fetched_at").where("importance > 5").withColumn("r", F.row_number().over(w)).where("r <= 100").select("country", "article_id", "r")
-
-
 @query("SELECT url, arg_max(article_id, CAST(batch_no AS BIGINT) * 1000000000 + article_id) AS article_id FROM articles GROUP BY url")
 def k11_last_writer(spark: SparkSession, d: str) -> DataFrame:
     return articles(spark, d, "url", "article_id", "batch_no").groupBy("url").agg(F.max_by("article_id", F.struct("batch_no", "article_id")).alias("article_id"))

@@ -16,7 +16,7 @@ class Settings:
     accepted_above: int = 5
     same_title: float = 0.95
     same_body: float = 0.91
-    similar: float = 0.86
+    similar: float = 0.90
     similar_most: int = 4
     largest_gap: int = 400
     least_share: float = 0.30
@@ -34,6 +34,8 @@ class Settings:
 
 DEFAULT = Settings()
 
+#: Outlets of the test tables that readers of the site may not open; a parameter, since the list is a publisher's own.
+RESTRICTED = ["seget-review.invalid", "bukisk-tribune.example", "gadim-wire.invalid"]
 #: Steps of the importance scale.
 TIERS = (30, 50, 70, 85)
 #: Words cut from either end of an entity name.
