@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions.time import stamp
 
-_META = r"(?i)<meta\s[^>]*(?:property|name|itemprop)=[\"'](?:article:published_time|datePublished|pubdate|date|og:published_time)[\"'][^>]*content=[\"']([^\"']+)[\"']"
-_META_BACK = r"(?i)<meta\s[^>]*content=[\"']([^\"']+)[\"'][^>]*(?:property|name|itemprop)=[\"'](?:article:published_time|datePublished|pubdate|date|og:published_time)[\"']"
-_JSON_LD = r"(?i)\"datePublished\"\s*:\s*\"([^\"]+)\""
+#: Names under which pages state when they were published.
+STAMP_NAMES = "article:published_time|og:article:published_time|datePublished|parsely-pub-date|pubdate|publish-date|publication_date|sailthru\\.date"
+_META = rf"(?i)<meta[^>]+(?:property|itemprop|name)\s*=\s*[\"'](?:{STAMP_NAMES})[\"'][^>]*?content\s*=\s*[\"']([^\"']{{10,40}})[\"']"
+_META_BACK = rf"(?i)<meta[^>]+content\s*=\s*[\"']([^\"']{{10,40}})[\"'][^>]*?(?:property|itemprop|name)\s*=\s*[\"'](?:{STAMP_NAMES})[\"']"
+_JSON_LD = r"\"date(?:Published|Created)\"\s*:\s*\"([^\"]{10,40})\""
 
 
 def page_stamp(html: Column, seen: Column, hint: Column, most_days: int = 3653) -> Column:
@@ -36,19 +41,52 @@ def latest_tick(pointer: Column) -> Column:
     return F.regexp_extract(pointer, r"/(\d{14})\.gkg\.csv", 1)
 
 
+def extracted(html: Column, least: int = 300) -> Column:
+    """The paragraphs of a page; where they make less than `least` characters, the text of the whole page."""
+    page = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1\s*>|<!--.*?-->", " ")
+    strict = page_text(F.array_join(F.regexp_extract_all(page, F.lit(r"(?is)(<(?:p|h[1-6]|li)\b[^>]*>.*?</(?:p|h[1-6]|li)\s*>)"), F.lit(1)), "\n"))
+    return F.when(F.length(strict) >= least, strict).otherwise(page_text(html))
+
+
+def fetched(rows: DataFrame, fetch: Callable[[dict], tuple[str, str] | None]) -> DataFrame:
+    """article_id, text, title of the rows that `fetch` finds; a row at a time, as pages come, and an error counts as no find."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in frames:
+            out = []
+            for r in p.to_dict("records"):
+                try:
+                    got = fetch(r)
+                except Exception:  # noqa: BLE001 -- whatever a page does
+                    got = None
+                if got is not None:
+                    out.append((r["article_id"], *got))
+            yield pd.DataFrame(out, columns=["article_id", "text", "title"])
+
+    return rows.mapInPandas(run, "article_id long, text string, title string")
+
+
+def quoted_size(c: Column) -> Column:
+    """Bytes of a text in a url: unreserved characters count one, others three for each byte."""
+    kept = F.length(F.regexp_replace(c, r"[^A-Za-z0-9_.~/-]", ""))
+    return kept + 3 * (F.octet_length(c) - kept)
+
+
 def quoted_chunks(text: Column, most: int = 1500) -> Column:
-    """The text's sentences joined greedily into chunks of at most `most` url-quoted bytes; a longer sentence stands alone."""
-    parts = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+", "\x01"), "\x01"), lambda x: x != "")
+    """The text, line ends as spaces, cut into the fewest chunks of at most `most` url-quoted bytes, by character; [text] where it is empty.
 
-    def size(x: Column) -> Column:
-        return F.length(F.url_encode(x))
+    Cut points are found from running sizes: one fold over characters with a number and the chunk's start as state.
+    """
+    t = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
+    size = F.transform(F.split(t, ""), quoted_size)
+    start = F.struct(F.lit(0).alias("used"), F.lit(1).alias("at"), F.array().cast("array<int>").alias("cuts"))
 
-    def step(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)
-        joined = F.concat(last, F.lit(" "), x)
-        return F.when(F.size(out) == 0, F.array(x)).when(size(joined) <= most, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(out, F.array(x)))
+    def step(s: Column, x: Column) -> Column:
+        full = (s["used"] + x > most) & (s["used"] > 0)
+        return F.struct(F.when(full, x).otherwise(s["used"] + x).cast("int").alias("used"), (s["at"] + 1).alias("at"), F.when(full, F.concat(s["cuts"], F.array(s["at"]))).otherwise(s["cuts"]).alias("cuts"))
 
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+    cuts = F.aggregate(size, start, step, lambda s: F.concat(F.array(F.lit(1)), s["cuts"], F.array(s["at"])))
+    return F.when(F.length(t) == 0, F.array(t)).otherwise(F.filter(F.transform(cuts, lambda c, i: F.call_function("substring", t, c, F.coalesce(F.get(cuts, i + 1), c) - c)), lambda x: x != ""))
 
 
 def escaped(c: Column) -> Column:

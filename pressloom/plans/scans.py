@@ -129,12 +129,6 @@ def k13_migrate(spark: SparkSession, d: str) -> DataFrame:
     return J.migrated(table(spark, d, "seen_urls", "url", "verdict"), {"added": "string"}).select("url", "added", "verdict")
 
 
-@query()
-def k14_asset_version(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "countries").agg(F.sort_array(F.collect_list("country")).alias("n"))
-    return names.select(F.substring(F.sha1(F.array_join("n", "\n")), 1, 8).alias("version"))
-
-
 @query(f"SELECT {outlet('url')} AS outlet, count(*) AS articles, count(DISTINCT country) AS countries FROM articles GROUP BY 1")
 def s00_outlets(spark: SparkSession, d: str) -> DataFrame:
     return articles(spark, d, "url", "country").groupBy(T.outlet(F.col("url")).alias("outlet")).agg(F.count(F.lit(1)).alias("articles"), F.count_distinct("country").alias("countries"))
