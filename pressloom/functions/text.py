@@ -87,8 +87,34 @@ def verdict(token: Column) -> Column:
 
 
 def without_thoughts(reply: Column) -> Column:
-    """A reply without its <think> block."""
-    return F.trim(F.regexp_replace(F.substring_index(reply, "</think>", -1), r"(?s)<think>.*", ""))
+    """A reply without its <think> blocks; of an unclosed one, what stood before it."""
+    return F.trim(F.when(reply.contains("</think>"), F.substring_index(reply, "</think>", -1)).otherwise(F.substring_index(reply, "<think>", 1)))
+
+
+def judged_ids(reply: Column, asked: Column) -> Column:
+    """(id, v) of a judge's JSON reply: the first object after fences and thoughts, whole ids from 1 to `asked`, tokens that mean something."""
+    read = F.from_json(F.regexp_extract(without_thoughts(reply), r"(\{[^{}]*\})", 1), "map<string,string>")
+    pairs = F.transform(F.map_entries(F.coalesce(read, F.expr("map()").cast("map<string,string>"))), lambda e: F.struct(e["key"].try_cast("int").alias("id"), verdict(e["value"]).alias("v")))
+    return F.filter(pairs, lambda x: x["v"].isNotNull() & x["id"].between(1, asked))
+
+
+def translation_sentences(text: Column, characters: int = 6000, most: int = 60) -> Column:
+    """Sentences of the first `characters` of a squeezed text, of more than one character, `most` at most: what a translator is given."""
+    t = F.substring(squeezed(F.coalesce(text, F.lit(""))), 1, characters)
+    parts = F.transform(F.split(F.regexp_replace(t, r"([.!?。！？；;])\s*", "$1\x01"), "\x01"), lambda x: F.trim(x))
+    return F.slice(F.filter(parts, lambda x: F.length(x) > 1), 1, most)
+
+
+#: Whole weeks in words, accusative and genitive.
+WEEKS = (("неделю", "недели"), ("две недели", "двух недель"), ("три недели", "трёх недель"), ("четыре недели", "четырёх недель"))
+
+
+def period_words(days: Column, form: int) -> Column:
+    """A span of days in words: whole weeks up to four by name, else a number of days."""
+    out = F.concat_ws(" ", days.cast("string"), plural_ru(days, "день", "дня", "дней"))
+    for k, w in enumerate(WEEKS, 1):
+        out = F.when(days == 7 * k, w[form]).otherwise(out)
+    return out
 
 
 def reply_parts(reply: Column) -> Column:

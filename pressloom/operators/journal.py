@@ -37,3 +37,10 @@ def dictionary(df: DataFrame, column: str, descending: bool = False) -> DataFram
 def migrated(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """`df` with the columns that an older table lacks, as nulls."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
+
+
+def orphans(mapped: DataFrame, overviews: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The urls of `mapped` (url, key) that are not `live`, and the keys of `overviews` that no remaining url maps to."""
+    gone = mapped.join(live, "url", "left_anti").select("url")
+    kept = mapped.join(live, "url", "left_semi")
+    return gone, overviews.join(kept.select("key"), "key", "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pressloom.functions import gkg as G
 from pressloom.functions import time as D
 from pressloom.operators import gkg as O
+from pressloom.operators import ticks as K
 from pressloom.plans.oracle import JUDGED
 from pressloom.plans.registry import registry
 from pressloom.sources.tables import table
@@ -59,11 +60,12 @@ def g08_prereject(spark: SparkSession, d: str) -> DataFrame:
     return O.candidates(table(spark, d, "gkg")).select("gkg_id", G.has_v2(F.col("v2t"), F.col("v2l")).alias("v2"))
 
 
-@query(f"""WITH {JUDGED} SELECT country, url, arg_min(gkg_id, gkg_id) AS gkg_id FROM judged JOIN gkg USING (gkg_id) WHERE ok GROUP BY country, url""")
+@query(f"""WITH {JUDGED} SELECT country, dump_ts, stream, url, min(gkg_id) AS gkg_id FROM judged JOIN gkg USING (gkg_id) WHERE ok GROUP BY country, dump_ts, stream, url""")
 def g09_first_row(spark: SparkSession, d: str) -> DataFrame:
+    """Of one url in one dump, the first accepted row for each country."""
     gkg = table(spark, d, "gkg")
     ok = O.judged(gkg, table(spark, d, "countries")).where("ok").select("gkg_id", "country")
-    return ok.join(gkg.select("gkg_id", "url"), "gkg_id").groupBy("country", "url").agg(F.min("gkg_id").alias("gkg_id"))
+    return ok.join(gkg.select("gkg_id", "url", "dump_ts", "stream"), "gkg_id").groupBy("country", "dump_ts", "stream", "url").agg(F.min("gkg_id").alias("gkg_id"))
 
 
 @query("SELECT gkg_id FROM gkg WHERE contains(lower(coalesce(source, '') || ' ' || coalesce(url, '')), 'science') OR contains(lower(coalesce(source, '') || ' ' || coalesce(url, '')), 'tech')")
@@ -90,10 +92,10 @@ def g13_first_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {JUDGED} SELECT country, count(*) AS n, count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS dropped, count(*) FILTER (WHERE NOT v2) AS v1_rows,
-  round(quantile_cont(gap, 0.5), 6) AS gap_median FROM judged GROUP BY country""")
+  round(quantile_cont(gap, 0.5), 6) AS gap_median, round(quantile_cont(gap, 0.9), 6) AS gap_p90, round(quantile_cont(share, 0.1), 6) AS share_p10, round(quantile_cont(share, 0.5), 6) AS share_median FROM judged GROUP BY country""")
 def g14_filter_statistics(spark: SparkSession, d: str) -> DataFrame:
     j = O.judged(table(spark, d, "gkg"), table(spark, d, "countries"))
-    return j.groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("dropped"), F.count_if(~F.col("v2")).alias("v1_rows"), F.round(F.percentile("gap", 0.5), 6).alias("gap_median"))
+    return j.groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("dropped"), F.count_if(~F.col("v2")).alias("v1_rows"), *(F.round(F.percentile(c, p), 6).alias(n) for c, p, n in (("gap", 0.5, "gap_median"), ("gap", 0.9, "gap_p90"), ("share", 0.1, "share_p10"), ("share", 0.5, "share_median"))))
 
 
 @query("SELECT gkg_id, stream, dump_ts FROM gkg WHERE stream = 'en' UNION ALL SELECT gkg_id, stream, dump_ts FROM gkg WHERE stream = 'tl'")
@@ -107,11 +109,19 @@ def s04_rolling_ticks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gkg").agg(F.date_trunc("hour", F.max("dump_ts")).alias("h")).select(F.explode(F.expr("sequence(h - interval 6 hours, h, interval 15 minutes)")).alias("tick"))
 
 
-@query("""WITH c AS (SELECT min(dump_ts) AS cursor, max(dump_ts) AS latest FROM gkg),
-t AS (SELECT unnest(generate_series(cursor + INTERVAL 15 MINUTE, latest, INTERVAL 15 MINUTE)) AS tick FROM c) SELECT tick FROM t ORDER BY tick LIMIT 24""")
+_FROM = "generate_series({0}, l, INTERVAL 15 MINUTE)"
+
+
+@query(f"""WITH c AS (SELECT max(dump_ts) AS l, time_bucket(INTERVAL 15 MINUTE, max(dump_ts) - INTERVAL 30 HOUR) AS stored FROM gkg)
+SELECT 'stored' AS cursor, tick FROM (SELECT unnest({_FROM.format("stored + INTERVAL 15 MINUTE")}) AS tick FROM c ORDER BY tick LIMIT 24)
+UNION ALL SELECT 'none', tick FROM (SELECT unnest({_FROM.format("l - INTERVAL 2 HOUR")}) AS tick FROM c)""")
 def s05_pending_ticks(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "gkg").agg(F.min("dump_ts").alias("c"), F.max("dump_ts").alias("l"))
-    return c.select(F.explode(F.expr("sequence(c + interval 15 minutes, l, interval 15 minutes)")).alias("tick")).orderBy("tick").limit(24)
+    """Ticks of the next run from a stored cursor thirty hours back, and of a first run without one."""
+    latest = table(spark, d, "gkg", "dump_ts").agg(F.max("dump_ts").cast("timestamp").alias("latest"))
+    stored = latest.select(D.tick(F.col("latest") - F.expr("interval 30 hours")).alias("cursor"))
+    run = lambda c: K.pending(c, latest).select("tick")
+    none = latest.select(F.lit(None).cast("timestamp").alias("cursor"))
+    return run(stored).select(F.lit("stored").alias("cursor"), "tick").unionByName(run(none).select(F.lit("none").alias("cursor"), "tick"))
 
 
 @query("SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS tick, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")

@@ -35,7 +35,11 @@ def x04_judge_batches(spark: SparkSession, d: str) -> DataFrame:
     return O.numbered_batches(articles(spark, d, "article_id", "fetched_at", "importance").where("importance is null and fetched_at is not null"), "fetched_at", "article_id").select("article_id", "batch", "place")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT article_id, replace(coalesce(text, ''), chr(10), ' ') AS t FROM articles),
+p AS MATERIALIZED (SELECT article_id, t, list_transform(string_split(t, ''), lambda c: CASE WHEN regexp_matches(c, '[A-Za-z0-9_.~/-]') THEN 1 ELSE 3 * strlen(c) END) AS size FROM t),
+f AS (SELECT article_id, t, list_reduce(list_transform(size, lambda x: [CAST(x AS BIGINT)]), lambda acc, x, i: CASE WHEN acc[1] + x[1] > 1500 AND acc[1] > 0 THEN list_append(list_concat([x[1]], acc[2:]), CAST(i AS BIGINT)) ELSE list_concat([acc[1] + x[1]], acc[2:]) END, [CAST(0 AS BIGINT)])[2:] AS cuts FROM p WHERE len(t) > 0),
+g AS (SELECT article_id, t, list_concat([1], cuts) AS a, list_append(cuts, CAST(length(t) + 1 AS BIGINT)) AS b FROM f)
+SELECT article_id, CAST(k AS INT) AS k, substr(t, s, e - s) AS chunk FROM (SELECT article_id, t, unnest(a) AS s, unnest(b) AS e, unnest(range(0, len(a))) AS k FROM g) UNION ALL SELECT article_id, 0, '' FROM t WHERE t = ''""")
 def t21_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of each text for a translator that takes 1500 quoted bytes."""
+    """Chunks of each text for a translator that takes 1500 quoted bytes, cut by character."""
     return articles(spark, d, "article_id", "text").select("article_id", F.posexplode(H.quoted_chunks(F.col("text"))).alias("k", "chunk"))

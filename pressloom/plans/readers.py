@@ -134,18 +134,18 @@ def x03_rescued(spark: SparkSession, d: str) -> DataFrame:
     return H.fetched(recent, lambda r: (r["text"] or "", r["title"] or "")).select("article_id", F.sha1("title").alias("text_hash"), (F.length("text") >= 300).alias("kept"))
 
 
-_NAMES = "nm AS (SELECT article_id, title, list_distinct(list_filter(string_split(coalesce(entities, ''), ';'), lambda x: length(x) > 3)) AS ns FROM articles WHERE title IS NOT NULL)"
+_NAMES = "nm AS (SELECT article_id, title, list_distinct(list_filter(string_split(coalesce(entities, ''), ';'), lambda x: length(x) > 3 AND contains(lower(title), x))) AS ns FROM articles WHERE title IS NOT NULL)"
 
 
-@query(f"WITH {_NAMES} SELECT article_id, title AS back, FALSE AS lost FROM nm")
+@query(f"WITH {_NAMES} SELECT article_id, lower(title) AS back, FALSE AS lost, len(ns) AS names FROM nm")
 def l04_protect_restore(spark: SparkSession, d: str) -> DataFrame:
     """Names hidden behind markers, a stand-in translation that changes the markers' case and spacing, and the names put back."""
-    names = F.array_distinct(F.filter(F.split(F.coalesce("entities", F.lit("")), ";"), lambda x: F.length(x) > 3))
-    a = articles(spark, d, "article_id", "title", "entities").where("title is not null").select("article_id", "title", names.alias("ns"))
+    low = F.lower("title")
+    names = F.array_distinct(F.filter(F.split(F.coalesce("entities", F.lit("")), ";"), lambda x: (F.length(x) > 3) & F.contains(low, x)))
+    a = articles(spark, d, "article_id", "title", "entities").where("title is not null").select("article_id", low.alias("title"), names.alias("ns"))
     hidden = H.protected(F.col("title"), F.col("ns"))
     moved = F.regexp_replace(hidden, r"XX(\d+)XX", "xx $1 XX")
-    used = F.filter(F.transform("ns", lambda n: F.struct(n.alias("n"), F.instr(F.col("title"), n).alias("at"))), lambda x: x["at"] > 0)
-    return a.withColumn("moved", moved).select("article_id", H.restored(F.col("moved"), F.col("ns")).alias("back"), (F.size(used) < 0).alias("lost"))
+    return a.withColumn("moved", moved).select("article_id", H.restored(F.col("moved"), F.col("ns")).alias("back"), H.markers_lost(F.col("moved"), F.col("ns")).alias("lost"), F.size("ns").alias("names"))
 
 
 @query()

@@ -15,10 +15,18 @@ from pressloom.sources.tables import table
 
 Q, SQL, query = registry()
 
-#: Pages that report no event.
-NON_EVENT = r"\b(horoscope|quiz|crossword|podcast|gallery|obituary|newsletter|live blog)\b|гороскоп|викторин|подкаст|фотогалере|кроссворд"
+#: Words of pages that report no event, in four languages.
+NON_EVENT_WORDS = ["interview", "opinion", "editorial", "column", "analysis", "commentary", "explainer", "podcast", "интервью", "мнение", "колонка", "مقابلة", "رأي", "tribune", "éditorial"]
 #: Marks of pages that keep robots out.
-ANTI_BOT = r"captcha|are you a robot|just a moment|checking your (connection|browser)|enable javascript|access denied|cloudflare"
+ANTI_BOT_MARKS = [
+    "security service to protect", "verifies you are not a bot", "performing security verification", "triggered the security solution", "you have been blocked", "just a moment",
+    "attention required", "checking your browser", "enable javascript and cookies", "cloudflare ray id", "are you a robot", "проверка безопасности",
+]
+_EDGE = "[^\\p{L}\\p{N}_]"
+NON_EVENT = f"(^|{_EDGE})({'|'.join(NON_EVENT_WORDS)})($|{_EDGE})"
+ANTI_BOT = "|".join(ANTI_BOT_MARKS)
+
+
 def articles(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return table(spark, d, "articles", *columns)
 
@@ -127,29 +135,54 @@ def t17_verdict_token(spark: SparkSession, d: str) -> DataFrame:
     return articles(spark, d, "article_id", "importance").select("article_id", token.alias("token")).withColumn("v", T.verdict(F.col("token")))
 
 
-@query("""SELECT batch_no, article_id, v FROM (
-  SELECT batch_no, article_id, CASE WHEN article_id % 3 = 0 THEN 100 ELSE 0 END AS v FROM articles) WHERE article_id % 7 <> 0""")
+@query("""WITH b AS (SELECT article_id, CAST(ceil(n / 20.0) AS BIGINT) AS batch, CAST((n - 1) % 20 + 1 AS INT) AS place FROM (SELECT article_id, row_number() OVER (ORDER BY fetched_at, article_id) AS n FROM articles WHERE fetched_at IS NOT NULL))
+SELECT batch, place, CASE WHEN article_id % 3 = 0 THEN 100 ELSE 0 END AS v FROM b WHERE article_id % 7 <> 0""")
 def t18_judge_reply(spark: SparkSession, d: str) -> DataFrame:
-    """A fenced reply of each batch is built and read back: the first JSON object, ids that were asked, known tokens."""
-    a = articles(spark, d, "article_id", "batch_no")
+    """A fenced reply for each batch of twenty is built and read back: the first JSON object alone, ids that were asked, known tokens."""
+    from pressloom.operators.select import numbered_batches
+
+    a = numbered_batches(articles(spark, d, "article_id", "fetched_at").where("fetched_at is not null"), "fetched_at", "article_id")
     token = F.when(F.col("article_id") % 7 == 0, "unsure").when(F.col("article_id") % 3 == 0, "yes").otherwise("no")
-    pairs = F.array_join(F.collect_list(F.concat(F.lit('"'), F.col("article_id").cast("string"), F.lit('": "'), token, F.lit('"'))), ", ")
-    replies = a.groupBy("batch_no").agg(F.concat(F.lit("<think>so {}</think>```json\n{"), pairs, F.lit("}\n``` {\"0\": 1}")).alias("reply"))
-    body = F.regexp_extract(T.without_thoughts(F.col("reply")), r"(\{[^{}]*\})", 1)
-    read = replies.select("batch_no", F.explode(F.from_json(body, "map<string,string>")).alias("id", "token"))
-    read = read.select("batch_no", F.col("id").try_cast("long").alias("article_id"), T.verdict(F.col("token")).alias("v"))
-    return read.where("v is not null and article_id is not null")
+    pairs = F.array_join(F.collect_list(F.concat(F.lit('"'), F.col("place").cast("string"), F.lit('": "'), token, F.lit('"'))), ", ")
+    replies = a.groupBy("batch").agg(F.concat(F.lit("<think>so {}</think>```json\n{"), pairs, F.lit(', "99": "yes", "x": "no"}\n``` {"1": "unsure"}')).alias("reply"))
+    read = replies.select("batch", F.explode(T.judged_ids(F.col("reply"), F.lit(20))).alias("x"))
+    return read.select("batch", F.col("x.id").alias("place"), F.col("x.v").alias("v"))
 
 
-@query("SELECT article_id, trim('verdict ' || CAST(article_id AS VARCHAR)) AS reply FROM articles")
+@query("""SELECT article_id, trim(CASE WHEN contains(r, '</think>') THEN string_split(r, '</think>')[-1] WHEN contains(r, '<think>') THEN string_split(r, '<think>')[1] ELSE r END) AS reply
+FROM (SELECT article_id, CASE article_id % 4 WHEN 0 THEN '<think>a</think>' WHEN 1 THEN '<think>a</think><think>b </think> ' WHEN 2 THEN 'kept <think>' ELSE '' END || coalesce(title, '') AS r FROM articles)""")
 def t19_without_thoughts(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d, "article_id").select("article_id", T.without_thoughts(F.concat(F.lit("<think>a\nb</think> verdict "), F.col("article_id").cast("string"))).alias("reply"))
+    """Titles after closed, repeated and unclosed thoughts, and bare; what follows an unclosed one is no answer."""
+    k = F.col("article_id") % 4
+    lead = F.when(k == 0, "<think>a</think>").when(k == 1, "<think>a</think><think>b </think> ").when(k == 2, "kept <think>").otherwise("")
+    return articles(spark, d, "article_id", "title").select("article_id", T.without_thoughts(F.concat(lead, F.coalesce("title", F.lit("")))).alias("reply"))
+
+
+_MODELS = """(SELECT p_partkey % 3 AS provider, lower(replace(p_name, ' ', '-')) || CASE p_partkey % 5 WHEN 0 THEN '-mini' WHEN 1 THEN '-8b' ELSE '' END AS model, p_size * 1000 AS context FROM part)"""
+
+
+@query(f"""SELECT provider, model, r FROM (SELECT provider, model, row_number() OVER (PARTITION BY provider ORDER BY context DESC, model DESC) AS r FROM (SELECT DISTINCT * FROM {_MODELS})
+WHERE NOT regexp_matches(lower(model), 'lite|-8b|8b-|-4b|-3b|-1b|-mini|-small|nano')) WHERE r <= 5""")
+def t20_model_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The five models of the longest context of each provider, weak ones left out; part names stand in for a provider's listing."""
+    from pressloom.operators.ring import pool
+
+    p = table(spark, d, "part", "p_partkey", "p_name", "p_size")
+    tail = F.when(F.col("p_partkey") % 5 == 0, "-mini").when(F.col("p_partkey") % 5 == 1, "-8b").otherwise("")
+    return pool(p.select((F.col("p_partkey") % 3).alias("provider"), F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))), tail).alias("model"), (F.col("p_size") * 1000).alias("context")).distinct())
+
+
+@query("""SELECT days, CASE WHEN days % 7 = 0 AND days // 7 BETWEEN 1 AND 4 THEN ['неделю', 'две недели', 'три недели', 'четыре недели'][days // 7] ELSE days || ' ' || w END AS span, CASE WHEN days % 7 = 0 AND days // 7 BETWEEN 1 AND 4 THEN ['недели', 'двух недель', 'трёх недель', 'четырёх недель'][days // 7] ELSE days || ' ' || w END AS of_span
+FROM (SELECT days, CASE WHEN days % 10 = 1 AND days % 100 <> 11 THEN 'день' WHEN days % 10 BETWEEN 2 AND 4 AND NOT days % 100 BETWEEN 12 AND 14 THEN 'дня' ELSE 'дней' END AS w FROM (SELECT unnest(range(1, 61)) AS days))""")
+def t25_period_words(spark: SparkSession, d: str) -> DataFrame:
+    days = spark.range(1, 61).select(F.col("id").alias("days"))
+    return days.select("days", T.period_words(F.col("days"), 0).alias("span"), T.period_words(F.col("days"), 1).alias("of_span"))
 
 
-@query("SELECT article_id, len(list_filter(string_split(regexp_replace(substr(coalesce(text, ''), 1, 6000), '([.!?])\\s+', '\\1\x01', 'g'), '\x01'), lambda x: length(x) > 1)[1:60]) AS n FROM articles")
+@query("""SELECT article_id, CAST(k AS INT) AS k, s FROM (SELECT article_id, unnest(ss) AS s, unnest(range(0, len(ss))) AS k FROM (SELECT article_id, list_filter(list_transform(string_split(regexp_replace(substr(trim(regexp_replace(coalesce(text, ''), '[\\p{Z}\\s]+', ' ', 'g')), 1, 6000), '([.!?。！？；;])\\s*', '\\1\x01', 'g'), '\x01'), lambda x: trim(x)), lambda x: length(x) > 1)[1:60] AS ss FROM articles))""")
 def t22_sentences(spark: SparkSession, d: str) -> DataFrame:
-    parts = F.split(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 6000), r"([.!?])\s+", "$1\x01"), "\x01")
-    return articles(spark, d, "article_id", "text").select("article_id", F.size(F.slice(F.filter(parts, lambda x: F.length(x) > 1), 1, 60)).alias("n"))
+    """The sentences that a translator is given: of 6000 characters, sixty at most."""
+    return articles(spark, d, "article_id", "text").select("article_id", F.posexplode(T.translation_sentences(F.col("text"))).alias("k", "s"))
 
 
 @query("""SELECT article_id, CASE WHEN n % 10 = 1 AND n % 100 <> 11 THEN 'статья' WHEN n % 10 BETWEEN 2 AND 4 AND NOT n % 100 BETWEEN 12 AND 14 THEN 'статьи' ELSE 'статей' END AS form

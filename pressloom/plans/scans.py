@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import text as T
@@ -38,24 +38,40 @@ def s07_archive_docs(spark: SparkSession, d: str) -> DataFrame:
     return a.select("article_id", F.when(own, F.col("text")).otherwise(F.col("text_ru")).alias("doc_text"), F.when(own, F.col("title")).otherwise(F.col("title_ru")).alias("doc_title"))
 
 
-@query("SELECT country, article_id FROM articles WHERE importance IS NULL")
+@query("SELECT country, article_id, row_number() OVER (PARTITION BY country ORDER BY fetched_at DESC NULLS LAST, article_id) AS place FROM articles WHERE importance IS NULL")
 def s08_unjudged(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d, "country", "article_id", "importance").where("importance is null").select("country", "article_id")
+    """The unjudged articles of each country, the newest first; places are ranks within day and country, shifted by the days' totals."""
+    a = articles(spark, d, "country", "article_id", "importance", "fetched_at").where("importance is null").withColumn("day", F.to_date("fetched_at"))
+    per = a.groupBy("country", "day").agg(F.count(F.lit(1)).alias("n"))
+    later = Window.partitionBy("country").orderBy(F.desc_nulls_last("day")).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col("country").alias("c"), F.col("day").alias("t"), F.coalesce(F.sum("n").over(later), F.lit(0)).alias("before"))
+    r = F.row_number().over(Window.partitionBy("country", "day").orderBy(F.desc("fetched_at"), "article_id"))
+    return a.withColumn("r", r).join(per, F.col("country").eqNullSafe(F.col("c")) & F.col("day").eqNullSafe(F.col("t"))).select("country", "article_id", (F.col("before") + F.col("r")).alias("place"))
 
 
-@query("SELECT article_id FROM articles WHERE importance > 5 AND embedding_body IS NULL AND text IS NOT NULL ORDER BY fetched_at DESC, article_id LIMIT 4000")
+@query("""WITH q AS (SELECT article_id, fetched_at FROM articles WHERE importance > 5 AND embedding_body IS NULL AND text IS NOT NULL)
+SELECT article_id, greatest(0, (SELECT count(*) FROM q) - 4000) AS remaining FROM (SELECT article_id FROM q ORDER BY fetched_at DESC, article_id LIMIT 4000)""")
 def s09_body_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The bodies to embed next, and how many wait beyond them."""
     a = articles(spark, d, "article_id", "fetched_at", "importance", "embedding_body", "text").where("importance > 5 and embedding_body is null and text is not null")
-    return a.orderBy(F.desc("fetched_at"), "article_id").limit(4000).select("article_id")
+    left = F.broadcast(a.agg(F.greatest(F.lit(0), F.count(F.lit(1)) - 4000).alias("remaining")))
+    return a.orderBy(F.desc("fetched_at"), "article_id").limit(4000).select("article_id").crossJoin(left)
 
 
-@query(f"""SELECT article_id, 'fresh' AS kind FROM (SELECT article_id FROM articles WHERE importance > 5 AND translated_by IS NULL AND coalesce(language, '') NOT IN ('ru') ORDER BY fetched_at DESC, article_id LIMIT 150)
-UNION ALL SELECT article_id, 'redo' FROM (SELECT article_id FROM articles WHERE translated_by IS NOT NULL AND starts_with(translated_by, 'wait') AND fetched_at >= {NOW} - INTERVAL 168 HOUR ORDER BY fetched_at DESC, article_id LIMIT 50)""")
+_QUOTA = 150
+
+
+@query(f"""WITH fresh AS (SELECT article_id FROM articles WHERE importance > 5 AND fetched_at >= {NOW} - INTERVAL 336 HOUR AND (title IS NOT NULL OR text IS NOT NULL) AND (translated_by IS NULL OR starts_with(translated_by, 'wait:') OR starts_with(translated_by, 'unsupported:')) AND title_ru IS NULL ORDER BY importance DESC, fetched_at DESC, article_id LIMIT {_QUOTA}),
+redo AS (SELECT article_id FROM articles WHERE fetched_at >= {NOW} - INTERVAL 168 HOUR AND translated_by IS NOT NULL AND NOT contains(translated_by, 'tcbig') AND translated_by <> 'error' AND NOT starts_with(translated_by, 'skip:') AND NOT starts_with(translated_by, 'unsupported:') AND NOT starts_with(translated_by, 'wait:') ORDER BY importance DESC NULLS LAST, article_id LIMIT {_QUOTA // 4})
+SELECT article_id, 'fresh' AS kind FROM fresh UNION ALL SELECT article_id, 'redo' FROM redo""")
 def s10_translation_queue(spark: SparkSession, d: str) -> DataFrame:
-    a = timed(spark, d, "importance", "language", "translated_by")
-    order = (F.desc("fetched_at"), F.col("article_id"))
-    fresh = a.where("importance > 5 and translated_by is null and coalesce(language, '') not in ('ru')").orderBy(*order).limit(150)
-    redo = a.where(F.col("translated_by").startswith("wait") & (F.col("fetched_at") >= ago(168))).orderBy(*order).limit(50)
+    """Untranslated articles of the archive by importance, and a quarter of their quota for translations by engines no longer trusted."""
+    a = timed(spark, d, "importance", "title", "text", "title_ru", "translated_by")
+    by = F.col("translated_by")
+    fresh = a.where("importance > 5 and title_ru is null and (title is not null or text is not null)").where((F.col("fetched_at") >= ago(336)) & (by.isNull() | by.startswith("wait:") | by.startswith("unsupported:")))
+    redo = a.where((F.col("fetched_at") >= ago(168)) & by.isNotNull() & ~by.contains("tcbig") & (by != "error") & ~by.rlike("^(skip|unsupported|wait):"))
+    fresh = fresh.orderBy(F.desc("importance"), F.desc("fetched_at"), "article_id").limit(_QUOTA)
+    redo = redo.orderBy(F.desc_nulls_last("importance"), "article_id").limit(_QUOTA // 4)
     return fresh.select("article_id", F.lit("fresh").alias("kind")).unionByName(redo.select("article_id", F.lit("redo").alias("kind")))
 
 
@@ -107,10 +123,16 @@ def k06_journal_retention(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "seen_urls").crossJoin(n).where(F.col("embedding").isNotNull() | (F.to_date("last_seen") >= F.date_sub(F.to_date("now"), 30))).select("url")
 
 
-@query(f"SELECT s.url FROM seen_urls s WHERE s.url NOT IN (SELECT url FROM articles WHERE fetched_at >= {NOW} - INTERVAL 360 HOUR)")
+_MAP = f"um AS (SELECT url, substr(sha1(coalesce(first_seen, '')), 1, 12) AS key FROM seen_urls), live AS (SELECT url FROM articles WHERE fetched_at >= {NOW} - INTERVAL 360 HOUR)"
+
+
+@query(f"WITH {_MAP} SELECT 'url' AS kind, url AS gone FROM um WHERE url NOT IN (SELECT url FROM live) UNION ALL SELECT DISTINCT 'key', key FROM um WHERE key NOT IN (SELECT key FROM um WHERE url IN (SELECT url FROM live))")
 def k07_orphans(spark: SparkSession, d: str) -> DataFrame:
-    kept = timed(spark, d, "url").where(F.col("fetched_at") >= ago(360)).select("url")
-    return table(spark, d, "seen_urls", "url").join(kept, "url", "left_anti")
+    """What a sweep removes: mapped urls whose article is gone, then overviews without any mapped url left. Journal days stand in for overviews."""
+    live = timed(spark, d, "url").where(F.col("fetched_at") >= ago(360)).select("url")
+    mapped = table(spark, d, "seen_urls", "url", "first_seen").select("url", F.substring(F.sha1(F.coalesce("first_seen", F.lit(""))), 1, 12).alias("key"))
+    urls, keys = J.orphans(mapped, mapped.select("key").distinct(), live)
+    return urls.select(F.lit("url").alias("kind"), F.col("url").alias("gone")).unionByName(keys.select(F.lit("key").alias("kind"), F.col("key").alias("gone")))
 
 
 @query("SELECT url, arg_max(article_id, CAST(batch_no AS BIGINT) * 1000000000 + article_id) AS article_id FROM articles GROUP BY url")
