@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,27 +67,32 @@ def fetched(rows: DataFrame, fetch: Callable[[dict], tuple[str, str] | None]) ->
     return rows.mapInPandas(run, "article_id long, text string, title string")
 
 
-def quoted_size(c: Column) -> Column:
-    """Bytes of a text in a url: unreserved characters count one, others three for each byte."""
-    kept = F.length(F.regexp_replace(c, r"[^A-Za-z0-9_.~/-]", ""))
-    return kept + 3 * (F.octet_length(c) - kept)
+def cut_points(text: str, most: int) -> list[int]:
+    """Where the chunks of `quoted_chunks` begin: one numpy pass for the sizes, one step a chunk."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    plain = np.isin(points, np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-~/", dtype=np.uint8))
+    octets = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+    before = np.concatenate([[0], np.cumsum(np.where(plain, 1, 3 * octets))])
+    cuts = [0]
+    while cuts[-1] < len(points):
+        fit = int(np.searchsorted(before, before[cuts[-1]] + most, "right")) - 1
+        cuts.append(max(fit, cuts[-1] + 1))
+    return cuts
 
 
 def quoted_chunks(text: Column, most: int = 1500) -> Column:
-    """The text, line ends as spaces, cut into the fewest chunks of at most `most` url-quoted bytes, by character; [text] where it is empty.
-
-    Cut points are found from running sizes: one fold over characters with a number and the chunk's start as state.
-    """
-    t = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
-    size = F.transform(F.split(t, ""), quoted_size)
-    start = F.struct(F.lit(0).alias("used"), F.lit(1).alias("at"), F.array().cast("array<int>").alias("cuts"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["used"] + x > most) & (s["used"] > 0)
-        return F.struct(F.when(full, x).otherwise(s["used"] + x).cast("int").alias("used"), (s["at"] + 1).alias("at"), F.when(full, F.concat(s["cuts"], F.array(s["at"]))).otherwise(s["cuts"]).alias("cuts"))
-
-    cuts = F.aggregate(size, start, step, lambda s: F.concat(F.array(F.lit(1)), s["cuts"], F.array(s["at"])))
-    return F.when(F.length(t) == 0, F.array(t)).otherwise(F.filter(F.transform(cuts, lambda c, i: F.call_function("substring", t, c, F.coalesce(F.get(cuts, i + 1), c) - c)), lambda x: x != ""))
+    """The text, line ends as spaces, cut by character into chunks of at most `most` url-quoted bytes; [''] where it is empty or null."""
+
+    @F.pandas_udf("array<string>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            t = (t or "").replace("\n", " ")
+            cuts = cut_points(t, most)
+            out.append([t[a:b] for a, b in zip(cuts, cuts[1:])] or [t])
+        return pd.Series(out)
+
+    return chunks(text)
 
 
 def escaped(c: Column) -> Column:

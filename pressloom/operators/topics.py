@@ -19,6 +19,10 @@ BUCKETS = {
     "medicine": "vaccine|gene therapy|antibiotic|clinic|blood test|cancer",
     "energy": "turbine|solar|heat pump|reactor|geothermal|hydrogen",
     "law": "court|lawsuit|statute|verdict|injunction|patent",
+    "farming": "harvest|greenhouse|crop|livestock|dairy|grain",
+    "cyber": "malware|ransom|phishing|data breach|firewall|botnet",
+    "transport": "ferry|tram|railway|bus line|cargo|airport",
+    "sport": "match|league|coach|tournament|sprint|stadium",
 }
 
 
@@ -33,8 +37,10 @@ def scan(articles: DataFrame, buckets: dict[str, str] = BUCKETS, body: int = 700
     Strict: named in the title, or by `least` different words of the body's first `body` characters.
     """
     head, tail = F.coalesce("title", F.lit("")), F.substring(F.coalesce("text", F.lit("")), 1, body)
-    one = [F.struct(F.lit(s).alias("slug"), F.lit(i).alias("ord"), F.size(matches(head, w)).alias("head"), F.size(F.array_except(matches(tail, w), matches(head, w))).alias("deep")) for i, (s, w) in enumerate(buckets.items())]
-    x = articles.select("article_id", F.explode(F.array(*one)).alias("x")).select("article_id", "x.*").where("head + deep > 0")
+    one = [F.struct(F.lit(s).alias("slug"), F.lit(i).alias("ord"), matches(head, w).alias("h"), matches(tail, w).alias("t")) for i, (s, w) in enumerate(buckets.items())]
+    # each list is matched once; counts are taken from what it found
+    x = articles.select("article_id", F.explode(F.array(*one)).alias("x")).select("article_id", "x.*")
+    x = x.select("article_id", "slug", "ord", F.size("h").alias("head"), F.size(F.array_except("t", "h")).alias("deep")).where("head + deep > 0")
     return x.withColumn("strict", (F.col("head") > 0) | (F.col("deep") >= least))
 
 
@@ -48,10 +54,10 @@ def of(articles: DataFrame, scanned: DataFrame) -> DataFrame:
     return out.select("article_id", topics.alias("topics"))
 
 
-def classified(labelled: DataFrame, rows: DataFrame, slugs: list[str], least: int = 40, above: float = 0.75) -> DataFrame:
+def classified(labelled: DataFrame, rows: DataFrame, slugs: list[str], least: int = 40, above: float = 0.75, in_all: int = 80) -> DataFrame:
     """article_id, slug, p: topics that one of the logistic models gives with a probability above `above`.
 
-    `labelled`: article_id, slug, vector; `rows`: article_id, vector. A topic needs `least` positives and some negatives.
+    `labelled`: article_id, slug, vector; `rows`: article_id, vector. A topic needs `least` positives and some negatives, all topics `in_all` articles.
     """
     base = cut(labelled.groupBy("article_id").agg(F.collect_set("slug").alias("slugs"), F.first("vector").alias("vector"))).withColumn("features", array_to_vector("vector"))
     n = {r.slug: r.n for r in labelled.groupBy("slug").agg(F.count_distinct("article_id").alias("n")).collect()}  # one row a topic
@@ -59,11 +65,11 @@ def classified(labelled: DataFrame, rows: DataFrame, slugs: list[str], least: in
     asked = rows.withColumn("features", array_to_vector("vector")).select("article_id", "features")
     parts = []
     for s in slugs:
-        if not least <= n.get(s, 0) < total:
+        if total < in_all or not least <= n.get(s, 0) < total:
             continue
         y = F.array_contains("slugs", s).cast("int")
         train = base.select("features", y.alias("y"), F.when(y == 1, total / (2.0 * n[s])).otherwise(total / (2.0 * (total - n[s]))).alias("w"))
-        model = LogisticRegression(labelCol="y", weightCol="w", regParam=0.001, maxIter=25).fit(train)
+        model = LogisticRegression(labelCol="y", weightCol="w", regParam=0.25 / total, maxIter=50).fit(train)
         p = model.transform(asked).select("article_id", F.lit(s).alias("slug"), vector_to_array("probability")[1].alias("p"))
         parts.append(p.where(F.col("p") > above))
     if not parts:

@@ -32,7 +32,7 @@ def m02_enough(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def m03_probabilities(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-fold probabilities of the text and vector classifiers."""
-    return G.probabilities(judged(spark, d), 3).select("article_id", "y", F.round("p_vec", 6).alias("p_vec"), F.round("p_txt", 6).alias("p_txt"))
+    return G.probabilities(judged(spark, d)).select("article_id", "y", F.round("p_vec", 6).alias("p_vec"), F.round("p_txt", 6).alias("p_txt"))
 
 
 @query(f"SELECT article_id, y, ntile(5) OVER (PARTITION BY y ORDER BY fetched_at, article_id) AS fold FROM (SELECT *, CAST(importance > 5 AS INT) AS y FROM articles WHERE {_SET})")
@@ -91,3 +91,15 @@ def a15_shares(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_PROBE}, r AS (SELECT y, rank() OVER (ORDER BY z) + (count(*) OVER (PARTITION BY z) - 1) / 2.0 AS r FROM s) SELECT round((sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS auc FROM r")
 def a16_auc(spark: SparkSession, d: str) -> DataFrame:
     return G.auc(scored(spark, d)).select(F.round("auc", 6).alias("auc"))
+
+
+@query(f"WITH {_BOUNDS} SELECT round(avg(CASE WHEN y = 0 THEN CAST(z < lo AS INT) END), 6) AS dropped, coalesce(avg(CASE WHEN y = 0 THEN CAST(z < lo AS INT) END) >= 0.30, FALSE) AS saved FROM s, b")
+def m07_saved(spark: SparkSession, d: str) -> DataFrame:
+    """A gate is only kept if it drops enough of the negatives."""
+    return G.saved(a15_shares(spark, d)).select("dropped", "saved")
+
+
+@query("SELECT article_id, 'ask' AS verdict FROM articles WHERE importance IS NOT NULL")
+def m07_gate_off(spark: SparkSession, d: str) -> DataFrame:
+    """Without a kept gate everything is asked."""
+    return G.gated(scored(spark, d), None).select("article_id", "verdict")
