@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("dump", "scalars", "scans", "stories", "counts", "search", "state", "gate", "tagging", "texts", "extra", "cards", "readers")
+MODULES = ("dump", "scalars", "scans", "stories", "counts", "search", "state", "gate", "tagging", "texts", "extra", "cards", "readers", "chain")
 
 
 def queries() -> dict:

@@ -77,6 +77,17 @@ def t06_script_language(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entity_ru").select("name", "ru", T.script_language(F.concat(F.coalesce("name", F.lit("")), tail)).alias("lang"))
 
 
+_COUNTS = ", ".join(f"{{'n': len(list_filter(w, lambda x: x IN ({', '.join(map(repr, v))}))), 'k': '{k}'}}" for k, v in sorted(T.COMMON.items()))
+
+
+@query(f"""WITH t AS (SELECT article_id, substr({squeezed("coalesce(text, '')")}, 1, 2000) AS t FROM articles), w AS (SELECT *, regexp_extract_all(lower(t), '[\\p{{L}}]+') AS w FROM t),
+c AS (SELECT article_id, t, list_reduce([{_COUNTS}], lambda a, b: CASE WHEN b.n > a.n THEN b ELSE a END) AS b FROM w)
+SELECT article_id, CASE WHEN length(t) >= 80 THEN CASE WHEN regexp_matches(t, '[가-힯]') THEN 'ko' WHEN regexp_matches(t, '[぀-ヿ]') THEN 'ja' WHEN regexp_matches(t, '[一-鿿]') THEN 'zh-cn' WHEN b.n > 0 THEN b.k END END AS lang FROM c""")
+def t07_detected_language(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every text: script first, then profiles of common words; none for short texts."""
+    return articles(spark, d, "article_id", "text").select("article_id", T.detected_language(F.col("text")).alias("lang"))
+
+
 @query("""SELECT article_id, coalesce(
   CASE WHEN length(regexp_replace(coalesce(text, ''), '[^А-Яа-яЁё]', '', 'g')) / CAST(greatest(length(coalesce(text, '')), 1) AS DOUBLE) > 0.3 THEN 'ru' END,
   CASE lower(split_part(trim(language), '-', 1)) WHEN '' THEN NULL WHEN 'he' THEN 'iw' ELSE lower(split_part(trim(language), '-', 1)) END, 'auto') AS code FROM articles""")

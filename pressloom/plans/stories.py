@@ -150,17 +150,6 @@ def c11_story_key(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("leader").agg(F.sha1(F.concat(F.array_join(F.array_sort(F.collect_set("url")), "\n"), F.lit("\n"))).alias("key"))
 
 
-@query("""SELECT entity_id, coalesce(k.ru, e.ru, array_to_string(list_transform(string_split(e.name, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')) AS shown
-FROM entity_ru e LEFT JOIN (SELECT name, min(ru) AS ru FROM entity_ru WHERE src = 'keep' GROUP BY name) k USING (name)""")
-def c13_name_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Glossary form, else cached form, else title case."""
-    from pressloom.sources.tables import table
-
-    e = table(spark, d, "entity_ru")
-    kept = e.where("src = 'keep'").groupBy("name").agg(F.min("ru").alias("kept"))
-    return e.join(kept, "name", "left").select("entity_id", F.coalesce("kept", "ru", F.initcap("name")).alias("shown"))
-
-
 @query("SELECT DISTINCT url FROM articles WHERE CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % 10000 < 500")
 def c14_control_stream(spark: SparkSession, d: str) -> DataFrame:
     """Five in a hundred urls, chosen by hash, go past the gate."""

@@ -46,20 +46,17 @@ def journal(tries: DataFrame) -> DataFrame:
 
 
 def batch_journal(tries: DataFrame) -> DataFrame:
-    """The journal of a whole table of tries: what the stream ends with.
+    """The journal of a whole table of tries (url, n, verdict; n ascending and unique for each url): what the stream ends with.
 
-    Declarative: tries before the first final verdict count, and that one.
+    A url is done at its first try with a final verdict, or with `short` after an earlier try; tries up to there count. All by aggregates, so that a
+    url tried without end is never gathered.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("n", "verdict")))
-    start = F.struct(F.lit(None).cast("string").alias("verdict"), F.lit(0).alias("attempts"))
-
-    def step(s, x):  # noqa: ANN001, ANN202
-        done = s["verdict"].isin(*FINAL) | ((s["verdict"] == "short") & (s["attempts"] >= 2))
-        return F.when(F.coalesce(done, F.lit(False)), s).otherwise(F.struct(x["verdict"].alias("verdict"), (s["attempts"] + 1).alias("attempts")))
-
-    folded = tries.groupBy("url").agg(F.aggregate(ordered, start, step).alias("s"))
-    v, a = F.col("s.verdict"), F.col("s.attempts")
-    return folded.select("url", v.alias("verdict"), a.alias("attempts"), (v.isin(*FINAL) | ((v == "short") & (a >= 2))).alias("final"))
+    first = tries.groupBy("url").agg(F.min("n").alias("first"))
+    t = tries.join(first, "url")
+    done = F.col("verdict").isin(*FINAL) | ((F.col("verdict") == "short") & (F.col("n") > F.col("first")))
+    end = t.groupBy("url").agg(F.min(F.when(done, F.struct("n", "verdict"))).alias("stop"), F.max(F.struct("n", "verdict")).alias("last"))
+    end = end.select("url", F.coalesce("stop.n", "last.n").alias("end"), F.coalesce("stop.verdict", "last.verdict").alias("verdict"), F.col("stop").isNotNull().alias("final"))
+    return tries.join(end.withColumnRenamed("verdict", "v"), "url").where("n <= end").groupBy("url").agg(F.first("v").alias("verdict"), F.count(F.lit(1)).cast("int").alias("attempts"), F.first("final").alias("final"))
 
 
 def first_seen(stream: DataFrame, late: str = "1 day") -> DataFrame:
