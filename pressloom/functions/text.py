@@ -211,6 +211,10 @@ def detected_language(text: Column, common: dict[str, list[str]] = COMMON, least
     """
     t = F.substring(squeezed(F.coalesce(text, F.lit(""))), 1, most)
     w = F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}]+)"), F.lit(1))
-    counted = F.array(*(F.struct(F.size(F.filter(w, lambda x, v=v: x.isin(*v))).alias("n"), F.lit(k).alias("k")) for k, v in sorted(common.items())))
+
+    def hits(known: list[str]) -> Column:
+        return F.size(F.filter(w, lambda x: x.isin(*known)))
+
+    counted = F.array(*(F.struct(hits(v).alias("n"), F.lit(k).alias("k")) for k, v in sorted(common.items())))
     best = F.aggregate(counted, F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("k")), lambda s, x: F.when(x["n"] > s["n"], F.struct(x["n"].alias("n"), x["k"].alias("k"))).otherwise(s))["k"]
     return F.when(F.length(t) >= least, F.coalesce(script_language(t), best))

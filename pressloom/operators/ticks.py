@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def pending(cursor: DataFrame, latest: DataFrame, most: int = 24, hours_back: int = 2) -> DataFrame:
     """tick: after the stored `cursor` (one row, null if there is none) up to `latest`, the oldest `most`; without a cursor from `hours_back` on."""
     both = cursor.crossJoin(F.broadcast(latest)).select(F.coalesce(F.col("cursor") + F.expr("interval 15 minutes"), F.col("latest") - F.expr(f"interval {hours_back} hours")).alias("a"), F.col("latest").alias("b"))
-    return both.where("a <= b").select(F.explode(F.expr("sequence(a, b, interval 15 minutes)")).alias("tick")).orderBy("tick").limit(most)
+    return both.select(F.explode(F.expr("case when a <= b then sequence(a, b, interval 15 minutes) end")).alias("tick")).orderBy("tick").limit(most)
 
 
 def progress(states: DataFrame, now: DataFrame, hole_minutes: int = 90) -> DataFrame:

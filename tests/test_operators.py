@@ -106,7 +106,7 @@ def test_digest_takes_other_sources_first(spark):
     a = "The reactor vessel of Loputiv was opened on Monday by staff. It will run for ninety years if all goes well there."
     b = "Critics say that the reactor vessel came far too late for Loputiv. Nothing else was heard of it in the whole city."
     docs = spark.createDataFrame([("s", 1, a), ("s", 2, b), ("t", 3, ""), ("t", 4, None)], "story string, url long, text string")
-    got = digest.digest(docs).orderBy("k").collect()
+    got = digest.digest(digest.candidates(docs)).orderBy("k").collect()
     assert len(got) == 3 and {r.story for r in got} == {"s"} and len({got[0].url, got[1].url}) == 2
 
 
@@ -160,7 +160,7 @@ def test_best_title(spark):
     good = "Gene therapy trial in Lubek reaches its second year of work"
     rows = [("g", 1, "SHOUTED TITLE OF A LONG STORY ABOUT GENE THERAPY TODAY", [1.0, 0.0]), ("g", 2, good, [1.0, 0.1]), ("g", 3, "Short", [1.0, 0.0]), ("h", 4, "Short", None), ("h", 5, None, None)]
     df = spark.createDataFrame(rows, "g string, id long, title string, vector array<double>")
-    assert {r.g: r.id for r in best_title(df, "g").collect()} == {"g": 2, "h": 4}
+    assert {r.g: r.id for r in best_title(df.withColumn("o", F.col("id")), "g", "o").collect()} == {"g": 2, "h": 4}
 
 
 def test_dump_archives(spark, tmp_path):
@@ -188,7 +188,7 @@ def test_dump_archives(spark, tmp_path):
 def test_pages(spark):
     from pressloom.functions import pages as H
 
-    html = '<html><head><meta property="article:published_time" content="1900-01-01"><meta content="2024-01-05T10:00:00Z" name="date"><script>var x = "datePublished";</script></head><body><nav>Menu</nav><h1>A &amp; B</h1><p>One<br>two</p></body></html>'
+    html = '<html><head><meta property="article:published_time" content="1900-01-01"><meta content="2024-01-05T10:00:00Z" name="pubdate"><script>var x = "datePublished";</script></head><body><nav>Menu</nav><h1>A &amp; B</h1><p>One<br>two</p></body></html>'
     df = spark.createDataFrame([(html, "2024-01-03"), (None, "2024-01-03"), ("<p>x</p>", None)], "h string, d string").withColumn("seen", F.to_timestamp(F.lit("2024-02-01")))
     got = df.select(H.page_stamp(F.col("h"), F.col("seen"), F.col("d")).cast("string").alias("t"), H.page_text(F.col("h")).alias("x")).collect()
     assert [r.t for r in got] == ["2024-01-05 10:00:00", "2024-01-03 00:00:00", None]
@@ -201,8 +201,155 @@ def test_chunks_and_markers(spark):
 
     df = spark.createDataFrame([("Один два. Three four! " + "x" * 40 + ". End.", ["Alpha", "Beta", "C"], "Alpha met Beta and C"), (None, [], "")], "t string, n array<string>, s string")
     chunks = df.select(H.quoted_chunks(F.col("t"), 60).alias("c")).collect()
-    assert chunks[0].c == ["Один два. Three four!", "x" * 40 + ". End."] or "".join(chunks[0].c).replace(" ", "") == ("Одиндва.Threefour!" + "x" * 40 + ".End.")
-    assert chunks[1].c == []
+    from urllib.parse import quote
+
+    assert "".join(chunks[0].c) == "Один два. Three four! " + "x" * 40 + ". End." and max(len(quote(x)) for x in chunks[0].c) <= 60 and chunks[1].c == [""]
+    # greedy by character, one long sentence included, and a character that alone is larger
+    want, used = [""], 0
+    for c in "ы" * 21 + "a~/ " * 9 + "€𝄞":
+        if used + len(quote(c)) > 60 and used:
+            want.append("")
+            used = 0
+        want[-1], used = want[-1] + c, used + len(quote(c))
+    t = "".join(want)
+    assert [t[a:b] for cuts in [H.cut_points(t, 60)] for a, b in zip(cuts, cuts[1:])] == want
+    assert H.cut_points("€€", 3) == [0, 1, 2]
     p = H.protected(F.col("s"), F.col("n"))
     r = df.select(p.alias("p"), H.restored(p, F.col("n")).alias("r"), H.markers_lost(F.lit("XX0XX xx 1 xx"), F.col("n")).alias("lost")).collect()
     assert r[0].p == "XX0XX met XX1XX and XX2XX" and r[0].r == "Alpha met Beta and C" and r[0].lost is False and r[1].r == ""
+
+
+def test_running_totals_places_and_quantiles(spark):
+    from pressloom.operators import select
+
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=500), 1)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "id long, v double")
+    per = df.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    got = {r.v: r.before_n for r in select.running(per, "v", "n", parts=7).collect()}
+    assert got == {x: int((v < x).sum()) for x in v}
+    for p in (0.0, 0.05, 0.5, 0.93, 1.0):
+        assert abs(select.quantile(per, "v", "n", p).first().q - np.quantile(v, p)) < 1e-9
+    order = sorted(range(500), key=lambda i: (-v[i], i))
+    assert {r.id: r.place for r in select.places(df, "v", "id", parts=5).collect()} == {i: k for k, i in enumerate(order, 1)}
+    assert select.places(df.where("false"), "v", "id").count() == 0 and select.quantile(per.where("false"), "v", "n", 0.5).first().q is None
+
+
+def test_signatures_fit_the_table(spark):
+    small, large = (S.fitted(spark.range(n).select(F.array(*[F.lit(1.0)] * 3).alias("embedding")), 0.95) for n in (16, 100_000))
+    assert small.dims == large.dims == 3 and small.width == 10 and large.width == 15
+    for s in (small, large):
+        assert (1 - (1 - np.arccos(0.95) / np.pi) ** s.width) ** s.segments <= 0.001
+    assert S.fitted(spark.range(0).select(F.array(F.lit(1.0)).alias("embedding")), 0.9).dims == 1
+
+
+def test_lexrank_stops_alike_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [("g" if i % 3 else "h", i, [float(x) for x in rng.normal(size=4)], f"d{i % 5}") for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, id long, vector array<double>, domain string")
+    whole, parts = ({r.id: r.lex for r in rank.lexrank(df, "g", block=b, rounds=6).collect()} for b in (2048, 10))
+    assert set(whole) == set(parts) and max(abs(whole[k] - parts[k]) for k in whole) < 1e-6
+
+
+def test_encoder_survives_a_bad_text():
+    from pressloom.operators import embed
+
+    seen = []
+
+    def forward(texts):
+        seen.append(len(texts))
+        if any("bad" in t for t in texts):
+            raise ValueError
+        return embed.word_shapes()(texts)
+
+    v = embed.encode(["one two"] * 3 + ["bad"] + ["x" * 2000], forward, 2, batch=3, long=1000, long_batch=1)
+    assert np.allclose(np.linalg.norm(v, axis=1), [1, 1, 1, 0, 1]) and seen == [3, 1, 1, 1]
+
+
+def test_ring_moves_models():
+    from pressloom.operators.ring import Ring
+
+    ring = Ring({"a": ["a1", "a2"], "b": ["b1"]})
+    assert ring.ask(lambda p, m: None if m == "a1" else "ok") == ("a", "a2", "ok") and ring.pools["a"] == ["a2", "a1"]
+    assert ring.ask(lambda p, m: 1 / 0 if p == "b" else "ok")[:2] == ("a", "a2") and ring.ask(lambda p, m: None) is None
+
+
+def test_ticks_holes_and_budgets(spark):
+    from pressloom.operators import ticks
+
+    rows = [("2024-01-01 00:15:00", True, False), ("2024-01-01 00:30:00", False, True), ("2024-01-01 00:45:00", True, False), ("2024-01-01 02:00:00", False, True), ("2024-01-01 02:15:00", True, False)]
+    states = spark.createDataFrame(rows, "t string, ok boolean, missing boolean").select(F.to_timestamp("t").alias("tick"), "ok", "missing")
+    now = spark.sql("select timestamp'2024-01-01 02:30:00' as now")
+    got = [(str(r.tick)[11:16], r.taken, r.hole) for r in ticks.progress(states, now).orderBy("tick").collect()]
+    assert got == [("00:15", True, False), ("00:30", False, True), ("00:45", True, False)]
+    latest = spark.sql("select timestamp'2024-01-01 02:00:00' as latest")
+    first = spark.sql("select cast(null as timestamp) as cursor")
+    assert ticks.pending(first, latest).count() == 9 and ticks.pending(latest.withColumnRenamed("latest", "cursor"), latest).count() == 0
+
+
+def test_tick_reader_waits_for_a_young_hole():
+    from pressloom.streaming.ticks import TickReader
+
+    r = TickReader({"cursor": "20240101000000", "latest": "20240101030000", "now": "20240101031500", "missing": "20240101001500,20240101024500", "most": "4"})
+    a, ends = r.initialOffset(), []
+    while (b := r.latestOffset()) != a:
+        ends.append([t for p in r.partitions(a, b) for t in r.read(p)])
+        a = b
+    got = [t for (t,) in sum(ends, [])]
+    assert got[0] == "20240101003000" and got[-1] == "20240101023000" and len(got) == len(set(got)) == 9 and max(map(len, ends)) <= 4
+
+
+def test_overviews_stay_unless_the_news_is_new(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([("k1", 1, text), ("k2", 2, text), ("k2", 3, text), ("k3", 4, text), ("k3", 5, text.replace("w", "v")), ("k4", 9, text)], "key string, url long, text string")
+    stored = spark.createDataFrame([("k1", "old 1", True), ("o2", "old 2", False), ("o3", "old 3", False)], "key string, lines string, added boolean")
+    url_map = spark.createDataFrame([(1, "k1"), (2, "o2"), (4, "o3")], "url long, key string")
+    made = spark.createDataFrame([(k, f"new {k}") for k in ("k1", "k2", "k3", "k4")] + [("k5", None)], "key string, lines string")
+    got = {r.key: (r.lines, r.added) for r in digest.resolved(docs, made, stored, url_map).collect()}
+    assert got == {"k1": ("old 1", True), "k2": ("old 2", False), "k3": ("new k3", True), "k4": ("new k4", False)}
+
+
+def test_dictionary_over_texts(spark):
+    from pressloom.operators import dictionary as W
+
+    known = {"new york": ("Нью-Йорк", "ru", ""), "new york times": ("NYT", "keep", "paper"), "tokaev": ("Токаев", "ru", ""), "york": ("Йорк", "ru", "")}
+    f = W.Finder(known)
+    assert [(k, n, key) for _, _, k, n, key in f.find("A New York Times man in York, New York")] == [(2, 3, "new york times"), (7, 1, "york"), (8, 2, "new york")]
+    subs = {}
+    t = W.hide_unknown(f.protect("New York Times on Erdoğan's plan", subs), subs, lambda c: False)
+    assert t == "XX1XX on XX2XX plan" and W.put_back(t.lower().replace("xx", "XX"), subs) == ("NYT on Erdoğan plan", True) and W.put_back("gone", subs) == ("gone", False)
+    assert f.mended("президент Tokaev и York") == "президент Токаева и Йорк"
+    assert f.prompt("York and the New York Times, York") == '  "york" -> Йорк\n  "new york times" -> NYT (keep Latin script) — paper'
+    assert W.translated("On Tokaev.", "The New York Times.", f, lambda s: [x.upper() for x in s], lambda c: False) == ("ON Токаев.", "THE NYT.", "model")
+    entries = spark.createDataFrame([(k, *v) for k, v in known.items()], "name string, ru string, mode string, gloss string")
+    rows = spark.createDataFrame([(1, "the new york times of New York"), (2, ""), (3, "none")], "id long, text string")
+    a, b = (sorted(tuple(r) for r in W.matches(rows, entries, most).collect()) for most in (100, 1))
+    assert a == b and len(a) == 2
+    assert W.matches(rows, entries.where("false")).count() == 0
+
+
+def test_russian_sentences():
+    from pressloom.functions import russian as L
+
+    assert L.pieces("Рост на 16. 8 процента. Проф. Иванов ушёл. Вместе с Z. AI и U. Ср. другими. Конец") == ["Рост на 16.8 процента.", "Проф. Иванов ушёл.", "Вместе с Z. AI и U. Ср. другими.", "Конец"]
+    title = "Китай запустил новый спутник связи"
+    assert L.without_title(f"{title} Аппарат вышел на орбиту.", title) == "Аппарат вышел на орбиту."
+    assert L.without_title("Аппарат вышел на орбиту сегодня утром.", title) == "Аппарат вышел на орбиту сегодня утром."
+    good = "Компания открыла новый завод в городе Лубек."
+    assert L.usable("— " + good) == good and L.usable("НЬЮ-ДЕЛИ: " + good) == good and L.usable("«" + good) == good
+    for bad in ("Это стало новостью для всех жителей.", "слишком много маленьких букв в начале.", "Коротко и ясно.", "В данном случае речь идёт о заводе.", "Все права защищены и принадлежат нам всем.", "ЧИТАЙТЕ ТАКЖЕ ПРО новый завод у реки.", "The plant opened in Лубек on Monday morning.", "Рост производства составил почти 16.", "Решение по U. Св. Ограничения приняты сразу все."):
+        assert L.usable(bad) is None, bad
+    source = "Завод выпустит 40 машин за 5 рупий. " + good
+    retold = "Новый завод в Лубеке начал работу: за год там соберут 40 машин, об этом рассказали жители города."
+    assert L.guarded(retold, source) == (retold, "") and L.guarded("Нет.", source)[0] is None
+    for change, fault in ((("40", "41"), "number"), (("машин", "руб. машин"), "unit"), (("завод", "завoд"), "mixed")):
+        assert fault in L.guarded(retold.replace(*change), source)[1]
+    assert L.guarded_headline("«Новый завод в Лубеке начал работу».", source)[0] == "Новый завод в Лубеке начал работу"
+    assert [L.case_before(t, len(t)) for t in ("в ", "прибыл в ", "президент ", "по Москве и ", "слово ", "")] == ["loct", "accs", "gent", "datv", None, None]
+    assert L.inflected("Токаев", "ablt") == "Токаевым" and L.inflected("Достоевский", "gent") == "Достоевского" and L.inflected("Саакашвили", "gent") == "Саакашвили" and L.inflected("Лес", "gent") == "Лес"
+
+
+def test_vectors_of_two_lengths_never_pair(spark):
+    df = spark.createDataFrame([(1, "g", 1, [1.0, 0.0]), (2, "g", 2, [1.0]), (3, "g", 3, [1.0, 0.0])], "article_id long, g string, at int, e array<float>")
+    got = {r.article_id: r.leader for r in leaders(df, "g", ["at"], "e", S.fitted(df, 0.95, "e")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
