@@ -39,7 +39,7 @@ PATHS = 29
 @dataclass(frozen=True)
 class Settings:
     """sample: articles to train on; buckets and size: table of word vectors; hidden: cells of each
-    direction; rounds, batch, rate: training, in which each word is left out with probability `dropped`; pages: documents labelled at a time; least: probability
+    direction; rounds, batch, rate: training, in which each word is left out with probability `dropped`; pages, cells: documents, and lines times documents filled up to the longest, labelled at a time; least: probability
     from which a line is page text."""
 
     sample: int = 4_000
@@ -51,6 +51,7 @@ class Settings:
     rate: float = 0.012
     dropped: float = 0.2
     pages: int = 512
+    cells: int = 60_000
     least: float = 0.5
     seed: int = 7
 
@@ -259,6 +260,16 @@ class Labeller:
         return last
 
 
+def parts(sizes: list[int], most: int, cells: int) -> list[tuple[int, int]]:
+    """Ranges of rising sizes, of up to `most` members that make up to `cells` when filled up to the longest; a larger member stands alone."""
+    out, a = [], 0
+    for b, size in enumerate(sizes):
+        if b > a and (b - a >= most or (b - a + 1) * size > cells):
+            out.append((a, b))
+            a = b
+    return [*out, (a, len(sizes))] if sizes else []
+
+
 def training_pages(texts: list[str], settings: Settings) -> tuple[list[Page], list[np.ndarray]]:
     """Pages and exemplar labels of the sample."""
     words, pages, labels = Words(settings.buckets), [], []
@@ -291,7 +302,7 @@ def labelled(articles: DataFrame, settings: Settings = Settings(), p1: residue.S
     schema = pa.schema([("article_id", pa.int64()), ("line_no", pa.int32()), ("page", pa.float32())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = Words(settings.buckets), []
+        words, held, waiting = Words(settings.buckets), [], 0
 
         def out(some: list[tuple[int, Page]]) -> pa.RecordBatch:
             p = net.probabilities([q for _, q in some])
@@ -300,16 +311,18 @@ def labelled(articles: DataFrame, settings: Settings = Settings(), p1: residue.S
 
         def flush() -> Iterator[pa.RecordBatch]:
             held.sort(key=lambda x: len(x[1].numbers))
-            for k in range(0, len(held), settings.pages):
-                yield out(held[k : k + settings.pages])
+            for a, b in parts([len(p.numbers) for _, p in held], settings.pages, settings.cells):
+                yield out(held[a:b])
             held.clear()
 
         for b in batches:
             for i, title, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if net is not None and text and not index.residue(title, text) and (p := page(text, words)) is not None:
                     held.append((i, p))
-                if len(held) >= 8 * settings.pages:
+                    waiting += len(p.numbers)
+                if len(held) >= 8 * settings.pages or waiting > 8 * settings.cells:
                     yield from flush()
+                    waiting = 0
         yield from flush()
 
     rows = articles.select(F.col("article_id").cast("long"), "title", "text")

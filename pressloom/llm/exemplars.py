@@ -44,6 +44,27 @@ SCRIPTS = [
     "Su navegador tiene los scripts desactivados.",
     "Estamos comprobando su conexión; tardará unos segundos.",
     "Comprobando el navegador",
+    "Please turn on JavaScript to use this site.",
+    "JavaScript is required to view this page.",
+    "It looks like JavaScript is turned off in your browser.",
+    "Your browser does not support JavaScript.",
+    "Enable JavaScript and cookies to continue.",
+    "Complete the security check to continue.",
+    "Please verify you are a human.",
+    "Для работы сайта требуется JavaScript.",
+    "JavaScript отключён в вашем браузере.",
+    "Пройдите проверку безопасности, чтобы продолжить.",
+    "Bu site JavaScript gerektirir.",
+    "Tarayıcınızda JavaScript kapalı.",
+    "Devam etmek için JavaScript’i etkinleştirin.",
+    "Bitte schalten Sie JavaScript ein.",
+    "Diese Seite benötigt JavaScript.",
+    "JavaScript ist in Ihrem Browser deaktiviert.",
+    "Ce site nécessite JavaScript.",
+    "JavaScript est désactivé dans votre navigateur.",
+    "Este sitio requiere JavaScript.",
+    "JavaScript está desactivado en su navegador.",
+    "Habilite JavaScript para continuar.",
 ]
 
 #: Pages of servers that failed, and lines that programs left in a page.
@@ -128,6 +149,35 @@ ERRORS = [
     "Número de referencia: 5",
     "Referencia: 5",
     "Demasiadas solicitudes desde su dirección.",
+    "500 Internal Server Error",
+    "502 Bad Gateway",
+    "503 Service Unavailable",
+    "504 Gateway Timeout",
+    "The requested URL was not found on this server.",
+    "Sorry, the page you are looking for could not be found.",
+    "The server encountered an internal error and was unable to complete your request.",
+    "An error occurred while processing your request.",
+    "Oops! Something went wrong.",
+    "This page is not available.",
+    "Ошибка 404: страница не найдена",
+    "Внутренняя ошибка сервера",
+    "Произошла ошибка при обработке запроса.",
+    "Извините, запрашиваемая страница не найдена.",
+    "Hata 404: sayfa bulunamadı",
+    "İsteğiniz işlenirken bir hata oluştu.",
+    "Sunucu hatası",
+    "Fehler 404: Seite nicht gefunden",
+    "Die angeforderte Seite wurde nicht gefunden.",
+    "Bei der Verarbeitung ist ein Fehler aufgetreten.",
+    "Interner Serverfehler",
+    "Erreur 404 : page non trouvée",
+    "Désolé, la page que vous cherchez n’existe pas.",
+    "Une erreur est survenue lors du traitement de votre demande.",
+    "Erreur interne du serveur",
+    "Error 404: página no encontrada",
+    "Lo sentimos, la página que busca no existe.",
+    "Se ha producido un error al procesar su solicitud.",
+    "Error interno del servidor",
 ]
 
 #: Text that stands in for a story which nobody has written.
@@ -152,6 +202,18 @@ FILLER = [
     "Texte de remplissage, à supprimer avant publication.",
     "Texto de relleno para la maqueta, sin contenido.",
     "Escriba aquí su texto. Sustituya este párrafo.",
+    "Untitled document",
+    "Placeholder text, to be replaced before publication.",
+    "Insert your text here.",
+    "Документ без названия",
+    "Вставьте сюда свой текст.",
+    "Adsız belge",
+    "Unbenanntes Dokument",
+    "Platzhaltertext, bitte vor der Veröffentlichung ersetzen.",
+    "Document sans titre",
+    "Insérez votre texte ici.",
+    "Documento sin título",
+    "Inserte su texto aquí.",
 ]
 
 #: Holes that a template engine or a sub-editor should have filled.
@@ -159,7 +221,7 @@ HOLES = [
     "{{ article.lead }}", "{{author_name}}", "{% block story %}", "{0}", "{$teaser}", "${headline}", "%%BYLINE%%",
     "[[lead]]", "[[%story.intro]]", "<%= story.summary %>", "<<caption>>", "#CITY_NAME#", "@@deck@@",
     "__BODY_TEXT__", "%(place)s", "[INSERT QUOTE HERE]", "<INSERT NAME>", "&lt;INSERT NAME&gt;",
-    "[object Object]", "undefined", "TKTK",
+    "[object Object]", "undefined", "TKTK", "[FIRST NAME]",
 ]
 
 #: Labelled as no residue: words about such things.

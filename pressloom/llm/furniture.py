@@ -14,13 +14,19 @@ archive|technology|video|contact|subscribe|weather|home|menu|search|world|scienc
 back to top|copy link|related stories|most read|advertise|careers|terms of use|share|print|comments|about us
 архив|технологии|видео|контакты|подписка|погода|главная|меню|поиск|мир|наука|вакансии|мнения|мнение|войти|принять все|отклонить|отклонить все|настройки cookie
 политика конфиденциальности|наверх|скопировать ссылку|материалы по теме|самое читаемое|реклама|условия
-archives|technologie|technologies|vidéo|vidéos|s’abonner|abonnement|abonnements|météo|accueil|recherche|rechercher|monde|sciences|emplois|avis|opinions|connexion|se connecter|tout accepter|tout refuser|gérer les cookies
+archives|technologie|technologies|vidéo|vidéos|s’abonner|abonnement|abonnements|météo|accueil|emploi|recherche|rechercher|monde|sciences|emplois|avis|opinions|connexion|se connecter|tout accepter|tout refuser|gérer les cookies
 confidentialité|haut de page|copier le lien|sur le même sujet|les plus lus|publicité|conditions
 archiv|technik|kontakt|video|videos|abo|wetter|startseite|menü|suche|welt|wissen|stellen|meinung|anmelden|alle annehmen|alle ablehnen|cookie-einstellungen
 datenschutz|nach oben|link kopieren|zum selben thema|meistgelesen|werbung|karriere|nutzungsbedingungen
 archivo|hemeroteca|tecnología|vídeo|vídeos|contacto|suscripción|suscribirse|el tiempo|tiempo|portada|inicio|menú|buscar|mundo|ciencia|empleo|opinión|entrar|iniciar sesión|aceptar todo|rechazar todo|configurar cookies
 privacidad|volver arriba|copiar enlace|sobre el mismo tema|lo más leído|publicidad|condiciones
 arşiv|teknoloji|video|iletişim|abone ol|hava durumu|ana sayfa|menü|ara|dünya|bilim|iş ilanları|görüş|giriş|giriş yap|tümünü kabul et|reddet|tümünü reddet|çerez ayarları
+skip to main content|related articles|read more|load more|next article|previous article|print this page|sign up|my account|latest news|follow us|download app|editors’ picks|in pictures|live|quiz
+перейти к содержанию|похожие статьи|читать дальше|показать ещё|следующая статья|распечатать|регистрация|личный кабинет|последние новости|мы в соцсетях|выбор редакции
+aller au contenu|articles liés|lire la suite|voir plus|article suivant|imprimer|s’inscrire|mon compte|dernières nouvelles|suivez-nous|choix de la rédaction
+zum inhalt springen|ähnliche artikel|weiterlesen|mehr laden|nächster artikel|drucken|registrieren|mein konto|neueste nachrichten|folgen sie uns|auswahl der redaktion
+saltar al contenido|artículos relacionados|leer más|cargar más|siguiente artículo|imprimir|registrarse|mi cuenta|últimas noticias|síganos|selección del editor
+içeriğe geç|ilgili yazılar|devamını oku|daha fazla göster|sonraki yazı|yazdır|kaydol|hesabım|son haberler|bizi takip edin|editörün seçtikleri
 gizlilik|gizlilik bildirimi|yukarı çık|bağlantıyı kopyala|ilgili haberler|en çok okunanlar|reklam|kariyer|koşullar
 """
 
@@ -150,6 +156,51 @@ Recomendado: @
 Ahora se habla de: @
 Lea también: @
 Etiquetas: @
+# min read
+Reading time: # minutes
+Last updated: @
+Photo: @
+Image: @
+Source: @
+Filed under: @
+Topics: @
+This website uses cookies to improve your experience.
+By using this site you agree to our privacy policy.
+Sign up to our newsletter
+Subscribe to read the full article
+Copyright # @
+# comments
+Время чтения: # мин
+Фото: @
+Источник: @
+Темы: @
+Этот сайт использует cookie.
+Подпишитесь на нашу рассылку
+Temps de lecture : # min
+Photo : @
+Source : @
+Thèmes : @
+Ce site utilise des cookies.
+Abonnez-vous à notre lettre d’information
+Lesezeit: # Minuten
+Foto: @
+Bild: @
+Quelle: @
+Themen: @
+Diese Website verwendet Cookies.
+Abonnieren Sie unseren Newsletter
+Tiempo de lectura: # min
+Foto: @
+Fuente: @
+Temas: @
+Este sitio utiliza cookies.
+Suscríbase a nuestro boletín
+Okuma süresi: # dakika
+Fotoğraf: @
+Kaynak: @
+Konular: @
+Bu site çerez kullanmaktadır.
+Bültenimize abone olun
 @ çerez kullanır. Devam ederek bunu kabul edersiniz.
 Biz ve # ortağımız içeriği kişiselleştirmek ve ziyaretleri ölçmek için çerez kullanıyoruz.
 Güncelleme #:#

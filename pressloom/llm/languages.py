@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm import residue
+from pressloom.llm.blocks import parts
 from pressloom.llm.furniture import LIST_ITEM, is_furniture, is_prose
 
 LANGUAGES = ("de", "en", "es", "fr", "ru", "tr")
@@ -44,11 +45,12 @@ NOT_LETTER = re.compile(r"[\W\d_]+")
 @dataclass(frozen=True)
 class Settings:
     """rows: labelled articles of each language in the sample; characters: length of each
-    language's text; block: paragraphs parsed at a time."""
+    language's text; block, cells: paragraphs, and their characters filled up to the longest, parsed at a time."""
 
     rows: int = 150
     characters: int = 14_000
     block: int = 1024
+    cells: int = 2_000_000
 
 
 def normal_code(label: Column) -> Column:
@@ -231,18 +233,21 @@ def segments(articles: DataFrame, settings: Settings = Settings(), p1: residue.S
             cols = [[r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], [f[0] for f in found], [f[1] for f in found]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            held.sort(key=lambda r: len(r[2]))
+            for a, b in parts([len(r[2]) for r in held], settings.block, settings.cells):
+                yield out(held[a:b])
+
+        waiting = 0
         for b in batches:
             for i, title, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if text and not index.residue(title, text):
                     held += [(i, n, x) for n, x in paragraphs(text)]
-                if len(held) >= 8 * settings.block:
-                    held.sort(key=lambda r: len(r[2]))
-                    for k in range(0, len(held), settings.block):
-                        yield out(held[k : k + settings.block])
-                    held = []
-        held.sort(key=lambda r: len(r[2]))
-        for k in range(0, len(held), settings.block):
-            yield out(held[k : k + settings.block])
+                    waiting += len(text)
+                if len(held) >= 8 * settings.block or waiting > 8 * settings.cells:
+                    yield from flush()
+                    held, waiting = [], 0
+        yield from flush()
 
     rows = articles.select(F.col("article_id").cast("long"), "title", "text")
     return rows.mapInArrow(judge, "article_id long, line_no int, characters int, lang string, confidence double")
@@ -250,8 +255,11 @@ def segments(articles: DataFrame, settings: Settings = Settings(), p1: residue.S
 
 def labels(articles: DataFrame, found: DataFrame) -> DataFrame:
     """article_id, label, main, langs, confidence, wrong: the main language by characters beside the stored label."""
-    each = found.groupBy("article_id", "lang").agg(F.sum("characters").alias("n"), F.max("confidence").alias("c"))
-    main = each.groupBy("article_id").agg(F.max_by("lang", F.struct("n", "lang")).alias("main"), F.sort_array(F.collect_set("lang")).alias("langs"), F.max_by("c", F.struct("n", "lang")).alias("confidence"))
+    each = found.groupBy("article_id", "lang").agg(F.sum("characters").alias("n"), F.sum(F.col("confidence") * F.col("characters")).alias("c"))
+    best = F.max(F.struct("n", "lang", "c"))
+    main = each.groupBy("article_id").agg(best.alias("w"), F.sort_array(F.collect_set("lang")).alias("langs"), F.sum("n").alias("all"))
+    # the share of the characters in the main language, each weighed by how sure its paragraph is
+    main = main.select("article_id", F.col("w.lang").alias("main"), "langs", (F.col("w.c") / F.col("all")).alias("confidence"))
     stored = articles.select(F.col("article_id").cast("long").alias("article_id"), normal_code(F.col("language")).alias("label"))
     out = stored.distinct().join(main, "article_id")
     return out.select("article_id", "label", "main", "langs", "confidence", (F.col("label").isNull() | (F.col("label") != F.col("main"))).alias("wrong"))

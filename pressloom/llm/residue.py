@@ -1,12 +1,12 @@
 """Problem 1: template residue, filler and error pages.
 
 Labelled exemplars are kept in an inverted index (rare term -> exemplars). A passage
-window (a line, a sentence, a part of the title) that holds one of an exemplar's
-two rarest terms is compared with it by TF-IDF containment both ways: the share of the
+window (a line, a sentence, a part of the title) that holds a term of an exemplar's prefix of rare
+terms is compared with it by TF-IDF containment both ways: the share of the
 exemplar's weight found in the window and the share of the window's weight that the
-exemplar explains. Term weights come from document frequencies counted over all rows.
+exemplar explains; a reworded window is compared with all exemplars of a kind together. Term weights come from document frequencies counted over all rows.
 
-Unfilled holes are reduced to their shape and looked up in the same index; the words
+An unfilled hole is a window of its own whose one term is its shape, looked up in the same index; the words
 around a hole are compared with exemplars labelled as mere mentions.
 
 Edge cases: a null title or text counts as empty; an article with neither is no case;
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,16 +31,17 @@ from pressloom.llm import exemplars
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?…])[”»\"]?\s+|\n+")
-TITLE_PART = re.compile(r"\s+[|–—-]\s+|:\s+|\s+·\s+|\s*[()]\s*")
-#: Paths and codes, which differ from page to page.
-CODE = re.compile(r"/[\w./-]+|\b(?=\w*\d)(?=\w*[a-z])[a-z0-9]{5,}\b")
+#: Parts of a title; the name of the page in its url may stand at the end.
+TITLE_PART = re.compile(r"\s+[|–—-]\s+|:\s+|\s+·\s+|\s*[()]\s*|\s+(?=[a-z0-9]+(?:-[a-z0-9]+)+$)")
+#: Paths, codes and names of pages in urls, which differ from page to page.
+CODE = re.compile(r"/[\w./-]+|\b\w+(?:-\w+){3,}|\b(?=\w*\d)(?=\w*[a-z])[a-z0-9]{5,}\b")
 DIGITS = re.compile(r"\d+")
 #: A character or word without which no hole is there.
 HOLE_HINT = re.compile(r"[{\[<#@_%]|&lt;|undefined|TKTK")
 HOLE = re.compile(
     r"\{\{[^{}\n]{0,80}\}\}|\{%[^\n]{0,80}?%\}|\$\{[^{}\n]{0,60}\}|\{\$?[\w.]{0,60}\}|%%\w{1,60}%%|\[\[[^\[\]\n]{1,80}\]\]"
     r"|<%[^\n]{1,80}?%>|<<[^<>\n]{1,60}>>?|#[A-Z][A-Z0-9_]{2,60}#|@@\w{1,60}@@|__[A-Z][A-Z0-9_]{2,60}?__|%\(\w{1,60}\)[sdf]"
-    r"|\[(?:INSERT|ADD|YOUR)\b[^\]\n]{0,80}\]|(?:<|&lt;)INSERT\b[^<>&\n]{0,60}(?:>|&gt;)|\[object \w+\]|\bundefined\b|\bTK(?:TK)+\b"
+    r"|\[(?:INSERT|ADD|YOUR)\b[^\]\n]{0,80}\]|\[(?:(?:FIRST|LAST|FULL|USER) ?NAME|NAME|TITLE|HEADLINE|AUTHOR|CITY|COMPANY|DATE|TEXT|LINK|URL)\]|(?:<|&lt;)INSERT\b[^<>&\n]{0,60}(?:>|&gt;)|\[object \w+\]|\bundefined\b|\bTK(?:TK)+\b"
 )
 INNER = re.compile(r"[\w.%=$ ]+")
 
@@ -49,12 +50,15 @@ INNER = re.compile(r"[\w.%=$ ]+")
 class Settings:
     """contained: least share of the exemplar's weight in the window; covered: least share of
     the window's weight explained; mention: share of a mention's weight around a hole from
-    which the hole is only talked about; around: words on each side of a hole."""
+    which the hole is only talked about; around: words on each side of a hole; together: share of the window's weight that
+    all exemplars of one kind must explain where no single one does, with `rare` of their rarer terms (half the greatest weight)."""
 
     contained: float = 0.6
     covered: float = 0.7
     mention: float = 0.5
     around: int = 9
+    together: float = 0.66
+    rare: int = 3
 
 
 def shape(hole: str) -> str:
@@ -112,8 +116,10 @@ class Index:
         self.settings, self.unknown, self.rows = settings, math.log(n + 2.0), n
         self.weight = {t: math.log((n + 2.0) / (df.get(t, 0) + 1.0)) for t in vocabulary()}
         self.exemplars: list[tuple[frozenset[str], float, bool]] = []
-        self.postings: dict[str, list[int]] = defaultdict(list)
+        self.postings: dict[str, list[int]] = {}
+        self.kinds: list[frozenset[str]] = []
         for kind in (exemplars.SCRIPTS, exemplars.ERRORS, exemplars.FILLER):
+            self.kinds.append(frozenset(t for text in kind if len(text) < 300 for t in terms(text)))
             for text in kind:
                 # the words of one long filler text may come in any order and number
                 loose = kind is exemplars.FILLER and len(text) > 300
@@ -121,10 +127,14 @@ class Index:
                     own = frozenset(terms(part))
                     self.exemplars.append((own, sum(map(self.w, own)), loose))
                     for t in [t for t in own if len(t) > 4] if loose else self.prefix(own):
-                        self.postings[t].append(len(self.exemplars) - 1)
-        self.holes = {shape(h) for h in exemplars.HOLES}
+                        self.postings.setdefault(t, []).append(len(self.exemplars) - 1)
+        # a hole is a window of its own, of one term: its shape
+        for h in exemplars.HOLES:
+            own = frozenset([shape(h)])
+            self.exemplars.append((own, sum(map(self.w, own)), False))
+            self.postings.setdefault(shape(h), []).append(len(self.exemplars) - 1)
         self.mentions = [(own, sum(map(self.w, own))) for own in (frozenset(terms(m)) for m in exemplars.MENTIONS)]
-        self.terms = frozenset(self.postings)
+        self.terms = frozenset(t for t in self.postings if t.isalpha())
         self._finder = None
 
     def __getstate__(self) -> dict:
@@ -160,7 +170,7 @@ class Index:
     def covered(self, passage: str) -> bool:
         """Is the window explained by one exemplar?"""
         own = set(terms(passage))
-        found = {e for t in own & self.terms for e in self.postings[t]}
+        found = {e for t in own if t in self.postings for e in self.postings[t]}
         if not found:
             return False
         mass = sum(map(self.w, own))
@@ -169,6 +179,11 @@ class Index:
             both = sum(map(self.w, own & which))
             if both >= self.settings.covered * mass and (len(own & which) >= 4 if loose else both >= self.settings.contained * total):
                 return True
+        # reworded residue: no exemplar alone, but those of its kind together
+        for kind in self.kinds:
+            both = own & kind
+            if sum(map(self.w, both)) >= self.settings.together * mass and sum(t.isalpha() and self.w(t) >= self.unknown / 2 for t in both) >= self.settings.rare:
+                return True
         return False
 
     def open_hole(self, text: str) -> bool:
@@ -177,7 +192,7 @@ class Index:
             return False
         for m in HOLE.finditer(text):
             s = shape(m.group())
-            if s not in self.holes:
+            if not self.covered(m.group()):
                 continue
             n = self.settings.around
             near = {*WORD.findall(text[max(0, m.start() - 200) : m.start()].lower())[-n:], s, *WORD.findall(text[m.end() : m.end() + 200].lower())[:n]}
