@@ -18,11 +18,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.assign(table(spark, d, "articles")).select("article_id", "slug")
+    return subjects.assign(table(spark, d, "articles"), table(spark, d, "subject_labels")).select("article_id", "slug")
 
 
 def p2_mix(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.mix(subjects.assign(table(spark, d, "articles")), table(spark, d, "subjects"))
+    return subjects.mix(subjects.assign(table(spark, d, "articles"), table(spark, d, "subject_labels")), table(spark, d, "subjects"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -107,6 +107,15 @@ def test_subjects(spark, odd, empty):
     for r in subjects.assign(df).collect():
         got[r.article_id].add(r.slug)
     assert got == {1: {"space", "medicine"}, 2: {"space"}, 4: {"space"}}
+    # every subject of a paragraph of its own is kept, and labels move the thresholds
+    law = "The patent claim was heard on Monday. The antitrust lawsuit went on for long, notes from the appeals court show."
+    three = spark.createDataFrame([article(1, two + "\n" + law)], ART)
+    assert {r.slug for r in subjects.assign(three).collect()} == {"space", "medicine", "law"}
+    labels = spark.createDataFrame([(1, "space", "x"), (2, "space", "x"), (2, "transport", "y")], "article_id long, slug string, annotator string")
+    many = spark.createDataFrame([article(i, EN if i % 2 else passing) for i in range(1, 41)], ART)
+    odd_labels = many.select("article_id", F.lit("space").alias("slug"), F.lit("x").alias("annotator"))
+    assert {r.slug for r in subjects.assign(many, odd_labels).collect()} == {"space"}
+    assert subjects.assign(df, labels).count() > 0 and subjects.assign(df, labels.where("false")).count() == subjects.assign(df).count()
     assert {r.article_id for r in subjects.assign(odd).collect()} == {3, 4}
     assert subjects.assign(empty).count() == 0
 
