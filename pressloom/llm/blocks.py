@@ -7,8 +7,8 @@ learned vectors, the first and last word apart. A bidirectional LSTM, written in
 non-blank lines of the document, so every line is classified knowing the whole page.
 
 It is trained when a query starts, on at most `sample` articles of the table, those with the smallest
-hash of their id. Their lines are labelled by the exemplars in `furniture`; the network then labels
-all lines of all articles, also those that no exemplar explains.
+hash of their id. Their lines are labelled by the exemplars in `furniture` and by recurrence: a line that comes back under
+different titles belongs to the page. The network then labels all lines of all articles, also those that neither explains.
 
 Edge cases: null and empty texts and articles with residue get no row; blank lines are never labelled; a
 text of one line is labelled like any; repeated rows give one row for each line; an empty table gives
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm import residue
-from pressloom.llm.furniture import LIST_ITEM, SENTENCE_END, is_furniture
+from pressloom.llm.furniture import LIST_ITEM, SENTENCE_END, is_furniture, squeezed
 
 WORD = re.compile(r"[^\W\d_]+|\d+|[|©/>·•:]")
 CLOCK = re.compile(r"\d{1,2}:\d\d|\d{1,4}[./-]\d{1,2}[./-]\d{1,4}")
@@ -38,11 +38,12 @@ PATHS = 29
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: articles to train on; buckets and size: table of word vectors; hidden: cells of each
+    """sample: articles to train on; recurring: different titles of the sample under which a line comes back that is labelled as page text; buckets and size: table of word vectors; hidden: cells of each
     direction; rounds, batch, rate: training, in which each word is left out with probability `dropped`; pages, cells: documents, and lines times documents filled up to the longest, labelled at a time; least: probability
     from which a line is page text."""
 
     sample: int = 4_000
+    recurring: int = 4
     buckets: int = 1 << 13
     size: int = 24
     hidden: int = 20
@@ -270,14 +271,30 @@ def parts(sizes: list[int], most: int, cells: int) -> list[tuple[int, int]]:
     return [*out, (a, len(sizes))] if sizes else []
 
 
-def training_pages(texts: list[str], settings: Settings) -> tuple[list[Page], list[np.ndarray]]:
-    """Pages and exemplar labels of the sample."""
+def recurring(articles: list[tuple[str | None, str]], least: int) -> set[str]:
+    """Squeezed lines that stand in articles of `least` different titles: a page's furniture comes back, an article's own lines do not.
+
+    Whole paragraphs and list items are never taken for furniture.
+    """
+    seen: dict[str, set[int]] = {}
+    for title, text in articles:
+        h = zlib.crc32((title or text[:200]).encode())
+        for key in {squeezed(x) for x in text.split("\n") if x.strip() and not LIST_ITEM.match(x) and len(SENTENCE_END.findall(x)) < 2}:
+            have = seen.setdefault(key, set())
+            if len(have) < least:
+                have.add(h)
+    return {k for k, v in seen.items() if len(v) >= least}
+
+
+def training_pages(articles: list[tuple[str | None, str]], settings: Settings) -> tuple[list[Page], list[np.ndarray]]:
+    """Pages and labels of the sample (title, text): a line is of the page around if an exemplar explains it or it recurs."""
     words, pages, labels = Words(settings.buckets), [], []
-    for t in texts:
+    back = recurring(articles, settings.recurring)
+    for _, t in articles:
         if (p := page(t, words)) is not None:
             lines = t.split("\n")
             pages.append(p)
-            labels.append(np.array([is_furniture(lines[n - 1]) for n in p.numbers], dtype=np.float32))
+            labels.append(np.array([is_furniture(lines[n - 1]) or squeezed(lines[n - 1]) in back for n in p.numbers], dtype=np.float32))
     return pages, labels
 
 
@@ -287,7 +304,7 @@ def trained(articles: DataFrame, index: residue.Index, settings: Settings = Sett
     # rows far above the sample's expected hash stay in their tasks
     share = min(1.0, 2.0 * settings.sample / max(1, index.rows))
     sample = rows.where(F.col("h") <= F.lit(min(2**63 - 1, int((2 * share - 1) * 2**63)))).orderBy("h", "i").limit(settings.sample).select("title", "text").collect()
-    pages, labels = training_pages([r.text for r in sample if not index.residue(r.title, r.text)], settings)
+    pages, labels = training_pages([(r.title, r.text) for r in sample if not index.residue(r.title, r.text)], settings)
     if not pages:
         return None
     net = Labeller(settings)

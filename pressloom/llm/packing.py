@@ -10,8 +10,8 @@ bins. The result is the placement that best-fit decreasing makes item by item, a
 (size, rank) -> bins.
 
 The items find their bins by their rank among items of equal size. Ranks come from a window
-over (container, size, bucket) and running totals of the buckets, so a size that a third of all
-rows share is split over `buckets` tasks.
+over (container, size, bucket) and running totals of the buckets, whose number grows with the pieces, so a size that a
+third of all rows share is split into parts of bounded size.
 
 Edge cases: null and empty texts have no tokens and need no room, they get no row; a text larger
 than the capacity is cut into full pieces, each alone in a bin, and a rest that is packed like any text;
@@ -142,13 +142,16 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Plan:
     return Plan(m[:, 0], m[:, 1], m[:, 2], m[:, 3], bins)
 
 
-def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER, buckets: int = 64) -> DataFrame:
+def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER, each_bucket: int = 500_000) -> DataFrame:
     """container, bin, doc_id, piece, tokens: every piece of every text in a bin of every container."""
     kinds = [(r.container, r.capacity) for r in containers.select("container", F.col("capacity").cast("long")).distinct().collect()]  # as many as container kinds
     if any(c is None or not 0 < c <= MOST_CAPACITY for _, c in kinds):
         raise ValueError(f"capacities must lie between 1 and {MOST_CAPACITY}")
     spark = documents.sparkSession
     counts = cut(token_counts(documents, tokenizer))
+    # a size may belong to nearly all pieces, so the buckets grow with their number
+    pieces = counts.agg(F.sum(F.ceil(F.col("tokens") / min((c for _, c in kinds), default=1))).alias("n")).first().n or 0
+    buckets = max(64, pieces // each_bucket)
     kind = F.broadcast(spark.createDataFrame(kinds, "container string, capacity long"))
     whole = counts.crossJoin(kind).withColumn("full", F.expr("tokens div capacity")).withColumn("rest", F.col("tokens") % F.col("capacity"))
     parts = F.concat(
@@ -156,7 +159,7 @@ def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER
         F.array(F.struct((F.col("full") + 1).alias("piece"), F.col("rest").alias("tokens"))),
     )
     items = whole.select("container", "doc_id", F.explode(parts).alias("p")).select("container", "doc_id", F.col("p.piece").cast("int").alias("piece"), F.col("p.tokens").alias("tokens")).where("tokens > 0")
-    items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
 
     per_bucket = items.groupBy("container", "tokens", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("container", "tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -283,7 +283,7 @@ def test_blocks_learn_the_layout():
     menu, foot = ["Archive", "Sign in", "Weather"], ["© 2024 Lamal News. All rights reserved.", "Share this article with your friends", "Back to top"]
     texts = ["\n".join([*rng.sample(menu, 2), *[EN.replace("12", str(rng.randint(1, 99)))] * rng.randint(1, 4), "What Some Systems plans for Lubek", EN, *rng.sample(foot, 2)]) for _ in range(160)]
     s = blocks.Settings(rounds=8, batch=16, buckets=1 << 10)
-    pages, y = blocks.training_pages(texts, s)
+    pages, y = blocks.training_pages([(str(k), t) for k, t in enumerate(texts)], s)
     net = blocks.Labeller(s)
     net.train(pages[:120], y[:120])
     p = net.probabilities(pages[120:])
@@ -294,7 +294,7 @@ def test_blocks_learn_the_layout():
 
 def test_blocks_gradient():
     s = blocks.Settings(buckets=16, size=3, hidden=2)
-    pages, y = blocks.training_pages([f"Archive\n{EN}\nBack to top", "Menu"], s)
+    pages, y = blocks.training_pages([("a", f"Archive\n{EN}\nBack to top"), ("b", "Menu")], s)
     net = blocks.Labeller(s)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     g, _ = net.gradients(pages, y)
