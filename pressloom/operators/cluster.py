@@ -26,7 +26,7 @@ def leaders(rows: DataFrame, group: str, order: list[str], column: str, settings
     place = rows.select(F.col("article_id").cast("long").alias("id"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), key.alias("at"))
     vec = S.vectors(rows, settings, column)
     member = cut(vec.join(place, "id"))
-    reps = member.groupBy("g", "v").agg(F.min_by("id", "at").alias("rep"), F.min("at").alias("at"))
+    reps = member.groupBy("g", "h").agg(F.min_by("id", "at").alias("rep"), F.min("at").alias("at"), F.first("v").alias("v"))
     reps = cut(reps)
     index = S.segment_index(reps, settings).join(reps.select("rep", "g"), "rep")
     near = S.cosine_at_least(S.probe(index, index, settings, within=True, groups=("g",)), reps, reps, settings)
@@ -44,6 +44,6 @@ def leaders(rows: DataFrame, group: str, order: list[str], column: str, settings
         state = cut(state.join(seen.withColumnRenamed("late", "id"), "id", "left").select("id", settled.alias("state")))
     lead = edges.join(state.where("state = 1").select(F.col("id").alias("early")), "early").join(ats.withColumnRenamed("rep", "early"), "early").groupBy("late").agg(F.min_by("early", "at").alias("leader"))
     absorbed = state.where("state = 2").select(F.col("id").alias("late"))
-    by_rep = reps.select("rep", "g", "v").join(lead.join(absorbed, "late", "left_semi").withColumnRenamed("late", "rep"), "rep", "left").select("g", "v", F.coalesce("leader", "rep").alias("leader"))
-    found = member.select("id", "g", "v").join(by_rep, ["g", "v"]).select("id", "leader")
+    by_rep = reps.select("rep", "g", "h").join(lead.join(absorbed, "late", "left_semi").withColumnRenamed("late", "rep"), "rep", "left").select("g", "h", F.coalesce("leader", "rep").alias("leader"))
+    found = member.select("id", "g", "h").join(by_rep, ["g", "h"]).select("id", "leader")
     return place.select("id").join(found, "id", "left").select(F.col("id").alias("article_id"), F.coalesce("leader", "id").alias("leader"))

@@ -1,8 +1,8 @@
 """Similarity join of vectors by a segment index of sign strings.
 
 A vector is written as a fixed string of sign bits of random projections, cut into segments that
-are stored under position and content. Vectors that share a segment and whose strings lie within
-a bounded number of substitutions are verified by the cosine. Equal vectors are one class,
+are stored under position and content as one key. Vectors that share a segment and whose strings lie within
+a bounded number of substitutions, told by their first `checked` bits, are verified by the cosine. Equal vectors are one class,
 indexed once.
 """
 
@@ -14,9 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.storage import cut
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -28,17 +31,23 @@ class Settings:
     segments: int = 28
     width: int = 14
     spread: float = 6.0
+    most_checked: int = 128
     seed: int = 20240101
 
     @property
     def bits(self) -> int:
         return self.segments * self.width
 
+    @property
+    def checked(self) -> int:
+        """Bits of a signature that travel with its segments: enough to tell unrelated vectors apart."""
+        return min(self.bits, self.most_checked)
+
     @property
     def distance(self) -> int:
-        """Largest edit distance of two signatures that is verified by the cosine."""
+        """Largest edit distance of the checked bits that is verified by the cosine."""
         flip = math.acos(self.cosine) / math.pi
-        return math.ceil(self.bits * flip + self.spread * math.sqrt(self.bits * flip * (1 - flip)))
+        return math.ceil(self.checked * flip + self.spread * math.sqrt(self.checked * flip * (1 - flip)))
 
 
 def fitted(rows: DataFrame, cosine: float, column: str = "embedding", miss: float = 0.001) -> Settings:
@@ -61,7 +70,7 @@ def planes(settings: Settings) -> np.ndarray:
 
 
 def vectors(rows: DataFrame, settings: Settings = Settings(), column: str = "embedding", key: str = "article_id") -> DataFrame:
-    """id, v: the rows whose vector can match, `v` at unit length as binary float32. Vectors of different lengths never match."""
+    """id, v, h: the rows whose vector can match, `v` at unit length as binary float32, `h` its 128-bit digest. Vectors of different lengths never match."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,9 +83,10 @@ def vectors(rows: DataFrame, settings: Settings = Settings(), column: str = "emb
                 if np.isfinite(norm) and norm > 0:
                     ids.append(i)
                     out.append((x / norm).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "v"])
+            digests = [xxhash.xxh3_128_digest(x) for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(digests, pa.binary())], names=["id", "v", "h"])
 
-    return rows.where(F.col(column).isNotNull()).select(F.col(key).cast("long"), F.col(column).cast("array<float>")).mapInArrow(convert, "id long, v binary")
+    return rows.where(F.col(column).isNotNull()).select(F.col(key).cast("long"), F.col(column).cast("array<float>")).mapInArrow(convert, "id long, v binary, h binary")
 
 
 def padded(col: pa.Array, dims: int) -> np.ndarray:
@@ -86,36 +96,42 @@ def padded(col: pa.Array, dims: int) -> np.ndarray:
 
 
 def classes(vecs: DataFrame) -> DataFrame:
-    """rep, v: one row for each distinct vector, `rep` the smallest id that has it."""
-    return vecs.groupBy("v").agg(F.min("id").alias("rep"))
+    """rep, v, h: one row for each distinct vector, `rep` the smallest id that has it."""
+    return vecs.groupBy("h").agg(F.min("id").alias("rep"), F.first("v").alias("v"))
+
+
+def members(vecs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, id: which class each vector belongs to; digests travel, not vectors."""
+    return vecs.select("h", "id").join(reps.select("h", "rep"), "h").select("rep", "id")
 
 
 def segment_index(reps: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """position, content, rep, sig: `segments` rows for each class; `sig` is the signature as longs."""
-    longs = -(-settings.bits // 64)
+    """key, rep, s0, ...: `segments` rows for each class; the key is position and content, the longs are the checked bits of the signature."""
+    longs = -(-settings.checked // 64)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = planes(settings)
-        powers = (1 << np.arange(settings.width)).astype(np.int32)
+        powers = 1 << np.arange(settings.width, dtype=np.int64)
+        place = np.arange(settings.segments, dtype=np.int64) << settings.width
         for b in batches:
             n = b.num_rows
             m = padded(b.column(1), settings.dims)
             bits = m @ p > 0
-            content = bits.reshape(n, settings.segments, settings.width).astype(np.int32) @ powers
-            packed = np.packbits(np.pad(bits, ((0, 0), (0, longs * 64 - settings.bits))), axis=1)
+            keys = bits.reshape(n, settings.segments, settings.width).astype(np.int64) @ powers + place
+            packed = np.packbits(np.pad(bits[:, : settings.checked], ((0, 0), (0, longs * 64 - settings.checked))), axis=1)
             sig = packed.reshape(n, longs, 8).view(np.int64)[:, :, 0]
-            out = [pa.array(np.asarray(b.column(0)), pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(content.ravel()), settings.segments).cast(pa.list_(pa.int32()))]
+            out = [pa.array(np.asarray(b.column(0)), pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), settings.segments).cast(pa.list_(pa.int64()))]
             out += [pa.array(np.ascontiguousarray(sig[:, j])) for j in range(longs)]
-            yield pa.RecordBatch.from_arrays(out, names=["rep", "contents", *(f"s{j}" for j in range(longs))])
+            yield pa.RecordBatch.from_arrays(out, names=["rep", "keys", *(f"s{j}" for j in range(longs))])
 
-    schema = "rep long, contents array<int>, " + ", ".join(f"s{j} long" for j in range(longs))
+    schema = "rep long, keys array<long>, " + ", ".join(f"s{j} long" for j in range(longs))
     wide = reps.select("rep", "v").mapInArrow(index, schema)
-    return wide.select(F.posexplode("contents").alias("position", "content"), "rep", *(f"s{j}" for j in range(longs)))
+    return wide.select(F.explode("keys").alias("key"), "rep", *(f"s{j}" for j in range(longs)))
 
 
 def edit_distance(settings: Settings, a: str, b: str) -> Column:
-    """Substitutions between two signatures."""
-    longs = -(-settings.bits // 64)
+    """Substitutions between the checked bits of two signatures."""
+    longs = -(-settings.checked // 64)
     return sum((F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))) for j in range(1, longs)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
 
 
@@ -129,13 +145,20 @@ def probe(new: DataFrame, stored: DataFrame, settings: Settings = Settings(), wi
     met = F.lit(True)
     for g in groups:
         met &= F.col(f"a.{g}") == F.col(f"b.{g}")
-    met &= (F.col("a.position") == F.col("b.position")) & (F.col("a.content") == F.col("b.content")) & (edit_distance(settings, "a", "b") <= settings.distance)
+    met &= (F.col("a.key") == F.col("b.key")) & (edit_distance(settings, "a", "b") <= settings.distance)
     met &= F.col("a.rep") < F.col("b.rep") if within else F.col("a.rep") != F.col("b.rep")
     return a.join(b, met).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
-def cosine_at_least(pairs: DataFrame, left: DataFrame, right: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """a, b, cos: the pairs whose vectors reach the cosine; `left` and `right` hold rep, v."""
+def cosine_at_least(pairs: DataFrame, left: DataFrame, right: DataFrame, settings: Settings = Settings(), few: int = 500_000) -> DataFrame:
+    """a, b, cos: the pairs whose vectors reach the cosine; `left` and `right` hold rep, v.
+
+    The pairs are written once and counted; up to `few` of them (16 bytes each) go to the vectors, more are joined by shuffle.
+    """
+    pairs = cut(pairs)
+    if pairs.count() <= few:
+        side = lambda x, k: x.join(F.broadcast(pairs.select(F.col(k).alias("rep")).distinct()), "rep", "left_semi")
+        left, right = side(left, "a"), side(right, "b")
     joined = pairs.join(left.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(right.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
