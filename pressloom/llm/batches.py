@@ -10,7 +10,7 @@ meet are verified by the edit distance of their signatures (substitutions, count
 and then by the cosine itself. Title hashes are strings of one length matched at distance
 0: one segment, the whole string.
 
-The index is a stored table of (position, content, id, signature), written load by load. A new load
+The index is a stored table of (key of position and content, id, signature), written load by load. A new load
 probes the stored segments, then appends its own under its name, so that a load written again replaces itself; nothing
 of the history is computed again. The segments are as wide as the logarithm of the rows the store is planned for
 (`similarity.fitted`), so unrelated rows that meet stay at a few a row. A load of up to `small` segments is
@@ -27,12 +27,13 @@ themselves; a null batch_no counts as the last batch; an empty table gives no pa
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.operators.similarity import Settings, classes, cosine_at_least, fitted, probe, segment_index, vectors
+from pressloom.operators.similarity import Settings, classes, cosine_at_least, fitted, members, probe, segment_index, vectors
 from pressloom.storage import cut, shared_folder
 
 COSINE = 0.95
@@ -42,38 +43,48 @@ def ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("article_id_1"), F.greatest(a, b).alias("article_id_2")]
 
 
-def equal_hashes(articles: DataFrame) -> DataFrame:
-    """Pairs with one title_hash."""
-    h = articles.where(F.col("title_hash").isNotNull()).select("title_hash", F.col("article_id").cast("long").alias("id"))
-    more = h.groupBy("title_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("title_hash")
-    h = h.join(more, "title_hash")
-    return h.alias("a").join(h.alias("b"), (F.col("a.title_hash") == F.col("b.title_hash")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("article_id_1"), F.col("b.id").alias("article_id_2"))
-
-
 def expanded(near: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of members of the classes a, b that match; left: rep, id of the one side, right: of the other."""
     both = near.join(left.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(right.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
     return both.where("x <> y").select(*ordered(F.col("x"), F.col("y")))
 
 
-def members(vecs: DataFrame, reps: DataFrame) -> DataFrame:
-    return vecs.join(reps, "v").select("rep", "id")
+@dataclass(frozen=True)
+class Load:
+    """A load made ready once: its classes of equal vectors, their members and its title hashes."""
 
+    reps: DataFrame
+    member: DataFrame
+    hashes: DataFrame
 
-def within(batch: DataFrame, settings: Settings) -> DataFrame:
-    """article_id_1 < article_id_2: pairs of one batch, by an index of its own; may name a pair twice."""
+
+def prepared(batch: DataFrame, settings: Settings) -> Load:
     vecs = cut(vectors(batch, settings))
-    reps = classes(vecs)
-    index = segment_index(reps, settings)
-    near = cosine_at_least(probe(index, index, settings, within=True), reps, reps, settings).select("a", "b")
-    own = reps.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    member = members(vecs, reps)
-    return expanded(near.unionByName(own), member, member).unionByName(equal_hashes(batch))
+    reps = cut(classes(vecs))
+    hashes = batch.where(F.col("title_hash").isNotNull()).select("title_hash", F.col("article_id").cast("long").alias("id"))
+    return Load(reps.select("rep", "v"), cut(members(vecs, reps)), hashes)
+
+
+def same_hash(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of one title_hash between (title_hash, id) of two sides."""
+    both = left.select("title_hash", F.col("id").alias("x")).join(right.select("title_hash", F.col("id").alias("y")), "title_hash")
+    return both.where("x <> y").select(*ordered(F.col("x"), F.col("y")))
+
+
+def within(load: Load, settings: Settings) -> DataFrame:
+    """article_id_1 < article_id_2: pairs of one load, by an index of its own; may name a pair twice."""
+    index = segment_index(load.reps, settings)
+    near = cosine_at_least(probe(index, index, settings, within=True), load.reps, load.reps, settings).select("a", "b")
+    own = load.reps.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    more = load.hashes.groupBy("title_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("title_hash")
+    hashes = load.hashes.join(more, "title_hash")
+    return expanded(near.unionByName(own), load.member, load.member).unionByName(same_hash(hashes, hashes))
 
 
 def all_pairs(articles: DataFrame, settings: Settings | None = None) -> DataFrame:
     """article_id_1 < article_id_2: all pairs of a table that is one batch."""
-    return within(articles, settings or fitted(articles, COSINE)).distinct()
+    settings = settings or fitted(articles, COSINE)
+    return within(prepared(articles, settings), settings).distinct()
 
 
 def class_of(articles: DataFrame) -> DataFrame:
@@ -94,38 +105,31 @@ def class_links(articles: DataFrame) -> DataFrame:
     return near.select(F.least("a", "b").alias("class_1"), F.greatest("a", "b").alias("class_2"), "cos").distinct()
 
 
-def append(batch: DataFrame, path: str, name: str, settings: Settings) -> None:
-    """Adds a load to the stored index: its segments, class vectors, members and title hashes; the same name again replaces it."""
-    vecs = cut(vectors(batch, settings))
-    reps = cut(classes(vecs))
-    segment_index(reps, settings).write.mode("overwrite").partitionBy("position").parquet(f"{path}/segments/load={name}")
-    reps.write.mode("overwrite").parquet(f"{path}/vectors/load={name}")
-    members(vecs, reps).write.mode("overwrite").parquet(f"{path}/members/load={name}")
-    batch.where(F.col("title_hash").isNotNull()).select("title_hash", F.col("article_id").cast("long").alias("id")).write.mode("overwrite").parquet(f"{path}/hashes/load={name}")
+def append(load: Load, path: str, name: str, settings: Settings) -> None:
+    """Adds a load to the stored index: its segments in the order of their keys, class vectors, members and title hashes; the same name again replaces it."""
+    segment_index(load.reps, settings).sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/segments/load={name}")
+    load.reps.write.mode("overwrite").parquet(f"{path}/vectors/load={name}")
+    load.member.write.mode("overwrite").parquet(f"{path}/members/load={name}")
+    load.hashes.write.mode("overwrite").parquet(f"{path}/hashes/load={name}")
 
 
-def check_batch(batch: DataFrame, path: str, settings: Settings, small: int = 300_000) -> DataFrame:
-    """article_id_1 < article_id_2: pairs of an article of the batch with a stored one or with another of the batch; each once.
+def check_batch(load: Load, path: str, settings: Settings, small: int = 50_000) -> DataFrame:
+    """article_id_1 < article_id_2: pairs of an article of the load with a stored one or with another of the load; each once.
 
     Only the segments, and the vectors and members of classes that met, are read of the history.
-    Nothing stored yet: the pairs of the batch alone.
+    Nothing stored yet: the pairs of the load alone.
     """
-    inside = within(batch, settings)
-    spark = batch.sparkSession
+    inside = within(load, settings)
+    spark = load.reps.sparkSession
     loads = loads_of(spark, path)
     if not loads:
         return inside.distinct()
-    vecs = cut(vectors(batch, settings))
-    reps = cut(classes(vecs))
-    stored, old, theirs, theirs_hashes = (stored_part(spark, path, x, loads) for x in ("segments", "vectors", "members", "hashes"))
+    stored, old, theirs, hashes = (stored_part(spark, path, x, loads) for x in ("segments", "vectors", "members", "hashes"))
     # an article that comes again may stand for its class on both sides
-    again = reps.join(old.select("rep").distinct(), "rep").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    met = probe(segment_index(reps, settings), stored, settings, small=reps.count() * settings.segments <= small)
-    near = cosine_at_least(met.unionByName(again), reps, old, settings).select("a", "b")
-    by_vector = expanded(near, members(vecs, reps), theirs)
-    hashes = batch.where(F.col("title_hash").isNotNull()).select("title_hash", F.col("article_id").cast("long").alias("x"))
-    by_hash = hashes.join(theirs_hashes.select("title_hash", F.col("id").alias("y")), "title_hash")
-    return by_vector.unionByName(by_hash.where("x <> y").select(*ordered(F.col("x"), F.col("y")))).unionByName(inside).distinct()
+    again = load.reps.join(old.select("rep").distinct(), "rep").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    met = probe(segment_index(load.reps, settings), stored, settings, small=load.reps.count() * settings.segments <= small)
+    near = cosine_at_least(met.unionByName(again), load.reps, old, settings).select("a", "b")
+    return expanded(near, load.member, theirs).unionByName(same_hash(load.hashes, hashes)).unionByName(inside).distinct()
 
 
 def replay(articles: DataFrame, loads: int = 3) -> DataFrame:
@@ -141,9 +145,10 @@ def replay(articles: DataFrame, loads: int = 3) -> DataFrame:
     found, low = [], None
     for k, high in enumerate(edges):
         load = rows.where(F.col("batch_no") <= high) if low is None else rows.where((F.col("batch_no") > low) & (F.col("batch_no") <= high))
-        found.append(check_batch(load, path, settings))
+        ready = prepared(load, settings)
+        found.append(check_batch(ready, path, settings))
         if k + 1 < len(edges):
-            append(load, path, f"{k:06d}", settings)
+            append(ready, path, f"{k:06d}", settings)
         low = high
     return reduce(DataFrame.unionByName, found).distinct()
 

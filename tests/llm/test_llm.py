@@ -244,8 +244,8 @@ def test_batches_against_brute_force(spark, empty, tmp_path):
     for b in range(4):
         batch = df.where(f"batch_no = {b}")
         if b:
-            found |= {tuple(sorted(r)) for r in batches.check_batch(batch, str(tmp_path), s5).collect()}
-        batches.append(batch, str(tmp_path), str(b), s5)
+            found |= {tuple(sorted(r)) for r in batches.check_batch(batches.prepared(batch, s5), str(tmp_path), s5).collect()}
+        batches.append(batches.prepared(batch, s5), str(tmp_path), str(b), s5)
     assert {(i, j) for i, j in want if i % 4 != j % 4 and min(i, j) >= 5 and max(i, j) < 120} <= found <= want
 
 
@@ -259,15 +259,15 @@ def test_batches_replayed_equal_all_pairs(spark, tmp_path):
     got, s5 = set(), batches.fitted(df, 0.95)
     for b in range(3):
         batch = df.where(f"batch_no = {b}")
-        pairs = [tuple(r) for r in batches.check_batch(batch, str(tmp_path), s5, small=b * 10**6).collect()]
+        pairs = [tuple(r) for r in batches.check_batch(batches.prepared(batch, s5), str(tmp_path), s5, small=b * 10**6).collect()]
         assert len(pairs) == len(set(pairs)) and not got.intersection(pairs)
         got.update(pairs)
         for _ in range(2):  # a load written twice is stored once
-            batches.append(batch, str(tmp_path), str(b), s5)
+            batches.append(batches.prepared(batch, s5), str(tmp_path), str(b), s5)
     assert got == {tuple(r) for r in batches.all_pairs(df).collect()} and len(got) > 100
     again = df.where("batch_no = 0").limit(8)
     ids = {r.article_id for r in again.collect()}
-    assert {p for p in got if ids.intersection(p)} == {tuple(r) for r in batches.check_batch(again, str(tmp_path), s5).collect()}
+    assert {p for p in got if ids.intersection(p)} == {tuple(r) for r in batches.check_batch(batches.prepared(again, s5), str(tmp_path), s5).collect()}
     assert got == {tuple(r) for r in batches.replay(df).collect()}
     same = [{r.article_id: r.class_id for r in batches.class_of(df).where(F.col("kind") == k).collect()} for k in ("vector", "hash")]
     assert {(i, j) for m in same for i in m for j in m if i < j and m[i] == m[j]} == got and batches.class_links(df).count() == 0
