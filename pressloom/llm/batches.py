@@ -132,7 +132,7 @@ def check_batch(load: Load, path: str, settings: Settings, small: int = 50_000)
     return expanded(near, load.member, theirs).unionByName(same_hash(load.hashes, hashes)).unionByName(inside).distinct()
 
 
-def replay(articles: DataFrame, loads: int = 3) -> DataFrame:
+def replay(articles: DataFrame, loads: int = 2) -> DataFrame:
     """article_id_1 < article_id_2: what is reported when the table arrives in `loads` deliveries of whole batches, in order.
 
     Each delivery is checked against the store of the earlier ones and then appended to it. The store lies in the session's shared folder.
@@ -146,7 +146,7 @@ def replay(articles: DataFrame, loads: int = 3) -> DataFrame:
     for k, high in enumerate(edges):
         load = rows.where(F.col("batch_no") <= high) if low is None else rows.where((F.col("batch_no") > low) & (F.col("batch_no") <= high))
         ready = prepared(load, settings)
-        found.append(check_batch(ready, path, settings))
+        found.append(cut(check_batch(ready, path, settings)))
         if k + 1 < len(edges):
             append(ready, path, f"{k:06d}", settings)
         low = high

@@ -200,6 +200,7 @@ class Decoder:
         self.channels = reading_table()
         self.tokens: dict[str, tuple[tuple[str, str, float, bool], ...]] = {}
         self.open: dict[str, int] = {}
+        self.pending = False
         self._ready = True
 
     @cached_property
@@ -328,7 +329,7 @@ class Decoder:
 
     def damaged(self, text: str) -> bool:
         """Does the cheapest reading differ from the text?"""
-        return any(e.text is not None for e in self.path(text))
+        return any(e.text is not None for e in self.path(text, quick=True)) or self.pending and any(e.text is not None for e in self.path(text))
 
     def singles(self, text: str) -> list[tuple[int, int, tuple]]:
         """(start, end, readings) of tokens misread byte by byte, of the trusted channels."""
@@ -382,17 +383,31 @@ class Decoder:
         back = "".join([*out, text[at:]])
         return back, whole and "�" not in back
 
-    def spans(self, text: str) -> list[tuple[int, int, list[tuple[int, int, str]], tuple, bool]]:
-        """(start, end, sequences, single-byte readings, lost): the parts of a text that have another edge than the keeping one."""
+    def lines(self, text: str, quick: bool = False) -> Iterator[list[tuple[int, int, list[tuple[int, int, str]], tuple, bool]]]:
+        """For each line its parts with another edge than the keeping one: (start, end, sequences, readings, lost).
+
+        `quick` leaves single-byte readings out where there are edges of the other kinds, and notes in `pending` that it did.
+        """
         self.ready()
+        self.pending = False
         if text.isascii():
-            return []
+            return
         lost = [m.span() for m in LOST.finditer(text) if not self.quoted(text, *m.span())]
-        many, one = self.lattice(text), self.singles(text)
-        if not (lost or many or one):
-            return []
+        many = self.lattice(text)
+        self.pending = quick and bool(lost or many)
+        one = [] if self.pending else self.singles(text)
+        at = 0
+        for a in sorted({x[0] for x in [*lost, *many, *one]}):
+            if a < at:
+                continue
+            start, at = text.rfind("\n", 0, a) + 1, text.find("\n", a)
+            at = len(text) if at < 0 else at
+            own = [[x for x in k if start <= x[0] < at] for k in (lost, many, one)]
+            yield self.spans(text, start, at, *own)
+
+    def spans(self, text: str, start: int, end: int, lost: list, many: list, one: list) -> list[tuple]:
         # a lost byte takes the letters around it along, a sequence its whole token
-        places = [[a, b, [], r, False] for a, b, r in self.channels_of(text, one, many)]
+        places = [[a, b, [], r, False] for a, b, r in self.channels_of(text, start, end, one, many)]
         for a, b, ch in many:
             places.append([*self.token(text, a, b), [(a, b, ch)], (), False])
         for a, b in lost:
@@ -419,24 +434,22 @@ class Decoder:
             b += 1
         return a, b
 
-    def channels_of(self, text: str, one: list[tuple[int, int, tuple]], many: list[tuple[int, int, str]]) -> list[tuple[int, int, tuple]]:
+    def channels_of(self, text: str, start: int, end: int, one: list, many: list) -> list[tuple[int, int, tuple]]:
         """(start, end, ((channel, text read back), ...)) of every token with letters beyond ASCII on a line with a misread one.
 
         The channels are those trusted for single bytes on the line, and UTF-8 read as the encoding of one of its sequences.
         """
-        out, tables, done = [], dict(self.channels), -1
-        for a in sorted({x[0] for x in [*one, *many]}):
-            if a < done:
-                continue
-            start, done = text.rfind("\n", 0, a) + 1, text.find("\n", a)
-            done = len(text) if done < 0 else done
-            tokens = [(start + m.start(), start + m.end(), m.group()) for m in TOKEN.finditer(text[start:done]) if not m.group().isascii()]
-            names = sorted(self.trusted([self.readings(t) for *_, t in tokens])) if any(start <= x[0] < done for x in one) else []
-            codecs = sorted({self.table[text[x:y]][1] for x, y, _ in many if start <= x < done})
-            for x, y, t in tokens:
-                back = [(n, t.translate(tables[n])) for n in names] + [(f"utf-8>{c}", k) for c in codecs if (k := unspelled(t, c)) is not None]
-                if read := tuple((n, k) for n, k in back if k != t and k.isprintable()):
-                    out.append((x, y, read))
+        if not (one or many):
+            return []
+        tables = dict(self.channels)
+        tokens = [(start + m.start(), start + m.end(), m.group()) for m in TOKEN.finditer(text[start:end]) if not m.group().isascii()]
+        names = sorted(self.trusted([self.readings(t) for *_, t in tokens])) if one else []
+        codecs = sorted({self.table[text[x:y]][1] for x, y, _ in many})
+        out = []
+        for x, y, t in tokens:
+            back = [(n, t.translate(tables[n])) for n in names] + [(f"utf-8>{c}", k) for c in codecs if (k := unspelled(t, c)) is not None]
+            if read := tuple((n, k) for n, k in back if k != t and k.isprintable()):
+                out.append((x, y, read))
         return out
 
     def span_cost(self, shown: str) -> float:
@@ -458,35 +471,25 @@ class Decoder:
             keep = max(keep, self.words_cost(r[0][1]) + r[0][2]) + 2 * s.switch
         return [Edge(a, b, None, "", keep, True), *(Edge(a, b, back, name, self.span_cost(back), True) for name, back in readings)]
 
-    def path(self, text: str) -> list[Edge]:
-        """The cheapest edges over the spans of each line."""
-        out: list[Edge] = []
-        best: dict[str, tuple[float, tuple]] = {"": (0.0, ())}
-
-        def settle() -> None:
-            cost, chain = min(best.values(), key=lambda x: x[0])
+    def path(self, text: str, quick: bool = False) -> Iterator[Edge]:
+        """The cheapest edges over the parts of each line, one line after the other."""
+        for spans in self.lines(text, quick):
+            best: dict[str, tuple[float, tuple]] = {"": (0.0, ())}
+            for span in spans:
+                step: dict[str, tuple[float, tuple]] = {}
+                for e in self.edges_over(text, span):
+                    # sequences of bytes are told one by one; a channel of single bytes is entered and kept
+                    cost, chain = min(((c + (self.settings.switch if m != e.channel and e.channel != "bytes" and m != "bytes" else 0.0), k) for m, (c, k) in best.items()), key=lambda x: x[0])
+                    new = (cost + e.cost, (e, chain))
+                    if e.channel not in step or new[0] < step[e.channel][0]:
+                        step[e.channel] = new
+                best = step
+            _, chain = min(best.values(), key=lambda x: x[0])
             part = []
             while chain:
                 part.append(chain[0])
                 chain = chain[1]
-            out.extend(reversed(part))
-
-        at = 0
-        for span in self.spans(text):
-            if "\n" in text[at : span[0]] and len(best) > 0:
-                settle()
-                best = {"": (0.0, ())}
-            at = span[1]
-            step: dict[str, tuple[float, tuple]] = {}
-            for e in self.edges_over(text, span):
-                # sequences of bytes are told one by one; a channel of single bytes is entered and kept
-                cost, chain = min(((c + (self.settings.switch if m != e.channel and e.channel != "bytes" and m != "bytes" else 0.0), k) for m, (c, k) in best.items()), key=lambda x: x[0])
-                new = (cost + e.cost, (e, chain))
-                if e.channel not in step or new[0] < step[e.channel][0]:
-                    step[e.channel] = new
-            best = step
-        settle()
-        return out
+            yield from reversed(part)
 
     def reread(self, shown: str, sequences: list[tuple[int, int, str]]) -> tuple[str, bool]:
         """A span with its sequences read back, twice where it was misread twice, and its wildcards filled; is nothing left unread?"""
