@@ -49,7 +49,7 @@ def terms(rows: DataFrame) -> DataFrame:
 
 def logistic(rounds: int) -> LogisticRegression:
     """An L2 penalty of 1 against the sum over rows, as the weights of a balanced fold sum to its rows."""
-    return LogisticRegression(labelCol="y", weightCol="w", maxIter=rounds, standardization=False)
+    return LogisticRegression(labelCol="y", weightCol="w", maxIter=rounds, tol=1e-4, standardization=False)
 
 
 def balanced(rows: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def classified(labelled: DataFrame, rows: DataFrame, slugs: list[str], least: in
             continue
         y = F.array_contains("slugs", s).cast("int")
         train = base.select("features", y.alias("y"), F.when(y == 1, total / (2.0 * n[s])).otherwise(total / (2.0 * (total - n[s]))).alias("w"))
-        model = LogisticRegression(labelCol="y", weightCol="w", regParam=0.25 / total, maxIter=50).fit(train)
+        model = LogisticRegression(labelCol="y", weightCol="w", regParam=0.25 / total, maxIter=50, tol=1e-4).fit(train)
         p = model.transform(asked).select("article_id", F.lit(s).alias("slug"), vector_to_array("probability")[1].alias("p"))
         parts.append(p.where(F.col("p") > above))
     if not parts:
