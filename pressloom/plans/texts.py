@@ -200,7 +200,11 @@ def o13_tail_overview(spark: SparkSession, d: str) -> DataFrame:
     return O.tail(a).select("story", "k", "s", "domains")
 
 
-@query()
+_LINE_END = "'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'"
+_STRIPPED = "regexp_replace(regexp_replace({}, '^[\\s\\x0b\\x{{85}}\\p{{Z}}]+', ''), '[\\s\\x0b\\x{{85}}\\p{{Z}}]+$', '')"
+
+
+@query(f"""SELECT article_id, {_STRIPPED.format(f"regexp_replace(regexp_split_to_array(coalesce(title, ''), {_LINE_END})[1], '^[*\\s\\x{{85}}\\p{{Z}}]*', '')")} AS headline, {_STRIPPED.format(f"regexp_replace(regexp_replace(coalesce(text, ''), {_LINE_END}, chr(10), 'g'), '^[* \\t\\x{{85}}\\p{{Z}}]*([^\\n]*?)[ \\t\\x{{85}}\\p{{Z}}]*\\n', '\\1' || chr(10))")} AS body FROM articles""")
 def o11_whole_reply(spark: SparkSession, d: str) -> DataFrame:
     """Headline and body read back out of a reply of several lines that holds the whole title and text."""
     a = articles(spark, d, "article_id", "title", "text")

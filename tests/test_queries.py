@@ -16,7 +16,7 @@ SIBLINGS = (
     "k10_top_by_scope", "m05_combined", "m07_gate_off", "m07_saved", "q10_similar_by_url", "r01_coverage", "r02_lexrank", "r07_structural", "r09_representative", "r10_site_head", "r11_sources", "r15_top_stories",
 )
 COMPARED = sorted(n for n in plans.oracle_sql() if os.environ.get("ALL_QUERIES") or n not in SIBLINGS)
-WITHOUT_SQL = ("k14_asset_version", "l05_inflected", "l10_translated", "o01_without_title", "o02_sentences", "o03_usable", "o09_digest", "o11_whole_reply", "o14_rewritten", "tp04_refined", "tp05_classified", "x05_ring")
+WITHOUT_SQL = ("k14_asset_version", "l05_inflected", "l10_translated", "o01_without_title", "o02_sentences", "o03_usable", "o09_digest", "o14_rewritten", "tp04_refined", "tp05_classified", "x05_ring")
 
 
 def plain(v):
