@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.operators import logistic as L
 from pressloom.operators.select import quantile, running
 from pressloom.storage import cut
 
@@ -38,63 +36,35 @@ def folds(rows: DataFrame, k: int = 5) -> DataFrame:
     return placed.withColumn("fold", fold.cast("int")).drop("_h", "_r", "_before", "_size", "_at")
 
 
-def terms(rows: DataFrame) -> DataFrame:
-    """article_id, term, tf: 1- and 2-grams of words of two letters or more."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
-    w = rows.select("article_id", words.alias("w"))
-    last = F.greatest(F.size("w") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("w", 1, last), F.slice("w", 2, last), lambda x, y: F.concat(x, F.lit(" "), y))
-    return w.select("article_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("article_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def placed(rows: DataFrame, k: int) -> DataFrame:
+    """The rows with the `fold` of `folds`, read from the last row of each: only keys and times are sorted, and texts stay where they are."""
+    key = F.struct(F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("t"), F.col("article_id").alias("i"))
+    last = folds(rows.select("article_id", "fetched_at", "y"), k).groupBy("y", "fold").agg(F.max(key).alias("e")).collect()  # a row a fold and class
+    t = F.unix_micros(F.col("fetched_at").cast("timestamp"))
+    after = lambda e: (t > e.t) | ((t == e.t) & (F.col("article_id") > F.lit(e.i)))
+    past = [F.coalesce(((F.col("y") == r.y) & after(r.e)).cast("int"), F.lit(0)) for r in last]
+    return rows.withColumn("fold", F.least(sum(past, F.lit(1)), F.lit(k)).cast("int"))
 
 
-def logistic(rounds: int) -> LogisticRegression:
-    """An L2 penalty of 1 against the sum over rows, as the weights of a balanced fold sum to its rows."""
-    return LogisticRegression(labelCol="y", weightCol="w", maxIter=rounds, tol=1e-4, standardization=False)
-
-
-def balanced(rows: DataFrame) -> DataFrame:
-    """`w`: both classes weigh the same."""
-    c = F.broadcast(rows.agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_p")))
-    return rows.crossJoin(c).withColumn("w", F.when(F.col("y") == 1, F.col("_n") / (2.0 * F.greatest("_p", F.lit(1)))).otherwise(F.col("_n") / (2.0 * F.greatest(F.col("_n") - F.col("_p"), F.lit(1))))).drop("_n", "_p")
-
-
-def probabilities(rows: DataFrame, k: int = 5, features: int = 150_000, least: int = 3) -> DataFrame:
+def probabilities(rows: DataFrame, k: int = 5, features: int = 150_000, least: int = 3, tolerance: float = 1e-6, rounds: int = 3000) -> DataFrame:
     """article_id, y, p_vec, p_txt: out-of-fold probabilities of both classifiers, in as many folds as the smaller class allows, `k` at most.
 
     Terms are counted once. A fold's vocabulary, the `features` terms of at least `least` of its training rows that most rows hold, and their weights come
     from the document frequencies of all folds less its own; a term weighs (1 + ln tf) * idf and a row has unit length.
+    Rows are packed into arrays once, for all folds; each pass over them serves every classifier that is not settled.
     """
     few = rows.groupBy("y").count().collect()  # two rows
     k = min(k, *(r["count"] for r in few)) if len(few) == 2 else 0
     if k < 2:
         return rows.select("article_id", "y", F.lit(None).cast("double").alias("p_vec"), F.lit(None).cast("double").alias("p_txt")).where("false")
-    f = cut(folds(rows, k).select("article_id", "y", "fold", "text", array_to_vector("vector").alias("features")))
-    tf = cut(terms(f).join(f.select("article_id", "fold"), "article_id"))
-    df = cut(tf.groupBy("term").pivot("fold", list(range(1, k + 1))).agg(F.count(F.lit(1))).na.fill(0))
-    size = {r.fold: r["count"] for r in f.groupBy("fold").count().collect()}  # one row a fold
-    total = sum(size.values())
-    sparse = F.udf(lambda i, v: Vectors.sparse(features, i, v), VectorUDT())
-    out = None
-    for i in range(1, k + 1):
-        n = total - size.get(i, 0)
-        own = sum((F.col(str(j)) for j in range(1, k + 1) if j != i), F.lit(0))
-        # the most frequent terms: a bounded dimension
-        vocabulary = df.select("term", own.alias("df")).where(F.col("df") >= least).orderBy(F.desc("df"), "term").limit(features)
-        number = F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1
-        vocabulary = vocabulary.select("term", number.alias("at"), (F.log((1 + F.lit(float(n))) / (1 + F.col("df"))) + 1).alias("idf"))
-        weighed = tf.join(F.broadcast(vocabulary), "term").select("article_id", F.struct("at", ((1 + F.log("tf")) * F.col("idf")).alias("v")).alias("x")).groupBy("article_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
-        norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, x: s + x["v"] * x["v"]))
-        vec = weighed.select("article_id", sparse(F.transform("x", lambda x: x["at"]), F.transform("x", lambda x: x["v"] / norm)).alias("words"))
-        empty = F.udf(lambda: Vectors.sparse(features, [], []), VectorUDT())
-        both = balanced(f.where(F.col("fold") != i)).unionByName(f.where(F.col("fold") == i).withColumn("w", F.lit(1.0))).join(vec, "article_id", "left")
-        both = cut(both.select("article_id", "y", "fold", "w", "features", F.coalesce("words", empty()).alias("words")))
-        train, test = both.where(F.col("fold") != i), both.where(F.col("fold") == i)
-        penalty = 1.0 / n
-        v = logistic(100).setRegParam(penalty).fit(train).transform(test).select("article_id", "y", vector_to_array("probability")[1].alias("p_vec"))
-        t = logistic(100).setRegParam(penalty).setFeaturesCol("words").fit(train).transform(test).select("article_id", vector_to_array("probability")[1].alias("p_txt"))
-        part = v.join(t, "article_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    f = placed(rows, k)
+    found = f.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("length")).collect()  # a row a fold and class
+    classes = {(r.fold, r.y): r.n for r in found}
+    sizes = [sum(classes.get((i, y), 0) for y in (0, 1)) for i in range(1, k + 1)]
+    known = L.vocabulary(cut(L.frequencies(f, k)), sizes, features, least)
+    packed = L.blocks(f, known, k)
+    weights = L.fitted(packed, known, classes, k, max(r.length for r in found), tolerance, rounds)
+    return L.held_out(packed, known, weights)
 
 
 def combined(scored: DataFrame) -> DataFrame:

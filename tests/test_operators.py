@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -353,3 +355,51 @@ def test_vectors_of_two_lengths_never_pair(spark):
     df = spark.createDataFrame([(1, "g", 1, [1.0, 0.0]), (2, "g", 2, [1.0]), (3, "g", 3, [1.0, 0.0])], "article_id long, g string, at int, e array<float>")
     got = {r.article_id: r.leader for r in leaders(df, "g", ["at"], "e", S.fitted(df, 0.95, "e")).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+def minimum(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and intercept of a balanced logistic regression with a penalty of 1, by Newton's method."""
+    x, n = np.column_stack([x, np.ones(len(y))]), len(y)
+    each = np.where(y == 1, n / (2 * y.sum()), n / (2 * (1 - y).sum()))
+    penalty, w = np.append(np.ones(x.shape[1] - 1), 0), np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve((x.T * (each * p * (1 - p))) @ x + np.diag(penalty), x.T @ (each * (p - y)) + penalty * w)
+    return w
+
+
+def test_probabilities_are_the_optimum_in_few_jobs(spark):
+    rng, k = np.random.default_rng(5), 3
+    words = [f"w{i}" for i in range(12)]
+    rows = []
+    for i in range(90):
+        y = i % 2
+        text = " ".join(rng.choice(words[4 * y : 8 + 4 * y], rng.integers(0, 14)))
+        rows.append((i, f"2024-01-{1 + i // 24:02d} {i % 24:02d}:00:00", y, "" if i == 7 else text, [float(x) for x in rng.normal(0.3 * y, 1, 4)] if i != 8 else [0.0] * 4))
+    df = spark.createDataFrame(rows, "article_id long, t string, y int, text string, vector array<double>").withColumn("fetched_at", F.to_timestamp("t"))
+    spark.sparkContext.setJobGroup("probabilities", "")
+    got = {r.article_id: r for r in gate.probabilities(df, k, features=40).collect()}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("probabilities")) < 90
+    spark.sparkContext.setJobGroup("rest", "")
+    fold = {r.article_id: r.fold for r in gate.folds(df, k).collect()}
+    assert set(got) == set(fold)
+    y, vectors = np.array([r[2] for r in rows]), np.array([r[4] for r in rows])
+    tokens = [r[3].split() for r in rows]
+    counts = [Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for w in tokens]
+    for i in range(1, k + 1):
+        train = np.array([fold[a] != i for a in range(len(rows))])
+        df_ = Counter(t for c, own in zip(counts, train) if own for t in c)
+        kept = sorted((t for t, n in df_.items() if n >= 3), key=lambda t: (-df_[t], t))[:40]
+        x = np.array([[(1 + np.log(c[t])) * (np.log((1 + train.sum()) / (1 + df_[t])) + 1) if t in c else 0.0 for t in kept] for c in counts])
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        for name, z in (("p_txt", x), ("p_vec", vectors)):
+            w = minimum(z[train], y[train])
+            p = 1 / (1 + np.exp(-(z @ w[:-1] + w[-1])))
+            assert max(abs(p[a] - got[a][name]) for a in got if fold[a] == i) < 5e-5
+
+
+def test_probabilities_keep_rows_without_a_time_or_text(spark):
+    rows = [(i, None if i == 3 else f"2024-01-01 00:{i:02d}:00", i % 2, "", [1.0 + i % 2, 0.0]) for i in range(12)]
+    df = spark.createDataFrame(rows, "article_id long, t string, y int, text string, vector array<double>").withColumn("fetched_at", F.to_timestamp("t"))
+    got = gate.probabilities(df, 2).collect()
+    assert sorted(r.article_id for r in got) == list(range(12)) and {round(r.p_txt, 6) for r in got} == {0.5}
