@@ -80,10 +80,10 @@ def vocabulary(df: DataFrame, sizes: list[int], features: int, least: int) -> Vo
 
 @dataclass
 class Block:
-    """Rows as arrays. `t`, 1 + ln tf of the terms `at`, whose row begins at `starts`; `norms`: a row's length by fold, 1 if it has no term."""
+    """Rows of a fold as arrays. `t`, 1 + ln tf of the terms `at`, row by row as many as `counts`; `norms`: a row's length by fold, 1 if it has no term."""
 
     y: np.ndarray
-    fold: np.ndarray
+    fold: int
     counts: np.ndarray
     at: np.ndarray
     t: np.ndarray
@@ -98,18 +98,25 @@ class Block:
         return out
 
 
-def narrow(x: np.ndarray) -> np.ndarray:
-    """Numbers from 0 in as few bytes as hold the largest."""
-    return x.astype(np.min_scalar_type(x.max(initial=0)))
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers from 0: in as few bytes as hold the largest, bytes of equal weight together, compressed."""
+    x = x.astype(np.min_scalar_type(x.max(initial=0)))
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T if len(x) else x), codec="zstd", asbytes=True) + bytes([x.itemsize])
 
 
-def wide(x: pa.Buffer, n: int) -> np.ndarray:
-    """The `n` numbers that `narrow` made `x` of."""
-    return np.frombuffer(x, f"u{x.size // max(n, 1) or 1}").astype(np.int64)
+def spread(b: pa.Buffer, n: int) -> np.ndarray:
+    """The `n` numbers that `squeezed` made `b` of."""
+    wide = b[b.size - 1]
+    planes = np.frombuffer(pa.decompress(b.slice(0, b.size - 1), n * wide, codec="zstd"), np.uint8).reshape(wide, n)
+    out = planes[0].astype(np.int64)
+    for i in range(1, wide):
+        if planes[i].any():
+            out |= planes[i].astype(np.int64) << 8 * i
+    return out
 
 
 def blocks(rows: DataFrame, known: Vocabulary, k: int) -> DataFrame:
-    """The rows by `BLOCK` at most, as arrays in binary columns."""
+    """The rows of a fold by `BLOCK` at most, as arrays in binary columns."""
     key = rows.schema["article_id"].dataType.simpleString()
     model = rows.sparkSession.sparkContext.broadcast(known)
 
@@ -120,36 +127,40 @@ def blocks(rows: DataFrame, known: Vocabulary, k: int) -> DataFrame:
         for i in range(k):
             weights[i, v.own[i]] = v.idf[i]
         for whole in batches:
-            for start in range(0, whole.num_rows, BLOCK):
-                b = whole.slice(start, BLOCK)
-                texts = b.column(3).to_pylist()
-                found = [[i for t in terms(x) if (i := number.get(t)) is not None] for x in texts]
-                row = np.repeat(np.arange(len(texts)), list(map(len, found)))
-                cell, tf = np.unique(row * max(size, 1) + np.fromiter((i for x in found for i in x), np.int64, len(row)), return_counts=True)
-                row, at = np.divmod(cell, max(size, 1))
-                t = 1 + np.log(tf)
-                norms = np.stack([np.sqrt(np.bincount(row, (t * np.take(w, at)) ** 2, len(texts))) for w in weights])
-                norms[norms == 0] = 1
-                arrays = {
-                    "y": np.asarray(b.column(1), np.int8), "fold": np.asarray(b.column(2), np.int32), "counts": np.bincount(row, minlength=len(texts)).astype(np.int32),
-                    "at": narrow(at), "tf": narrow(tf), "norms": norms, "vectors": np.array(b.column(4).to_pylist(), np.float64),
-                }
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_pylist()], pa.list_(b.schema.field(0).type)), *(pa.array([x.tobytes()], pa.binary()) for x in arrays.values())], ["ids", *arrays])
-
-    schema = f"ids array<{key}>, y binary, fold binary, counts binary, at binary, tf binary, norms binary, vectors binary"
-    packed = cut(rows.select("article_id", "y", "fold", "text", "vector").mapInArrow(pack, schema))
-    return packed.coalesce(min(TASKS, max(1, rows.sparkSession.sparkContext.defaultParallelism)))
-
-
-def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, Block]]:
-    kinds = dict(y=np.int8, fold=np.int32, counts=np.int32, norms=np.float64, vectors=np.float64)
+            folds = whole.column(2).to_numpy()
+            for i in np.unique(folds):
+                own = whole.filter(pa.array(folds == i))
+                for start in range(0, own.num_rows, BLOCK):
+                    yield packed(own.slice(start, BLOCK), int(i), number, weights)
+
+    def packed(b: pa.RecordBatch, fold: int, number: dict[str, int], weights: np.ndarray) -> pa.RecordBatch:
+        size, texts = max(len(number), 1), b.column(3).to_pylist()
+        found = [[i for t in terms(x) if (i := number.get(t)) is not None] for x in texts]
+        row = np.repeat(np.arange(len(texts)), list(map(len, found)))
+        cell, tf = np.unique(row * size + np.fromiter((i for x in found for i in x), np.int64, len(row)), return_counts=True)
+        row, at = np.divmod(cell, size)
+        t = 1 + np.log(tf)
+        norms = np.stack([np.sqrt(np.bincount(row, (t * np.take(w, at)) ** 2, len(texts))) for w in weights])
+        norms[norms == 0] = 1
+        arrays = {"y": np.asarray(b.column(1), np.int8), "counts": np.bincount(row, minlength=len(texts)).astype(np.int32), "norms": norms, "vectors": np.array(b.column(4).to_pylist(), np.float64)}
+        whole = {c: x.tobytes() for c, x in arrays.items()} | {"cells": squeezed(np.diff(cell, prepend=0)), "tf": squeezed(tf)}
+        return pa.RecordBatch.from_arrays([pa.array([b.column(0).to_pylist()], pa.list_(b.schema.field(0).type)), pa.array([fold], pa.int32()), *(pa.array([x], pa.binary()) for x in whole.values())], ["ids", "fold", *whole])
+
+    schema = f"ids array<{key}>, fold int, y binary, counts binary, norms binary, vectors binary, cells binary, tf binary"
+    whole = cut(rows.select("article_id", "y", "fold", "text", "vector").mapInArrow(pack, schema))
+    return whole.coalesce(min(TASKS, max(1, rows.sparkSession.sparkContext.defaultParallelism)))
+
+
+def read(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Scalar, Block]]:
+    """The blocks and their rows' ids; `size`: terms of the vocabulary."""
     for b in batches:
         for i in range(b.num_rows):
-            x = {c: np.frombuffer(b.column(c)[i].as_buffer(), kind) for c, kind in kinds.items()}
+            x = {c: np.frombuffer(b.column(c)[i].as_buffer(), kind) for c, kind in dict(y=np.int8, counts=np.int32, norms=np.float64, vectors=np.float64).items()}
             n, cells = len(x["y"]), int(x["counts"].sum())
-            at, tf = (wide(b.column(c)[i].as_buffer(), cells) for c in ("at", "tf"))
-            t = 1 + np.take(np.log(np.maximum(np.arange(tf.max(initial=0) + 1), 1)), tf)
-            yield b.column("ids")[i], Block(**(x | {"t": t, "at": at, "norms": x["norms"].reshape(-1, n), "vectors": x["vectors"].reshape(n, -1)}))
+            gaps, tf = (spread(b.column(c)[i].as_buffer(), cells) for c in ("cells", "tf"))
+            at = np.cumsum(gaps, out=gaps) - np.repeat(np.arange(n) * max(size, 1), x["counts"])
+            t = np.take(1 + np.log(np.maximum(np.arange(tf.max(initial=0) + 1), 1)), tf)
+            yield b.column("ids")[i], Block(x["y"], b.column("fold")[i].as_py(), x["counts"], at, t, x["norms"].reshape(-1, n), x["vectors"].reshape(n, -1))
 
 
 @dataclass(frozen=True)
@@ -159,18 +170,22 @@ class Problem:
     words: bool
     fold: int
 
-    def margins(self, b: Block, v: Vocabulary, w: np.ndarray) -> np.ndarray:
+    def wide(self, v: Vocabulary, w: np.ndarray) -> np.ndarray:
+        """The weights over all terms, times what the terms weigh."""
         if not self.words:
-            return b.vectors @ w[:-1] + w[-1]
-        wide = np.zeros(len(v.terms))
-        wide[v.own[self.fold - 1]] = w[:-1] * v.idf[self.fold - 1]
-        return b.sums(np.take(wide, b.at) * b.t) / b.norms[self.fold - 1] + w[-1] if len(wide) else np.full(len(b.y), w[-1])
+            return w
+        out = np.zeros(len(v.terms) + 1)
+        out[v.own[self.fold - 1]], out[-1] = w[:-1] * v.idf[self.fold - 1], w[-1]
+        return out
 
-    def slope(self, b: Block, v: Vocabulary, r: np.ndarray) -> np.ndarray:
-        """The gradient's share of the block over all terms (unweighed) or vector elements, then over the intercept."""
-        if not self.words:
-            return np.append(r @ b.vectors, r.sum())
-        return np.append(np.bincount(b.at, np.repeat(r / b.norms[self.fold - 1], b.counts) * b.t, len(v.terms)), r.sum())
+    def margins(self, b: Block, w: np.ndarray) -> np.ndarray:
+        """`w`: as `wide` gives them."""
+        return (b.sums(np.take(w, b.at) * b.t) / b.norms[self.fold - 1] if self.words else b.vectors @ w[:-1]) + w[-1]
+
+    def slope(self, b: Block, r: np.ndarray, total: np.ndarray) -> None:
+        """Adds the gradient's share of the block over all terms (unweighed) or vector elements, and over the intercept."""
+        total[:-1] += np.bincount(b.at, np.repeat(r / b.norms[self.fold - 1], b.counts) * b.t, len(total) - 1) if self.words else r @ b.vectors
+        total[-1] += r.sum()
 
     def own(self, v: Vocabulary, g: np.ndarray) -> np.ndarray:
         return np.append(g[:-1][v.own[self.fold - 1]] * v.idf[self.fold - 1], g[-1]) if self.words else g
@@ -236,14 +251,17 @@ def fitted(packed: DataFrame, known: Vocabulary, classes: dict[tuple[int, int],
         sent, order = context.broadcast(asked), list(asked)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v, weights, loss, total = model.value, sent.value, dict.fromkeys(order, 0.0), dict.fromkeys(order, 0)  # noqa: B023
-            for _, b in read(batches):
+            v, loss, some = model.value, dict.fromkeys(order, 0.0), False  # noqa: B023
+            weights = {p: p.wide(v, w) for p, w in sent.value.items()}  # noqa: B023
+            total = {p: np.zeros(len(w)) for p, w in weights.items()}
+            for _, b in read(batches, len(v.terms)):
+                some = True
                 for p, w in weights.items():
-                    each = np.where(b.fold == p.fold, 0, np.where(b.y == 1, share[p.fold, 1], share[p.fold, 0]))
-                    m = p.margins(b, v, w)
-                    loss[p] += each @ (np.logaddexp(0, m) - b.y * m)
-                    total[p] = total[p] + p.slope(b, v, each * (0.5 * (1 + np.tanh(m / 2)) - b.y))
-            if any(isinstance(x, np.ndarray) for x in total.values()):
+                    if p.fold != b.fold:
+                        each, m = np.where(b.y == 1, share[p.fold, 1], share[p.fold, 0]), p.margins(b, w)
+                        loss[p] += each @ (np.logaddexp(0, m) - b.y * m)
+                        p.slope(b, each * (0.5 * (1 + np.tanh(m / 2)) - b.y), total[p])
+            if some:
                 yield pa.RecordBatch.from_pydict({"of": range(len(order)), "loss": [loss[p] for p in order], "x": [p.own(v, total[p]).astype(np.float32).tobytes() for p in order]}, schema=pa.schema([("of", pa.int32()), ("loss", pa.float64()), ("x", pa.binary())]))  # noqa: B023
 
         got = packed.mapInArrow(add, "of int, loss double, x binary").toArrow()  # a row for each task and classifier, `features` numbers at most
@@ -272,11 +290,9 @@ def held_out(packed: DataFrame, known: Vocabulary, weights: dict[Problem, np.nda
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, found = model.value
-        for ids, b in read(batches):
-            p = {True: np.zeros(len(b.y)), False: np.zeros(len(b.y))}
-            for q, w in found.items():
-                if (own := b.fold == q.fold).any():
-                    p[q.words][own] = 0.5 * (1 + np.tanh(q.margins(b, v, w)[own] / 2))
-            yield pa.RecordBatch.from_arrays([ids.values, pa.array(b.y.astype(np.int32)), pa.array(p[False]), pa.array(p[True])], ["article_id", "y", "p_vec", "p_txt"])
+        weights = {p: p.wide(v, w) for p, w in found.items()}
+        for ids, b in read(batches, len(v.terms)):
+            vec, txt = (0.5 * (1 + np.tanh(p.margins(b, weights[p]) / 2)) for p in (Problem(False, b.fold), Problem(True, b.fold)))
+            yield pa.RecordBatch.from_arrays([ids.values, pa.array(b.y.astype(np.int32)), pa.array(vec), pa.array(txt)], ["article_id", "y", "p_vec", "p_txt"])
 
     return packed.mapInArrow(apply, f"article_id {key}, y int, p_vec double, p_txt double")
